@@ -14,7 +14,7 @@ lines are left alone; windows of white space only are never removed; rows with
 a null id are left alone and remove nothing; rows that repeat an id are copies
 of one document, so the same position in them is one occurrence; a document
 that only repeats others is left with an empty text; an empty table gives no
-rows; extra columns pass through.
+rows; extra columns pass through (``n_lines`` and ``n_removed`` are replaced).
 """
 
 from __future__ import annotations
@@ -55,16 +55,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = repeated.where("first <> last").select("h", "g", "first")
     later = spread_join(windows, repeated, ["h", "g"]).where(place != F.col("first"))
-    marks = later.groupBy("doc").agg(F.collect_set("pos").alias("_starts")).withColumnRenamed("doc", "_doc")
-    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (window - 1)))))
+    marks = later.groupBy("doc").agg(F.collect_set("pos").alias("_dedup_starts")).withColumnRenamed("doc", "_dedup_doc")
+    covered = F.array_distinct(F.flatten(F.transform("_dedup_starts", lambda s: F.sequence(s, s + (window - 1)))))
     lines = _lines(text_col)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    clean = F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
-    removed = F.size("_lines") - F.size(kept)
-    out = docs.join(marks, F.col(id_col).cast("long") == F.col("_doc"), "left").withColumn("_lines", lines)
+    clean = F.array_join(F.transform(kept, lambda i: F.get(F.col("_dedup_lines"), i)), "\n")
+    removed = F.size("_dedup_lines") - F.size(kept)
+    out = docs.join(marks, F.col(id_col).cast("long") == F.col("_dedup_doc"), "left").withColumn("_dedup_lines", lines)
     return (
-        out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines")).cast("long"))
-        .withColumn("n_removed", F.when(F.col("_starts").isNull(), 0).otherwise(removed).cast("long"))
-        .withColumn(text_col, F.when(F.col("_starts").isNull(), F.col(text_col)).otherwise(clean))
-        .drop("_doc", "_starts", "_lines")
+        out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_dedup_lines")).cast("long"))
+        .withColumn("n_removed", F.when(F.col("_dedup_starts").isNull(), 0).otherwise(removed).cast("long"))
+        .withColumn(text_col, F.when(F.col("_dedup_starts").isNull(), F.col(text_col)).otherwise(clean))
+        .drop("_dedup_doc", "_dedup_starts", "_dedup_lines")
     )

@@ -13,8 +13,8 @@ never meets in one task.  Only scalars come to the driver.
 
 Edge cases: null source is a source of its own; null and empty texts count one
 token; a table with one source has weight 1; rows that repeat an id are
-separate documents; an empty table gives no rows; extra columns pass through,
-but for names starting with ``_mix``.
+separate documents; an empty table gives no rows; extra columns pass through (``epoch``,
+``order_key`` and ``n_tokens`` are replaced; ``_mix_`` is a reserved beginning).
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def choose_exponent(sources: DataFrame, entropy_share: float | None, repetition_
     """
     shares = sources.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
     t, n = shares["t"], shares["n"]
-    if not n or n == 1:
+    if not n or n == 1 or (entropy_share is None and repetition_limit is None):
         return 1.0
     p = F.col("tokens") / F.lit(float(t))
     grid = 16
@@ -106,18 +106,19 @@ def mix_sources(
     """
     need(docs, id_col, source_col, text_col)
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_mix_source")
-    slim = cut(docs.select(F.col(id_col).cast("string").alias("id"), source, token_size(text_col).alias("tokens")))
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    slim = cut(docs.select(ident.alias("id"), source, token_size(text_col).alias("tokens")))
     sources = cut(slim.groupBy("_mix_source").agg(F.sum("tokens").alias("tokens")))
     exponent = choose_exponent(sources, entropy_share, repetition_limit, cover)
     t = sources.agg(F.sum("tokens")).first()[0] or 1
     power = F.exp(F.lit(exponent) * F.log(F.col("tokens") / F.lit(float(t))))
     z = sources.agg(F.sum(power)).first()[0] or 1.0
-    weight = F.round(power / F.lit(z), 9)
+    weight = power / F.lit(z)
     if cover:
         ratio = sources.agg(F.max(F.col("tokens") / weight)).first()[0] or 1.0
-        quota = F.greatest(F.col("tokens"), F.floor(weight * F.lit(ratio)))
+        quota = F.greatest(F.col("tokens"), F.round(weight * F.lit(ratio)))
     else:
-        quota = F.floor(weight * F.lit(float(budget_tokens if budget_tokens is not None else t)))
+        quota = F.round(weight * F.lit(float(budget_tokens if budget_tokens is not None else t)))
     plan = sources.select("_mix_source", "tokens", weight.alias("weight"), quota.cast("long").alias("quota"))
     plan = plan.withColumn("blocks", F.expr("quota div tokens")).withColumn("rest", F.expr("quota % tokens"))
     plan = cut(plan)
@@ -136,12 +137,13 @@ def mix_sources(
     ends = ends.select("_mix_source", F.col("bucket").alias("end")).join(cuts, "_mix_source", "left")
     dealt = cut(plan.select("_mix_source", "blocks", "rest").join(ends, "_mix_source", "left"))
 
-    rows = docs.withColumn("_mix_source", source).join(checked_broadcast(dealt), "_mix_source")
-    rows = rows.withColumn("n_tokens", token_size(text_col)).withColumn("_mix_id", F.col(id_col).cast("string"))
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))))
+    names = {c: f"_mix_{c}" for c in ("blocks", "rest", "end", "cut")}
+    rows = docs.withColumn("_mix_source", source).join(checked_broadcast(dealt.withColumnsRenamed(names)), "_mix_source")
+    rows = rows.withColumn("n_tokens", token_size(text_col)).withColumn("_mix_id", ident)
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_blocks"))))
     rows = rows.withColumn("order_key", order_key(F.col("epoch"), F.col("_mix_id"), seed))
     bucket = F.substring("order_key", 1, bucket_digits)
     own = F.struct(F.col("order_key").alias("key"), F.col("_mix_id").alias("id"), F.col("n_tokens").alias("tokens"))
-    inside = (bucket < F.col("end")) | ((bucket == F.col("end")) & F.col("cut").isNotNull() & (own <= F.col("cut")))
-    kept = rows.where((F.col("epoch") < F.col("blocks")) | ((F.col("rest") > 0) & F.coalesce(inside, F.lit(False))))
-    return kept.drop("_mix_source", "_mix_id", "blocks", "rest", "end", "cut")
+    inside = (bucket < F.col("_mix_end")) | ((bucket == F.col("_mix_end")) & F.col("_mix_cut").isNotNull() & (own <= F.col("_mix_cut")))
+    kept = rows.where((F.col("epoch") < F.col("_mix_blocks")) | ((F.col("_mix_rest") > 0) & F.coalesce(inside, F.lit(False))))
+    return kept.drop("_mix_source", "_mix_id", *names.values())

@@ -163,6 +163,7 @@ def fit_views(docs: DataFrame, labels: DataFrame, label_col: str = "quality", la
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label_col: str = "quality", **how) -> DataFrame:
     """``docs`` with ``text_score``, ``meta_score``, ``quality_score`` and ``keep`` (score at or over the threshold)."""
     need(docs, *COLUMNS)
+    docs = docs.drop("text_score", "meta_score", "quality_score", "keep")
     fit = fit_views(docs, labels, label_col, **how)
     added = "text_score double, meta_score double, quality_score double"
     spread = docs.withColumns({f"_view_{c}": F.col(c).cast("string") for c in ("text", "lang", "source")} | {"_view_n_chars": F.col("n_chars").cast("long")})

@@ -126,7 +126,7 @@ WITH RECURSIVE slim AS (
   SELECT greatest(low, CASE WHEN rep > 0 THEN rep + 1 ELSE 0 END) / 4294967296.0::DOUBLE AS a FROM bits WHERE b = 0
 ), quota AS (
   SELECT source, tokens,
-    CAST(floor(round(exp((SELECT a FROM expo) * lp) / (SELECT sum(exp((SELECT a FROM expo) * lp)) FROM p), 9)
+    CAST(round(exp((SELECT a FROM expo) * lp) / (SELECT sum(exp((SELECT a FROM expo) * lp)) FROM p)
       * (SELECT CAST(sum(tokens) AS DOUBLE) FROM src)) AS BIGINT) AS q
   FROM p
 ), plan AS (

@@ -177,5 +177,5 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents that are the first of their component; documents without an id stay."""
     groups = simhash_components(docs, id_col, text_col, **how)
-    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop"))
-    return docs.join(drop, F.col(id_col).cast("long") == F.col("_drop"), "left_anti")
+    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_simhash_drop"))
+    return docs.join(drop, F.col(id_col).cast("long") == F.col("_simhash_drop"), "left_anti")
