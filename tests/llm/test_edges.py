@@ -221,7 +221,7 @@ def test_secret_scan(spark, docs, empty):
     got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base"]) for r in secret_scan(df).collect()}
     assert got[0] == (2, 0, 0, "assign:3:23,assign:40:58")
     assert got[1] == (0, 0, 0, "")
-    assert got[2] == (0, 1, 1, "access:0:20,hex:32:56")
+    assert got[2] == (0, 1, 1, "access:0:20,hex:31:55")
     assert got[3][0] == 700 and got[3][3].split(",")[-1] == f"assign:{13 * 699}:{13 * 699 + 12}"
     assert got[4] == got[5] == (0, 0, 0, "")
 
