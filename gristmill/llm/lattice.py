@@ -100,7 +100,8 @@ class LatticeTables:
 
 
 def unit_rows(raw: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
+    """Unit vectors in double precision; components came as 4 or 8 bytes each, as they were stored."""
+    x = np.frombuffer(b"".join(raw), np.float32 if len(raw[0]) == 4 * dim else np.float64).reshape(-1, dim).astype(np.float64)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -211,6 +212,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     need(vectors, id_col, vector_col)
     spark = vectors.sparkSession
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
     all_rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = all_rows.withColumn("v", F.when(usable, F.transform("v", lambda x: x + F.lit(0.0))))
@@ -225,7 +227,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 flat = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                raw = pa.array([r.tobytes() for r in flat], pa.binary())
+                raw = pa.array([r.tobytes() for r in (flat.astype(np.float32) if single else flat)], pa.binary())
                 unit = flat / np.sqrt((flat * flat).sum(axis=1))[:, None]
                 n = part.num_rows
                 for t in range(tables.tables):

@@ -132,7 +132,7 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS])
 
 
-def fit_views(docs: DataFrame, labels: DataFrame, label_col: str = "quality", label_rows: int = 12_000, pool_rows: int = 12_000, rounds: int = 4) -> dict | None:
+def fit_views(docs: DataFrame, labels: DataFrame, label_col: str = "quality", label_rows: int = 10_000, pool_rows: int = 10_000, rounds: int = 4) -> dict | None:
     """Fit on bounded samples; None without labels of both kinds."""
     need(labels, "doc_id", label_col)
     y = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -145,14 +145,14 @@ def fit_views(docs: DataFrame, labels: DataFrame, label_col: str = "quality", la
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, meta = _views(batch)
-            flat = pa.array(np.column_stack((text, meta)).tolist(), pa.list_(pa.float64()))
+            flat = pa.array([r.tobytes() for r in np.column_stack((text, meta))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), flat], ["doc_id", "y", "x"])
 
-    rows = _slim(docs).join(picked, "doc_id").mapInArrow(run, "doc_id long, y int, x array<double>").toPandas()
+    rows = _slim(docs).join(picked, "doc_id").mapInArrow(run, "doc_id long, y int, x binary").toPandas()
     rows = rows.sort_values(["doc_id"], kind="stable").drop_duplicates("doc_id")
     order = np.argsort([zlib.crc32(str(i).encode()) for i in rows["doc_id"]], kind="stable")
     rows = rows.iloc[order]
-    x = np.array(rows["x"].tolist()).reshape(-1, N_TEXT + N_META)
+    x = np.frombuffer(b"".join(map(bytes, rows["x"])), np.float64).reshape(-1, N_TEXT + N_META)
     label = rows["y"].to_numpy()
     known = label >= 0
     if len(set(label[known])) < 2:
