@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gristmill.values import column, ordering, require, total_order
+from gristmill.values import column, join_back, one_direction, ordering, place_key, require, total_order
 
 
 def _marked(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | tuple[str, bool]], keep: str) -> DataFrame:
@@ -23,6 +23,20 @@ def _marked(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | tuple[s
     return df.withColumn("_n", F.count(F.lit(1)).over(part)).withColumn("_rn", F.row_number().over(part.orderBy(*order)))
 
 
+def _heads(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | tuple[str, bool]], keep: str) -> DataFrame:
+    """The kept row of every key with the size of its group, by a mergeable minimum or maximum.
+
+    A key with a large share of the rows is combined map-side.
+    """
+    if keep not in ("first", "last"):
+        raise ValueError("keep is first or last")
+    key, down = place_key(df, order_by)
+    row = F.struct(key.alias("place"), F.struct(*map(column, df.columns)).alias("row"))
+    per = df.groupBy(*[column(k).alias(f"_key_{i}") for i, k in enumerate(keys)])
+    per = per.agg((F.min if (keep == "first") != down else F.max)(row).alias("_head"), F.count(F.lit(1)).alias("_n"))
+    return per.select("_head.row.*", "_n")
+
+
 def duplicates(
     df: DataFrame, keys: Sequence[str] | None, order_by: Sequence[str | tuple[str, bool]] | None = None, keep: str = "first", dups_mode: str = "all"
 ) -> dict[str, DataFrame]:
@@ -36,16 +50,18 @@ def duplicates(
     whole = not keys
     keys = list(keys or df.columns)
     require(df, keys)
-    picks = {"all": F.col("_n") > 1, "exemplar": (F.col("_n") > 1) & (F.col("_rn") == 1), "extra": F.col("_rn") > 1}
-    if dups_mode not in picks:
-        raise ValueError("dups_mode is all, exemplar or extra")
-    rows = _marked(df, keys, order_by or (keys if whole else None), keep)
+    order_by = order_by or (keys if whole else None)
     clean = lambda d: d.drop("_n", "_rn")
-    return {
-        "kept": clean(rows.where("_rn = 1")),
-        "uniques": clean(rows.where("_n = 1")),
-        "dups": clean(rows.where(picks[dups_mode])).orderBy(*ordering(keys)),
-    }
+    heads = _heads(df, keys, order_by, keep) if one_direction(order_by) else _marked(df, keys, order_by, keep).where("_rn = 1")
+    if dups_mode == "exemplar":
+        dups = heads.where("_n > 1")
+    elif dups_mode == "all":
+        dups = join_back(df, df.groupBy(*map(column, keys)).agg(F.count(F.lit(1)).alias("_n")), keys, ["_n"]).where("_n > 1")
+    elif dups_mode == "extra":
+        dups = _marked(df, keys, order_by, keep).where("_rn > 1")  # which rows these are takes the order within each key
+    else:
+        raise ValueError("dups_mode is all, exemplar or extra")
+    return {"kept": clean(heads), "uniques": clean(heads.where("_n = 1")), "dups": clean(dups).orderBy(*ordering(keys))}
 
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str] | None = None, dups_mode: str = "all") -> DataFrame:

@@ -1,9 +1,11 @@
-"""Group values on every row: window functions by key.
-
-Without keys, whole-group values come from one global aggregate and a one-row
-cross join, so that the table never gathers in one task; the functions that
-need a row order (occurrence, first, last, prev, next, concat) then need it
-over all rows, which one task must do.  Not for streaming input.
+"""Group values on every row.
+
+Values of a whole group come from one aggregate, combined map-side and joined
+back, so a key with a large share of the rows is never sorted in one task;
+without keys the join is with one row.  The functions that give each row its
+place in an order (occurrence, first, last, prev, next, concat) are windows and
+hold one key in one task; without keys that is the whole table.  Not for
+streaming input.
 """
 
 from __future__ import annotations
@@ -16,24 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gristmill.functions.rules import dnf
-from gristmill.values import as_text, column, numeric, require, total_order
+from gristmill.values import as_text, column, join_back, numeric, one_direction, place_key, require, total_order
 
 SUMMARIES = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "median": F.median}
 ORDERED = ("occurrence", "first", "last", "prev", "next", "concat")
 
 
-def _replace(df: DataFrame, name: str, c: Column) -> DataFrame:
-    return df.withColumn(name, c)
-
-
-def _over(df: DataFrame, keys: Sequence[str], aggregate: Column, finish=lambda c: c, name: str = "_v") -> DataFrame:
-    """Add a whole-group aggregate as a column; without keys by a one-row join."""
-    if keys:
-        return df.withColumn(name, finish(aggregate.over(W.partitionBy(*map(column, keys)))))
-    one = df.agg(aggregate.alias("_one"))
-    return df.crossJoin(F.broadcast(one)).withColumn(name, finish(F.col("_one"))).drop("_one")  # one row
-
-
 def with_group_columns(
     df: DataFrame, keys: Sequence[str], order_by: Sequence[str | tuple[str, bool]] | None, functions: Sequence[dict[str, Any]], ties: str | None = "all_columns"
 ) -> DataFrame:
@@ -48,55 +38,57 @@ def with_group_columns(
     names = [f.get("name") or f["fn"] for f in functions]
     if len(set(names)) != len(names):
         raise ValueError("names used twice")
-    part = W.partitionBy(*map(column, keys))
     needs = any(f["fn"] in ORDERED for f in functions)
-    order = total_order(df, order_by, ties) if needs else []
-    ordered = part.orderBy(*order) if needs else None
+    ordered = W.partitionBy(*map(column, keys)).orderBy(*total_order(df, order_by, ties)) if needs else None
     whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing) if needs else None
-    out, made = df, []
-    for f, name in zip(functions, names):
-        fn, tmp = f["fn"], f"_fn_{len(made)}"
-        c = column(f["column"]) if f.get("column") else None
-        if fn == "occurrence":
-            out = out.withColumn(tmp, F.row_number().over(ordered))
-        elif fn == "group_size":
-            out = _over(out, keys, F.count(F.lit(1)), name=tmp)
-        elif fn == "count_distinct":
-            # a set per group would be unbounded: count in an aggregate and join back, nulls equal
-            per = df.groupBy(*map(column, keys)).agg(F.count_distinct(c).alias(tmp))
-            if not keys:
-                out = out.crossJoin(F.broadcast(per))  # one row
-            else:
-                per = per.select(*[column(k).alias(f"_k{i}") for i, k in enumerate(keys)], tmp)
-                on = [out[f"`{k}`"].eqNullSafe(per[f"_k{i}"]) for i, k in enumerate(keys)]
-                cond = on[0]
-                for x in on[1:]:
-                    cond = cond & x
-                out = out.join(per, cond, "left").drop(*[f"_k{i}" for i in range(len(keys))])
-        elif fn == "is_duplicate":
-            n = F.count(F.lit(1)).over(W.partitionBy(*map(column, keys), c))
-            out = out.withColumn(tmp, F.when(n > 1, "oui").otherwise("non"))
-        elif fn in SUMMARIES:
-            out = _over(out, keys, SUMMARIES[fn](c), name=tmp)
-        elif fn == "share":
-            out = _over(out, keys, F.sum(c), lambda total: c.cast("double") / F.nullif(total.cast("double"), F.lit(0.0)), name=tmp)
-        elif fn == "first":
-            out = out.withColumn(tmp, F.first(c).over(whole))
-        elif fn == "last":
-            out = out.withColumn(tmp, F.last(c).over(whole))
-        elif fn == "prev":
-            out = out.withColumn(tmp, F.lag(c).over(ordered))
-        elif fn == "next":
-            out = out.withColumn(tmp, F.lead(c).over(ordered))
-        elif fn == "concat":
-            texts = F.collect_list(as_text(df, f["column"])).over(whole)
-            out = out.withColumn(tmp, F.when(F.size(texts) > 0, F.array_join(texts, ", ")))
-        else:
-            raise ValueError(f"unknown group function {fn}")
-        made.append((tmp, name))
-    for tmp, name in made:
-        out = _replace(out, name, F.col(tmp)) if name in df.columns else out.withColumnRenamed(tmp, name)
-    return out.drop(*[tmp for tmp, _ in made])
+    tmp = [f"_fn_{k}" for k in range(len(functions))]
+
+    # values of the whole group: one aggregate for all of them, given back to the rows
+    wholes = {n: c for n, f in zip(tmp, functions) if (c := _whole(f)) is not None}
+    out = df
+    if wholes:
+        out = join_back(out, df.groupBy(*map(column, keys)).agg(*[c.alias(n) for n, c in wholes.items()]), keys, list(wholes))
+    for n, f in zip(tmp, functions):
+        if f["fn"] == "is_duplicate":
+            both = list(dict.fromkeys([*keys, f["column"]]))
+            out = join_back(out, df.groupBy(*map(column, both)).agg(F.count(F.lit(1)).alias(n)), both, [n])
+    made = {n: _finish(df, f, F.col(n), ordered, whole) for n, f in zip(tmp, functions)}
+    out = out.withColumns(made)
+    for n, name in zip(tmp, names):
+        out = out.withColumn(name, F.col(n)).drop(n) if name in df.columns else out.withColumnRenamed(n, name)
+    return out
+
+
+def _whole(f: dict[str, Any]) -> Column | None:
+    fn, c = f["fn"], column(f["column"]) if f.get("column") else None
+    if fn == "group_size":
+        return F.count(F.lit(1))
+    if fn == "count_distinct":
+        return F.count_distinct(c)
+    if fn in SUMMARIES:
+        return SUMMARIES[fn](c)
+    return F.sum(c) if fn == "share" else None
+
+
+def _finish(df: DataFrame, f: dict[str, Any], got: Column, ordered, whole) -> Column:
+    """The column of a function; ``got`` is what the aggregates have prepared for it."""
+    fn, c = f["fn"], column(f["column"]) if f.get("column") else None
+    if fn in ("group_size", "count_distinct", *SUMMARIES):
+        return got
+    if fn == "share":
+        return c.cast("double") / F.nullif(got.cast("double"), F.lit(0.0))
+    if fn == "is_duplicate":
+        return F.when(got > 1, "oui").otherwise("non")
+    if fn == "occurrence":
+        return F.row_number().over(ordered)
+    if fn in ("first", "last"):
+        return (F.first if fn == "first" else F.last)(c).over(whole)
+    if fn in ("prev", "next"):
+        return (F.lag if fn == "prev" else F.lead)(c).over(ordered)
+    if fn == "concat":
+        texts = F.collect_list(as_text(df, f["column"])).over(whole)
+        return F.when(F.size(texts) > 0, F.array_join(texts, ", "))
+    raise ValueError(f"unknown group function {fn}")
 
 
 def value_when(
@@ -110,21 +102,25 @@ def value_when(
     """
     require(df, keys)
     src = column(source) if isinstance(source, str) else source
-    v = F.when(dnf(df, condition, case_sensitive=True), src)
-    if reducer in ("first", "last", "concat"):
+    met = dnf(df, condition, case_sensitive=True)
+    v = F.when(met, src)
+    if reducer in ("first", "last") and one_direction(order_by):
+        key, down = place_key(df, order_by, ties)
+        got = (F.min_by if (reducer == "first") != down else F.max_by)(v, F.when(v.isNotNull(), key))
+    elif reducer in ("first", "last", "concat"):
         whole = W.partitionBy(*map(column, keys)).orderBy(*total_order(df, order_by, ties)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        if reducer == "concat":
-            texts = F.collect_list(v.cast("string")).over(whole)
-            got = F.when(F.size(texts) > 0, F.array_join(texts, ", "))
-        else:
-            got = (F.first if reducer == "first" else F.last)(v, ignorenulls=True).over(whole)
-        out = df.withColumn("_v", got)
+        texts = F.collect_list(v.cast("string")).over(whole)
+        windowed = F.when(F.size(texts) > 0, F.array_join(texts, ", ")) if reducer == "concat" else (F.first if reducer == "first" else F.last)(v, ignorenulls=True).over(whole)
+        got = None
     elif reducer in ("min", "max", "sum", "avg"):
         number = numeric(df, source) if isinstance(source, str) else src.cast("string").try_cast("double")
-        n = F.when(dnf(df, condition, case_sensitive=True), number)
-        out = _over(df, keys, {"min": F.min, "max": F.max, "sum": F.sum, "avg": F.avg}[reducer](n))
+        got = {"min": F.min, "max": F.max, "sum": F.sum, "avg": F.avg}[reducer](F.when(met, number))
     else:
         raise ValueError(f"unknown reducer {reducer}")
+    if got is None:
+        out = df.withColumn("_v", windowed)
+    else:
+        out = join_back(df, df.groupBy(*map(column, keys)).agg(got.alias("_v")), keys, ["_v"])
     if fallback is not None:
         kind = dict(out.dtypes)["_v"]
         out = out.withColumn("_v", F.coalesce("_v", F.lit(fallback).cast(kind) if kind != "string" else F.lit(str(fallback))))

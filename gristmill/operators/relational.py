@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.values import as_text, column, ordering, require, total_order
+from gristmill.values import as_text, column, ordering, place_key, require, total_order
 
 # --- projection --------------------------------------------------------------
 
@@ -164,7 +164,7 @@ def aggregate_column(df: DataFrame, func: str, name: str | None, order_by: Seque
         return simple[func](c)
     if func not in ("FIRST", "LAST", "STRING_AGG"):
         raise ValueError(f"unknown aggregate {func}")
-    keys = total_order(df, order_by)
+    total_order(df, order_by)  # an order is required
     if func == "STRING_AGG":
         # the order travels with the value, so the text does not depend on how rows were dealt
         sort = [i if isinstance(i, tuple) else (i, False) for i in order_by]
@@ -182,15 +182,7 @@ def aggregate_column(df: DataFrame, func: str, name: str | None, order_by: Seque
 
         texts = F.transform(F.array_sort(rows, compare), lambda x: x["v"])
         return F.when(F.size(rows) > 0, F.array_join(texts, ", "))
-    # the place in the order decides, whatever the value is
-    place = [i if isinstance(i, tuple) else (i, False) for i in order_by]
-    downs = {d for _, d in place}
-    if len(downs) > 1:
-        raise ValueError("FIRST and LAST take one direction for all order columns")
-    down = downs.pop()
-    rest = [n for n in df.columns if n not in {p for p, _ in place}]
-    key = F.struct(*[x for n in [*[p for p, _ in place], *rest] for x in ((column(n).isNotNull() if down else column(n).isNull()).alias(f"n_{n}"), column(n).alias(f"v_{n}"))])
-    del keys
+    key, down = place_key(df, order_by)
     return (F.min_by if (func == "FIRST") != down else F.max_by)(c, key)
 
 

@@ -91,5 +91,48 @@ def total_order(df: DataFrame, order_by: Sequence[str | tuple[str, bool]] | None
     return ordering([*order_by, *rest])
 
 
+def place_key(df: DataFrame, order_by: Sequence[str | tuple[str, bool]], ties: str | None = "all_columns") -> tuple[Column, bool]:
+    """The place of a row in an order as one comparable value, and whether the order falls.
+
+    With it the first or last row of a group is a mergeable minimum or maximum,
+    so a large group is combined map-side instead of being sorted in one task.
+    Nulls are last: in a rising order the smallest value is the first row, in a
+    falling one the largest.
+    """
+    if not order_by:
+        raise ValueError("this operator depends on row order: give order_by")
+    named = [i if isinstance(i, tuple) else (i, False) for i in order_by]
+    require(df, [n for n, _ in named])
+    downs = {d for _, d in named}
+    if len(downs) > 1:
+        raise ValueError("give one direction for all order columns here")
+    down = downs.pop()
+    rest = [n for n in df.columns if n not in {p for p, _ in named} and not isinstance(df.schema[n].dataType, T.MapType)] if ties == "all_columns" else []
+    parts = []
+    for k, n in enumerate([*[p for p, _ in named], *rest]):
+        c = F.col(f"`{n}`")
+        parts += [(c.isNotNull() if down else c.isNull()).alias(f"n{k}"), c.alias(f"v{k}")]
+    return F.struct(*parts), down
+
+
+def one_direction(order_by: Sequence[str | tuple[str, bool]] | None) -> bool:
+    return len({i[1] if isinstance(i, tuple) else False for i in order_by or ()}) <= 1
+
+
+def join_back(df: DataFrame, per: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Give every row the values of its key; nulls in keys are equal.
+
+    Null-safe equality makes both sides exchange, so adaptive execution can
+    split a hot key; a small ``per`` is broadcast by it.
+    """
+    if not keys:
+        return df.crossJoin(F.broadcast(per.select(*values)))  # one row
+    per = per.select(*[F.col(f"`{k}`").alias(f"_key_{i}") for i, k in enumerate(keys)], *values)
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & df[f"`{k}`"].eqNullSafe(F.col(f"_key_{i}"))
+    return df.join(per, on, "left").drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
 def column(name: str) -> Column:
     return F.col(f"`{name}`")
