@@ -74,7 +74,7 @@ def summarize(df: DataFrame) -> DataFrame:
         if sortable:
             aggs += [F.min(c).cast("string").alias(f"_min{k}"), F.max(c).cast("string").alias(f"_max{k}")]
         if number:
-            aggs += [F.avg(c).alias(f"_a{k}"), F.stddev_samp(c).alias(f"_s{k}"), F.percentile_approx(c.cast("double"), [0.25, 0.5, 0.75]).alias(f"_q{k}")]
+            aggs += [F.avg(c).alias(f"_a{k}"), F.stddev_samp(c).alias(f"_s{k}"), F.percentile_approx(c.cast("double"), [0.25, 0.5, 0.75], 1000).alias(f"_q{k}")]
         rows.append(
             F.struct(
                 F.lit(f.name).alias("column"), F.lit(plain).alias("type"), (F.col(f"_min{k}") if sortable else null).alias("min"), (F.col(f"_max{k}") if sortable else null).alias("max"),
