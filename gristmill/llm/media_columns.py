@@ -51,7 +51,7 @@ def encode_grey(payload: bytes, width: int = BLOCK) -> bytes:
     raw = np.zeros((rows, width + 1), np.uint8)
     raw[:, 1:] = np.frombuffer(payload, np.uint8).reshape(rows, width)
     head = struct.pack(">IIBBBBB", width, rows, 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), 4)) + _chunk(b"IEND", b"")
 
 
 def read_header(head: bytes) -> tuple[int, int, int]:
@@ -85,10 +85,9 @@ def feature_of(samples: np.ndarray) -> str:
     return f"mean={mean:.6f};std={std:.6f};filler={float((flat == 255).mean()):.6f};ahash={bits:016x}"
 
 
-def pack_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pack texts into shards; one row per document with digest, shard, offset and lengths."""
+def pack_payloads(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pack texts into shards in ``folder``; one row per document with digest, shard name, offset and lengths."""
     need(docs, id_col, text_col)
-    folder = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
@@ -112,7 +111,7 @@ def pack_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     done[digest] = (tar.offset + 512, len(image), hashlib.sha256(image).hexdigest())
                     tar.addfile(info, io.BytesIO(image))
                 offset, n, sha = done[digest]
-                for col, x in zip(cols, (len(data), len(payload), digest, n, sha, f"{folder}/{name}", offset)):
+                for col, x in zip(cols, (len(data), len(payload), digest, n, sha, name, offset)):
                     col.append(x)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())))],
@@ -182,8 +181,10 @@ def payload_columns(media: DataFrame) -> DataFrame:
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text as a payload and return one row per document with its media columns."""
-    rows = cut(pack_payloads(docs, id_col, text_col))
+    folder = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
+    rows = cut(pack_payloads(docs, folder, id_col, text_col))
     one = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "media_bytes", "media_sha256")).alias("at")).select("digest", "at.*")
+    one = one.withColumn("shard", F.concat(F.lit(f"{folder}/"), "shard"))
     one = one.repartition(partitions(docs.sparkSession), "digest").sortWithinPartitions("shard", "offset")
     media = payload_columns(header_columns(one))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "digest").join(media, "digest").select(
