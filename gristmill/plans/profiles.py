@@ -51,6 +51,15 @@ def profile_summary(t: Tables) -> DataFrame:
     return summarize(t.lineitem)
 
 
+_LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+@query(" UNION ALL ".join(f"""SELECT '{n}' AS "column", CAST(min({n}) AS VARCHAR) AS min, CAST(max({n}) AS VARCHAR) AS max, count(*) AS count, {_pct(f"count(*) FILTER (WHERE {n} IS NULL)")} AS null_pct FROM lineitem""" for n in _LINEITEM))
+def profile_summary_exact(t: Tables) -> DataFrame:
+    """The part of the summary that is not approximate."""
+    return summarize(t.lineitem).select("column", "min", "max", "count", "null_pct")
+
+
 def _breakdown_sql(key: str, source: str, column: str, top: int = 12) -> str:
     return f"""WITH r AS (SELECT {key} AS key, {column} IS NULL AS missing FROM {source}), k AS (SELECT key, count(*) AS count FROM r WHERE key IS NOT NULL GROUP BY key), s AS (SELECT * FROM k ORDER BY count DESC, key LIMIT {top}),
 t AS (SELECT count(*) AS total, count(*) FILTER (WHERE missing) AS nulls FROM r)

@@ -170,9 +170,14 @@ def stack_distinct(t: Tables) -> DataFrame:
     return stack([t.customer.selectExpr("c_nationkey AS nation"), t.supplier.selectExpr("s_nationkey AS nation")], distinct=True)
 
 
-@query()
+@query("""WITH c AS (SELECT count(c_name) AS name, count(c_acctbal) AS balance, count(c_mktsegment) AS segment FROM customer), s AS (SELECT count(s_name) AS name, count(s_acctbal) AS balance FROM supplier)
+SELECT 'name' AS "column", CAST(1 AS INTEGER) AS input, true AS present, CAST(1 AS INTEGER) AS position, 'string' AS type, name AS filled FROM c UNION ALL SELECT 'balance', 1, true, 2, 'double', balance FROM c
+UNION ALL SELECT 'segment', 1, true, 3, 'string', segment FROM c UNION ALL SELECT 'name', 2, true, 2, 'string', name FROM s UNION ALL SELECT 'balance', 2, true, 1, 'double', balance FROM s UNION ALL SELECT 'segment', 2, false, NULL, NULL, 0 FROM s""")
 def alignment(t: Tables) -> DataFrame:
-    return alignment_report(_people(t))
+    """How the inputs line up, and how many values each one brings to a column."""
+    inputs = _people(t)
+    counts = [d.agg(*[F.count(c).alias(c) for c in d.columns]).unpivot([], list(d.columns), "column", "filled").withColumn("input", F.lit(k)) for k, d in enumerate(inputs, 1)]
+    return alignment_report(inputs).join(stack(counts), ["column", "input"], "left").fillna(0, ["filled"])
 
 
 # --- duplicates ----------------------------------------------------------------

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -19,3 +22,15 @@ def build_session(app: str = "gristmill", **more: str) -> SparkSession:
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in more.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from the folder the driver has it in.
+
+    On a cluster without such a folder the package is installed or shipped with
+    ``--py-files``; an unknown entry on the path does no harm there.
+    """
+    home, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if home not in known:
+        env["PYTHONPATH"] = os.pathsep.join([home, *known])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gristmill.operators.cleaning import apply_casts
 from gristmill.operators.stacking import stack
+from gristmill.session import importable
 
 HEAD_BYTES = 16 * 1024
 SEPARATORS = (";", ",", "\t", "|")
@@ -72,6 +73,7 @@ def csv_dialects(spark: SparkSession, path: str) -> DataFrame:
 
     Spark hands each file to a task, which looks at its head only.
     """
+    importable(spark)
     files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, HEAD_BYTES).alias("head"))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,6 +120,7 @@ def read_delimited(
 
 def _skipping(spark: SparkSession, path: str | list[str], lines: int, sep: str, charset: str) -> DataFrame:
     """Drop the leading lines and the header of each file, then parse the rest."""
+    importable(spark)
     text = spark.read.option("encoding", charset).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"))
     raw = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 1 << 20).alias("head")).orderBy("path").first()  # one file's head names the columns
     if raw is None:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.session import importable
+
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 #: Built-in number formats that show dates (fixed values).
@@ -97,6 +99,7 @@ def read_cells(spark: SparkSession, path: str, sheet: str | None = None) -> Data
                 for at in range(0, len(rows), 20_000):
                     yield pd.DataFrame(rows[at : at + 20_000], columns=["file", "row", "col", "value", "cell_type"])
 
+    importable(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, CELLS)
 
 
