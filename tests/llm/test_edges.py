@@ -269,3 +269,20 @@ def test_lattice(spark):
     assert got[None][0] == 0
     assert embedding_links(df.where("false")).count() == 0
     assert embedding_links(df.where("vec_id = 4")).count() == 1
+
+
+def test_pipeline_stages(spark, docs, labels, tmp_path):
+    import corpus_pipeline
+
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for name, table in (("some", docs), ("none", docs.where("false"))):
+        at = table.select("doc_id", "text", "lang", "source", "n_chars", "keep", "epoch")
+        counts = []
+        for k, (stage, run) in enumerate(corpus_pipeline.STAGES):
+            at = run(spark, at, str(tmp_path))
+            at.write.parquet(str(tmp_path / f"{name}-{k}"))
+            at = spark.read.parquet(str(tmp_path / f"{name}-{k}"))
+            counts.append(at.count())
+            if k < 4:
+                assert at.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert counts == [0] * 5 if name == "none" else counts[0] == counts[1] >= counts[2] <= counts[3] == counts[4]
