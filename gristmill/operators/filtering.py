@@ -18,14 +18,15 @@ def _keys(df: DataFrame, names: Sequence[str], case_insensitive: bool) -> list[C
 
 def _reference(ref: DataFrame, pairs: Sequence[tuple[str, str]], case_insensitive: bool) -> DataFrame:
     keys = _keys(ref, [b for _, b in pairs], case_insensitive)
-    return ref.select(*[k.alias(f"_ref_{i}") for i, k in enumerate(keys)]).dropna().distinct()
+    return ref.select(*[k.alias(f"_ref_{i}") for i, k in enumerate(keys)]).dropna()
 
 
 def membership_filter(df: DataFrame, ref: DataFrame, pairs: Sequence[tuple[str, str]], keep: bool = True, case_insensitive: bool = False) -> DataFrame:
     """Rows of ``df`` whose key columns equal those of some reference row, as text; ``keep=False`` for all others.
 
     A null in a key never matches, so excluding keeps rows with a null key.
-    Works on a streaming ``df`` with a static reference.
+    Works on a streaming ``df`` with a static reference.  The reference is not
+    made distinct first: then both sides exchange, and a hot key can be split.
     """
     if not pairs:
         raise ValueError("a membership filter needs a pair of columns")
@@ -38,13 +39,16 @@ def membership_filter(df: DataFrame, ref: DataFrame, pairs: Sequence[tuple[str,
 def membership_counts(df: DataFrame, ref: DataFrame, pairs: Sequence[tuple[str, str]], case_insensitive: bool = False, keep: bool = True) -> DataFrame:
     """One row: total_main, total_ref, matches, kept, excluded, null_keys."""
     left = _keys(df, [a for a, _ in pairs], case_insensitive)
-    keys = _reference(ref, pairs, case_insensitive).withColumn("_hit", F.lit(True))
-    slim = df.select(*[k.alias(f"_key_{i}") for i, k in enumerate(left)])
-    on = reduce(lambda a, b: a & b, [F.col(f"_key_{i}") == F.col(f"_ref_{i}") for i in range(len(left))])
-    null = reduce(lambda a, b: a | b, [F.col(f"_key_{i}").isNull() for i in range(len(left))])
+    keys = _reference(ref, pairs, case_insensitive).distinct().withColumn("_hit", F.lit(True))
+    names = [f"_key_{i}" for i in range(len(left))]
+    # rows are counted per key before the join, so a hot key is one row in it
+    per = df.select(*[k.alias(n) for n, k in zip(names, left)]).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    on = reduce(lambda a, b: a & b, [F.col(n) == F.col(f"_ref_{i}") for i, n in enumerate(names)])
+    null = reduce(lambda a, b: a | b, [F.col(n).isNull() for n in names])
     hit = F.col("_hit").isNotNull()
-    counts = slim.join(keys, on, "left").agg(
-        F.count(F.lit(1)).alias("total_main"), F.count_if(hit).alias("matches"), F.count_if(hit if keep else ~hit).alias("kept"),
-        F.count_if(~hit if keep else hit).alias("excluded"), F.count_if(null).alias("null_keys"),
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0)).cast("long")
+    counts = per.join(keys, on, "left").agg(
+        total(F.lit(True)).alias("total_main"), total(hit).alias("matches"), total(hit if keep else ~hit).alias("kept"),
+        total(~hit if keep else hit).alias("excluded"), total(null).alias("null_keys"),
     )
     return counts.crossJoin(ref.agg(F.count(F.lit(1)).alias("total_ref")))
