@@ -1,0 +1,6 @@
+"""No operators of its own: row-level operators run on streaming DataFrames as they are.
+
+These are select, predicates, cleaning steps, casts, spreadsheet functions, row
+rules, masks, routing and splitting by row rules, and membership filters with a
+static reference.  Operators over groups, orders or whole tables need a batch.
+"""
