@@ -166,12 +166,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, l
     docs = docs.drop("text_score", "meta_score", "quality_score", "keep")
     fit = fit_views(docs, labels, label_col, **how)
     added = "text_score double, meta_score double, quality_score double"
-    spread = docs.withColumns({f"_view_{c}": F.col(c).cast("string") for c in ("text", "lang", "source")} | {"_view_n_chars": F.col("n_chars").cast("long")})
+    # columns of other types are cast beside the originals; the usual ones travel once
+    wanted = {"text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
+    view = {c: c if dict(docs.dtypes)[c] == kind else f"_view_{c}" for c, kind in wanted.items()}
+    spread = docs.withColumns({v: F.col(c).cast(wanted[c]) for c, v in view.items() if v != c})
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = pa.RecordBatch.from_arrays([batch.column(f"_view_{c}") for c in COLUMNS[1:]], list(COLUMNS[1:]))
+            own = pa.RecordBatch.from_arrays([batch.column(view[c]) for c in COLUMNS[1:]], list(COLUMNS[1:]))
             scores = _scores(fit, *_views(own)) if fit else [np.ones(batch.num_rows)] * 3
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(s, pa.float64()) for s in scores)], [*names, "text_score", "meta_score", "quality_score"])
 
