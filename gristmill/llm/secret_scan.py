@@ -5,7 +5,8 @@ method adds spans of kind markov: runs of 16 or more key characters that do not
 touch a base span and whose character pairs are likelier under a model of
 random strings than under one of ordinary identifiers.  Both models are counted
 over labelled samples: what the base patterns found is random, other long runs
-without a digit are ordinary (a random string of that length rarely has none).  The sample is bounded by ``sample_docs``; the scan covers
+that do not mix letters and digits are ordinary words, names or numbers (a random
+string of that length nearly always mixes them).  The sample is bounded by ``sample_docs``; the scan covers
 every document.
 
 Everything is a native expression.  Positions come from splitting the text at
@@ -100,7 +101,7 @@ def pair_scores(docs: DataFrame, id_col: str, text_col: str, sample_docs: int =
     picked = docs.where(F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 20)) < int(share * (1 << 20) + 1)).select(or_empty(text_col).alias("text"))
     picked = with_spans(with_base_spans(picked, "base", "text"), "run", "text", RUN, 3)
     sample = lambda c, r: F.transform(c, lambda x: F.struct(F.lit(r).alias("random"), x["text"].alias("s")))
-    ordinary = F.filter("run", lambda x: _apart(x, F.col("base")) & ~x["text"].rlike("[0-9]"))
+    ordinary = F.filter("run", lambda x: _apart(x, F.col("base")) & ~(x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]")))
     both = picked.select(F.explode(F.concat(sample(F.col("base"), 1), sample(ordinary, 0))).alias("x")).select("x.*")
     pairs = both.where("length(s) > 1").select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))).alias("pair"))
     counts = pairs.groupBy("random", "pair").count().collect()
