@@ -6,7 +6,8 @@ documents.  All but the last return the columns of ``documents``.
 
 1. quality: documents scored under 0.5 by the co-trained classifier go;
 2. line dedup: later occurrences of three-line windows go from the texts;
-3. near dedup: one document of each SimHash component stays;
+3. near dedup: one document of each group linked by a Jaccard similarity of 0.8
+   or more over five-word shingles stays;
 4. mixing: sources are dealt to tempered weights, each document at least once
    (a document comes once per block, so ids may repeat from here on);
 5. BPE: the mixed texts are encoded and decoded.
@@ -29,7 +30,7 @@ from gristmill.llm.line_dedup import line_dedup
 from gristmill.llm.mixing import mix_sources
 from gristmill.llm.quality import quality_scores
 from gristmill.llm.queries import tokenizer_path
-from gristmill.llm.simhash import keep_one
+from gristmill.llm.shingle_dedup import keep_first
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,7 +61,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are one component and leave one document; rows without
     an id stay; rows that repeat an id stay or go together.
     """
-    return keep_one(docs.select(*COLUMNS))
+    return keep_first(docs.select(*COLUMNS), size=5, similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

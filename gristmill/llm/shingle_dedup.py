@@ -1,0 +1,212 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles.
+
+Texts with equal shingle sets are one node.  Candidates come from prefix
+filtering: in any fixed order of the shingles, two sets of similarity t or more
+share one of the first n - ceil(t n) + 1 of either, so no pair is lost.  The
+order puts shingles of rarely used slots first, which keeps common passages
+out of the prefixes; the slot counts only decide the cost, never the result.
+Every candidate is verified on its full sets.
+
+Large groups of near copies are joined first, by links to one member of each
+min-hash bucket; after that only pairs of different groups are candidates.
+Published methods: Bayardo et al., "Scaling Up All Pairs Similarity Search"
+(2007); Xiao et al., "Efficient Similarity Joins for Near Duplicate Detection"
+(2008); Broder, "On the resemblance and containment of documents" (1997).
+
+Edge cases: null and empty texts have an empty set and are one node; a text of
+fewer words than a shingle is one shingle; rows that repeat a doc_id are one
+document; rows with a null id stay; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gristmill.llm.common import checked_broadcast, cut, need, spread_join, texts
+from gristmill.llm.components import connected_components
+from gristmill.llm.simhash import shingle_hashes
+
+SLOTS = 1 << 18
+MINS = 8
+_SALTS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(MINS)], np.uint64)
+
+
+def shingle_set(text: str, size: int = 5) -> np.ndarray:
+    """Sorted distinct shingle hashes of one text."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def signature(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 7)
+
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    flat = np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def slot_counts(docs: DataFrame, size: int = 5) -> np.ndarray:
+    """In how many texts each slot of the shingle hashes occurs; ``SLOTS`` numbers whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for t in texts(batch, "text"):
+                np.add.at(total, (shingle_set(t, size) % np.uint64(SLOTS)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["slot", "n"])
+
+    got = docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def sketches(docs: DataFrame, counts: np.ndarray, size: int, least: Fraction) -> DataFrame:
+    """``(doc_id, sig, n, mins, prefix)``: set identity, set size, min-hashes, and the first shingles in the common order."""
+    rank = counts.astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs, sizes, mins, prefixes = [], [], [], []
+            for t in texts(batch, "text"):
+                s = shingle_set(t, size)
+                n = len(s)
+                keep = n - -(-n * least.numerator // least.denominator) + 1 if n else 0
+                order = np.lexsort((s, rank[(s % np.uint64(SLOTS)).astype(np.int64)]))[:keep]
+                sigs.append(signature(s))
+                sizes.append(n)
+                prefixes.append(s[order])
+                mixed = (s[:, None] ^ (s[:, None] >> np.uint64(31))) * _SALTS[None, :]
+                mins.append((mixed ^ (mixed >> np.uint64(29))).min(axis=0) if n else np.zeros(0, np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), _signed(sigs), pa.array(sizes, pa.int32()), _lists(mins), _lists(prefixes)], ["doc_id", "sig", "n", "mins", "prefix"]
+            )
+
+    return docs.mapInArrow(run, "doc_id long, sig long, n int, mins array<long>, prefix array<long>")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: Fraction) -> DataFrame:
+    """The pairs ``(a, b)`` of set identities whose full sets reach the similarity."""
+    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
+    ids = checked_broadcast(cut(nodes.join(wanted, "sig").select(F.col("rep").alias("doc_id")).distinct()))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([_signed([signature(s) for s in sets]), _lists(sets)], ["sig", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.zeros(batch.num_rows, bool)
+            x, y = batch.column("x"), batch.column("y")
+            for k in range(batch.num_rows):
+                p, q = x[k].values.to_numpy(), y[k].values.to_numpy()
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                near[k] = both * least.denominator >= least.numerator * (len(p) + len(q) - both)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(near)), batch.column("b").filter(pa.array(near))], ["a", "b"])
+
+    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(read, "sig long, shingles array<long>").groupBy("sig").agg(F.first("shingles").alias("shingles"))
+    sets = cut(sets)
+    work = spread_join(pairs, sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), ["b"])
+    work = spread_join(work, sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), ["a"])
+    return work.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def star_pairs(nodes: DataFrame) -> DataFrame:
+    """Each node with one member of each of its min-hash buckets; linear in the nodes."""
+    rows = nodes.select("sig", F.posexplode("mins").alias("k", "key"))
+    rows = rows.select("sig", F.xxhash64("k", "key").alias("key"), F.xxhash64("k", "sig").alias("turn"))
+    middle = rows.groupBy("key").agg(F.min(F.struct("turn", "sig")).alias("m"), F.count("*").alias("c")).where("c > 1").select("key", F.col("m.sig").alias("a"))
+    return spread_join(rows, middle, ["key"]).where("a <> sig").select("a", F.col("sig").alias("b")).distinct()
+
+
+def _cross(sig: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, least: Fraction, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one bucket that lie in different groups and may reach the similarity by their sizes and places."""
+    order = np.argsort(n, kind="stable")
+    sig, n, at, group = sig[order], n[order], at[order], group[order]
+    p, q = least.numerator, least.denominator
+    start = 0
+    while start < len(n):
+        stop = min(len(n), start + max(1, cells // (len(n) - start)))
+        reach = int(np.searchsorted(n, n[stop - 1] * q // p, "right"))
+        a, b = slice(start, stop), slice(start, reach)
+        need_both = -(-(n[a, None] + n[None, b]) * p // (p + q))
+        left = 1 + np.minimum((n - at - 1)[a, None], (n - at - 1)[None, b])
+        good = (group[a, None] != group[None, b]) & (n[None, b] * p <= n[a, None] * q) & (left >= need_both)
+        good &= np.arange(start, reach)[None, :] > np.arange(start, stop)[:, None]
+        i, j = np.nonzero(good)
+        if len(i):
+            yield sig[i + start], sig[j + start]
+        start = stop
+
+
+def prefix_pairs(nodes: DataFrame, least: Fraction) -> DataFrame:
+    """All pairs ``(a, b)`` of different groups that share a prefix shingle; ``nodes`` has a column ``part`` for the group."""
+    rows = nodes.select("sig", "n", "part", F.posexplode("prefix").alias("at", "key")).select("key", "sig", "n", "at", "part")
+    rows = rows.repartition("key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("key", "sig", "n", "at", "part")
+        held = [np.zeros(0, np.int64)] * 5
+
+        def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, sig, n, at, part = cols
+            if not len(key):
+                return
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            ends = np.append(starts[1:], len(key))
+            for s, e in zip(*(x[np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)].tolist() for x in (starts, ends))):
+                for a, b in _cross(sig[s:e], n[s:e], at[s:e], part[s:e], least):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = [np.concatenate((h, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64))) for h, c in zip(held, names)]
+            last = int(np.searchsorted(held[0], held[0][-1], "left"))
+            if last:
+                yield from pairs([h[:last] for h in held])
+                held = [h[last:] for h in held]
+        yield from pairs(held)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)``: the smallest doc_id reachable over pairs of at least this Jaccard similarity."""
+    need(docs, id_col, text_col)
+    least = Fraction(str(similarity))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    rows = cut(sketches(docs, slot_counts(docs, size), size, least))
+    nodes = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("prefix").alias("prefix")))
+    slim = rows.select("doc_id", "sig")
+    low = slim.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a <> z").select("doc_id", "a")
+    links = cut(verified(cut(star_pairs(nodes)), nodes, docs, size, least).union(slim.join(low, "doc_id").where("a <> sig").select("a", F.col("sig").alias("b"))))
+    members = connected_components(links, "a", "b").withColumnRenamed("node", "sig")
+    parts = nodes.join(members, "sig", "left").withColumn("part", F.coalesce("component", "sig"))
+    more = verified(cut(prefix_pairs(parts, least)), nodes, docs, size, least)
+    members = connected_components(links.union(more), "a", "b").withColumnRenamed("node", "sig")
+    known = cut(nodes.select("sig", "rep").join(members, "sig", "left").select("sig", "rep", F.coalesce("component", "sig").alias("part")))
+    first = known.groupBy("part").agg(F.min("rep").alias("component_id"))
+    known = spread_join(known, first, ["part"]).select("sig", "component_id")
+    return spread_join(slim, known, ["sig"]).select("doc_id", "component_id").distinct()
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents that are the first of their component; documents without an id stay."""
+    groups = jaccard_components(docs, id_col, text_col, **how)
+    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_near_drop")).distinct()
+    return docs.join(drop, F.col(id_col).cast("long") == F.col("_near_drop"), "left_anti")
