@@ -4,10 +4,9 @@ The fixed patterns give the base spans (kinds assign, access and hex).  The
 method adds spans of kind markov: runs of 16 or more key characters that do not
 touch a base span and whose character pairs are likelier under a model of
 random strings than under one of ordinary identifiers.  Both models are counted
-over labelled samples: what the base patterns found is random, other long runs
+over all documents: what the base patterns found is random, other long runs
 that do not mix letters and digits are ordinary words, names or numbers (a random
-string of that length nearly always mixes them).  The sample is bounded by ``sample_docs``; the scan covers
-every document.
+string of that length nearly always mixes them).
 
 Everything is a native expression.  Positions come from splitting the text at
 the matches and adding up lengths; positions are code points, ends exclusive.
@@ -88,17 +87,13 @@ def _apart(x: Column, base: Column) -> Column:
     return ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
 
 
-def pair_scores(docs: DataFrame, id_col: str, text_col: str, sample_docs: int = 4000) -> dict[str, float] | None:
+def pair_scores(docs: DataFrame, text_col: str) -> dict[str, float] | None:
     """Log-likelihood ratio of each character pair, random over ordinary.
 
-    Counted over about ``sample_docs`` documents chosen by a hash of their id;
-    the counts that come back are bounded by the square of the alphabet.
+    Counted over all documents; pairs are combined before the shuffle, and the
+    counts that come back are bounded by the square of the alphabet.
     """
-    total = docs.count()
-    if not total:
-        return None
-    share = min(1.0, sample_docs / total)
-    picked = docs.where(F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 20)) < int(share * (1 << 20) + 1)).select(or_empty(text_col).alias("text"))
+    picked = docs.select(or_empty(text_col).alias("text"))
     picked = with_spans(with_base_spans(picked, "base", "text"), "run", "text", RUN, 3)
     sample = lambda c, r: F.transform(c, lambda x: F.struct(F.lit(r).alias("random"), x["text"].alias("s")))
     ordinary = F.filter("run", lambda x: _apart(x, F.col("base")) & ~(x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]")))
@@ -149,14 +144,14 @@ def _listed(spans: Column) -> Column:
 
 
 def secret_scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 4000, least_total: float = 12.0, least_mean: float = 0.6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_total: float = 12.0, least_mean: float = 0.6
 ) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, n_markov, base, spans)`` of every whole text.
 
     ``base`` and ``spans`` list ``kind:start:end`` by start, then kind.
     """
     need(docs, id_col, text_col)
-    scores = pair_scores(docs, id_col, text_col, sample_docs)
+    scores = pair_scores(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), or_empty(text_col).alias("text"))
     rows = with_base_spans(rows, "b", "text")
     if scores:
