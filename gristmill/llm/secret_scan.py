@@ -36,19 +36,20 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 BLOCK = 128
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _before(lengths: Column) -> Column:
     """For each element the sum of those before it; sums of blocks keep long arrays from costing their square."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     n = F.size(lengths)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")),
-        lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda a, x: a + x),
-    )
-    starts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(blocks, F.lit(1), b), F.lit(0), lambda a, x: a + x))
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.get(starts, F.floor(i / BLOCK).cast("int"))
-        + F.aggregate(F.slice(lengths, (F.floor(i / BLOCK) * BLOCK + 1).cast("int"), (i % BLOCK).cast("int")), F.lit(0), lambda a, x: a + x),
-    )
+    places = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+    blocks = F.transform(places, lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+    starts = _let(blocks, lambda sums: F.transform(places, lambda b: total(F.slice(sums, F.lit(1), b))))
+    within = lambda i: total(F.slice(lengths, (F.floor(i / BLOCK) * BLOCK + 1).cast("int"), (i % BLOCK).cast("int")))
+    return _let(starts, lambda at: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(at, F.floor(i / BLOCK).cast("int")) + within(i)))
 
 
 SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
@@ -83,8 +84,16 @@ def with_base_spans(rows: DataFrame, name: str, text: str) -> DataFrame:
     return rows.withColumn(name, F.concat("_assign", "_access", "_hex")).drop("_assign", "_access", "_hex")
 
 
-def _apart(x: Column, base: Column) -> Column:
-    return ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+def _below(places: Column, limit: Column) -> Column:
+    """How many of the sorted ``places`` are below the limit, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step.cast("long") <= F.size(places)) & (F.get(places, at + step - 1) < limit), at + step).otherwise(at))
+
+
+def _clear(runs: Column, base: Column, good) -> Column:
+    """The runs that are ``good`` and touch no base span: as many spans start before the run's end as end before its start."""
+    ends = F.struct(F.array_sort(F.transform(base, lambda b: b["start"])).alias("starts"), F.array_sort(F.transform(base, lambda b: b["end"])).alias("ends"))
+    return _let(ends, lambda e: F.filter(runs, lambda x: good(x) & (_below(e["starts"], x["end"]) == _below(e["ends"], x["start"] + 1))))
 
 
 def pair_scores(docs: DataFrame, text_col: str) -> dict[str, float] | None:
@@ -96,9 +105,10 @@ def pair_scores(docs: DataFrame, text_col: str) -> dict[str, float] | None:
     picked = docs.select(or_empty(text_col).alias("text"))
     picked = with_spans(with_base_spans(picked, "base", "text"), "run", "text", RUN, 3)
     sample = lambda c, r: F.transform(c, lambda x: F.struct(F.lit(r).alias("random"), x["text"].alias("s")))
-    ordinary = F.filter("run", lambda x: _apart(x, F.col("base")) & ~(x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]")))
+    ordinary = _clear(F.col("run"), F.col("base"), lambda x: ~(x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]")))
     both = picked.select(F.explode(F.concat(sample(F.col("base"), 1), sample(ordinary, 0))).alias("x")).select("x.*")
-    pairs = both.where("length(s) > 1").select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))).alias("pair"))
+    cs = both.where("length(s) > 1").select("random", F.split("s", "").alias("c"))
+    pairs = cs.select("random", F.explode(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: F.concat(a, b))).alias("pair"))
     counts = pairs.groupBy("random", "pair").count().collect()
     per: dict[int, dict[str, int]] = {0: defaultdict(int), 1: defaultdict(int)}
     for r in counts:
@@ -126,16 +136,15 @@ def markov_spans(runs: Column, base: Column, scores: dict[str, float], least_tot
     for k, v in scores.items():
         flat[ord(k[0]) * width + ord(k[1])] = f"{v:.4f}"
     lookup = F.split(F.lit(",".join(flat)), ",").cast("array<double>")
-    at = lambda s, i: F.ascii(F.substring(s, i, F.lit(1)))
-    total = lambda s: F.aggregate(
-        F.sequence(F.lit(1), F.length(s) - 1), F.lit(0.0), lambda a, i: a + F.coalesce(F.get(lookup, at(s, i) * width + at(s, i + 1)), F.lit(0.0))
-    )
+    pair = lambda before, ch: F.coalesce(F.get(lookup, before * width + F.ascii(ch)), F.lit(0.0))
+    start = F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("sum"))  # no pair is looked up under a place below zero
+    step = lambda a, ch: F.struct(F.ascii(ch).alias("before"), (a["sum"] + pair(a["before"], ch)).alias("sum"))
 
     def likely(x: Column) -> Column:
-        score = total(x["text"])
-        return _apart(x, base) & (score >= least_total) & (score / (F.length(x["text"]) - 1) >= least_mean)
+        score = F.aggregate(F.split(x["text"], ""), start, step, lambda a: a["sum"])
+        return _let(score, lambda v: (v >= least_total) & (v / (F.length(x["text"]) - 1) >= least_mean))
 
-    return F.filter(runs, likely)
+    return _clear(runs, base, likely)
 
 
 def _listed(spans: Column) -> Column:
