@@ -55,7 +55,8 @@ def test_a_run_of_a_megabyte_is_linear(spark):
 
     rng = random.Random(9)
     key = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
-    docs = spark.createDataFrame([(0, f"see internationalization_of_names token={key(64)}"), (1, f"blob {key(1_000_000)} end")], "doc_id long, text string")
+    rows = [(2 + i, f"see internationalization_of_names token={key(64)} getCustomerAccountBalance") for i in range(100)]
+    docs = spark.createDataFrame([*rows, (1, f"blob {key(1_000_000)} end")], "doc_id long, text string")
     began = time.monotonic()
     got = {r["doc_id"]: r["spans"] for r in secret_scan(docs).collect()}
     assert got[1] == "markov:5:1000005" and time.monotonic() - began < 30
