@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.operators.routing import route
 from gristmill.plans.tables import Tables, register
+from gristmill.session import shared_folder
 from gristmill.sources.delimited import csv_dialects, read_delimited, read_mixed
 from gristmill.sources.sinks import write_delimited, write_routed, write_sheet_sized
 
@@ -19,9 +19,8 @@ query = register(QUERIES, ORACLE_SQL)
 
 
 def scratch(t: Tables, name: str) -> str:
-    """A new folder in the shared checkpoint folder, or a temporary one where the session names none."""
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gristmill-files-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared folder; whoever owns that folder clears it."""
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 _CASTS = [{"column": "o_orderkey", "type": "number"}, {"column": "price", "type": "number"}, {"column": "day", "type": "date", "format": "%Y-%m-%d %H:%M:%S"}]

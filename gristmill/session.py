@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -34,3 +35,19 @@ def importable(spark: SparkSession) -> None:
     known = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
     if home not in known:
         env["PYTHONPATH"] = os.pathsep.join([home, *known])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    A session in one process (a ``local`` master, as in tests) may leave it
+    unset and gets a folder of its own; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gristmill-shared-"))
+        named = sc.getCheckpointDir()
+    return named.rstrip("/")

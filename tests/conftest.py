@@ -22,6 +22,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.legacy.javaCharsets", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gristmill-shared-"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="gristmill-warehouse-"))
         .getOrCreate()
     )
