@@ -30,7 +30,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, need, partitions, shared_dir, texts
+from gristmill.llm.common import cut, need, partitions, texts
+from gristmill.session import shared_folder
 
 BLOCK = 576
 HEADER_BYTES = 33  # signature and header chunk of the image format
@@ -181,7 +182,7 @@ def payload_columns(media: DataFrame) -> DataFrame:
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text as a payload and return one row per document with its media columns."""
-    folder = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     rows = cut(pack_payloads(docs, folder, id_col, text_col))
     one = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "media_bytes", "media_sha256")).alias("at")).select("digest", "at.*")
     one = one.withColumn("shard", F.concat(F.lit(f"{folder}/"), "shard"))

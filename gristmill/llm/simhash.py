@@ -7,8 +7,12 @@ compared in full with numpy exclusive-or and bit counts.  A tile pair reports a
 spanning forest of its links instead of all of them, which keeps every
 component and stays linear in the tile size.
 
+``near_duplicates`` takes a similarity instead of a radius: wide fingerprints of
+256 bits, compared in tiles of like set sizes, give the candidates, and every
+link is verified on the full shingle sets.
+
 Edge cases: null and empty texts have fingerprint zero and are linked like any
-other; equal fingerprints are one node; rows with a null id get the component
+other (in ``near_duplicates`` they are one node); equal fingerprints are one node; rows with a null id get the component
 of their fingerprint's other rows, or null; rows that repeat a doc_id are one
 document; an empty table gives no rows; extra columns are ignored.
 """
@@ -16,6 +20,7 @@ document; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, need, partitions, texts
+from gristmill.llm.common import checked_broadcast, cut, item_bounds, need, partitions, spread_join, texts, whole_items
 from gristmill.llm.components import connected_components
 
 
@@ -41,13 +46,24 @@ def shingle_hashes(text: str, size: int = 4, seed: int = 42) -> np.ndarray:
     return np.array([digest(flat[a:b], seed) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())], np.uint64)
 
 
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+
+
+def bit_votes(words: np.ndarray) -> np.ndarray:
+    """How many rows of ``words`` have each bit set, highest bit first; many rows are counted by byte values."""
+    n, k = words.shape
+    data = words.astype(">u8").view(np.uint8).reshape(n, 8 * k)
+    if n < 300:
+        return np.unpackbits(data, axis=1).sum(axis=0, dtype=np.int64)
+    seen = np.bincount((data + np.arange(8 * k, dtype=np.int32) * 256).ravel(), minlength=2048 * k)
+    return (seen.reshape(8 * k, 256) @ _BITS).ravel()
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """64 bits; a bit is set if it is set in over half of the hashes."""
     if not len(hashes):
         return 0
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    votes = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int.from_bytes(np.packbits(votes).tobytes(), "big")
+    return int.from_bytes(np.packbits(bit_votes(hashes[:, None]) * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
@@ -174,6 +190,324 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(known, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- near-duplicates by similarity ----------------------------------------------
+
+#: Bits of the wide fingerprint are four words of 64; the first is also compared alone.
+WORDS = 4
+#: Two sets of similarity 0.8 differ in about 39 of 256 bits with a deviation of 6, and in about 10 of the first 64 with a deviation of 3.
+RADIUS, FIRST = 60, 23
+#: Sets of few shingles spread further.
+FEW, RADIUS_FEW, FIRST_FEW = 8, 72, 27
+#: Links this close are nearly always over the similarity.
+TIGHT = 36
+ITEM = ("family", "a", "b")
+
+
+def shingle_set(text: str, size: int = 5) -> np.ndarray:
+    """Sorted distinct shingle hashes of one text."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def signature(shingles: np.ndarray) -> int:
+    """Identity of a set: equal sets are one node."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 7)
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """256 bits of majority over the shingles, as four unsigned words."""
+    if not len(shingles):
+        return np.zeros(WORDS, np.uint64)
+    words = np.empty((len(shingles), WORDS), np.uint64)
+    words[:, 0] = shingles
+    for k in range(1, WORDS):
+        h = shingles ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
+        words[:, k] = h ^ (h >> np.uint64(33))
+    return np.packbits(bit_votes(words) * 2 > len(shingles)).view(">u8").astype(np.uint64)
+
+
+def _longs(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
+
+
+def sketches(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``(doc_id, sig, n, grade, f0 .. f3)``: set identity and size, its size grade, and the wide fingerprint.
+
+    Sets of similarity s differ in size by a factor of 1/s at most, so their
+    grades, powers of 1/s, differ by one at most.
+    """
+    step = float(np.log(1 / similarity))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in texts(batch, "text")]
+            n = np.array([len(s) for s in sets], np.int64)
+            f = np.array([wide_fingerprint(s) for s in sets], np.uint64).reshape(-1, WORDS)
+            grade = np.floor(np.log(np.maximum(n, 1)) / step + 1e-9).astype(np.int32)
+            sig = np.array([signature(s) for s in sets], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), _longs(sig), pa.array(n), pa.array(grade), *(_longs(f[:, k]) for k in range(WORDS))], ["doc_id", "sig", "n", "grade", *(f"f{k}" for k in range(WORDS))]
+            )
+
+    return docs.mapInArrow(run, "doc_id long, sig long, n long, grade int, " + ", ".join(f"f{k} long" for k in range(WORDS)))
+
+
+def wide_matches(fa: np.ndarray, na: np.ndarray, fb: np.ndarray | None, nb: np.ndarray | None, similarity: float, cells: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of ``(i, j, distance)`` within the radius between two tiles (or within one): rows of a, rows of b.
+
+    Rows are laid out by the population count of the first word; a block of rows
+    meets only the columns whose count can be in reach.
+    """
+    same = fb is None
+    fb, nb = (fa, na) if same else (fb, nb)
+    if not len(fa) or not len(fb):
+        return
+    few = min(na.min(), nb.min()) < FEW
+    radius, first = (RADIUS_FEW, FIRST_FEW) if few else (RADIUS, FIRST)
+    pa_, pb_ = np.bitwise_count(fa[:, 0]).astype(np.int64), np.bitwise_count(fb[:, 0]).astype(np.int64)
+    oa, ob = np.argsort(pa_, kind="stable"), np.argsort(pb_, kind="stable")
+    a, b, pa_, pb_ = fa[oa, 0].copy(), fb[ob, 0].copy(), pa_[oa], pb_[ob]
+    at = 0
+    while at < len(a):
+        left = int(np.searchsorted(pb_, pa_[at] - first, "left"))
+        left = max(left, at) if same else left
+        upto = min(len(a), at + max(1, cells // max(1, len(b) - left)))
+        right = int(np.searchsorted(pb_, pa_[upto - 1] + first, "right"))
+        if right > left:
+            near = np.flatnonzero(np.bitwise_count(a[at:upto, None] ^ b[None, left:right]) <= first)
+            i, j = np.divmod(near, right - left)
+            i, j = i + at, j + left
+            if same:
+                i, j = i[j > i], j[j > i]
+            i, j = oa[i], ob[j]
+            low, high = np.minimum(na[i], nb[j]), np.maximum(na[i], nb[j])
+            fits = low >= high * similarity - 1e-9
+            i, j = i[fits], j[fits]
+            d = np.bitwise_count(fa[i] ^ fb[j]).sum(axis=1, dtype=np.int64)
+            close = d <= radius
+            if close.any():
+                yield i[close], j[close], d[close]
+        at = upto
+
+
+def wide_links(nodes: DataFrame, similarity: float, tile_rows: int) -> DataFrame:
+    """``(kind, a, b)`` over all pairs of nodes within the radius.
+
+    Kind 0 is a spanning forest of the candidate pairs.  Kind 1 leads every
+    node to one tight candidate, the one that comes first in a random order, so
+    that the members of a dense group share their leaders.
+    """
+    spark = nodes.sparkSession
+    sizes = {r["grade"]: r["count"] for r in nodes.groupBy("grade").count().collect()}  # one row for each size grade
+    slots = {g: max(1, -(-c // tile_rows)) for g, c in sizes.items()}
+    slots_of = F.element_at(F.create_map(*[F.lit(x) for g, c in slots.items() for x in (g, c)]), F.col("grade")) if slots else F.lit(1)
+    row = F.struct("sig", "n", *(f"f{k}" for k in range(WORDS)))
+    tiles = nodes.withColumn("slot", F.pmod(F.xxhash64("sig"), slots_of).cast("int")).groupBy("grade", "slot").agg(F.collect_list(row).alias("rows"))
+    tiles = cut(tiles)
+    a = tiles.select(F.col("grade").alias("grade_a"), F.col("slot").alias("slot_a"), F.explode(F.array("grade", F.col("grade") + 1)).alias("grade_b"))
+    b = tiles.select(F.col("grade").alias("grade_b"), F.col("slot").alias("slot_b"))
+    pairs = a.join(b, "grade_b").where("grade_b > grade_a or slot_b >= slot_a")
+    left = tiles.select(F.col("grade").alias("grade_a"), F.col("slot").alias("slot_a"), F.col("rows").alias("rows_a"))
+    right = tiles.select(F.col("grade").alias("grade_b"), F.col("slot").alias("slot_b"), F.col("rows").alias("rows_b"))
+    work = pairs.join(left, ["grade_a", "slot_a"]).join(right, ["grade_b", "slot_b"])
+    work = work.repartition(max(2 * partitions(spark), sum(slots.values())), "grade_a", "slot_a", "grade_b", "slot_b")
+
+    def tile(batch: pa.RecordBatch, name: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = batch.column(name).slice(k, 1).flatten()
+        col = lambda f: rows.field(f).to_numpy(zero_copy_only=False)
+        return col("sig"), col("n"), np.column_stack([col(f"f{w}").view(np.uint64) for w in range(WORDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sig, n, f = tile(batch, "rows_a", k)
+                same = all(batch.column(f"{x}_a")[k] == batch.column(f"{x}_b")[k] for x in ("grade", "slot"))
+                sig_b, n_b, f_b = (sig, n, None) if same else tile(batch, "rows_b", k)
+                shift, every = (0, sig) if same else (len(sig), np.concatenate((sig, sig_b)))
+                rank = np.empty(len(every), np.int64)
+                rank[np.argsort(every * np.int64(-7046029254386353131), kind="stable")] = np.arange(len(every))
+                forest, lead = Forest(len(every)), np.full(len(every), len(every), np.int64)
+                for i, j, d in wide_matches(f, n, f_b, n_b, similarity):
+                    j = j + shift
+                    forest.add(i, j)
+                    i, j = i[d <= TIGHT], j[d <= TIGHT]
+                    np.minimum.at(lead, i, rank[j])
+                    np.minimum.at(lead, j, rank[i])
+                by_rank = np.argsort(rank)
+                led = np.flatnonzero(lead < len(every))
+                a, b = forest.edges()
+                a, b = np.concatenate((a, led)), np.concatenate((b, by_rank[lead[led]]))
+                kind = np.repeat(np.array([0, 1], np.int32), [len(a) - len(led), len(led)])
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(every[a]), pa.array(every[b])], ["kind", "a", "b"])
+
+    return work.mapInArrow(run, "kind int, a long, b long")
+
+
+def _sets(batch: pa.RecordBatch | pa.Table, name: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in batch.column(name).to_pylist()]
+
+
+def wanted_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``(sig, shingles)`` of the given nodes, read again from one text of each."""
+    ids = checked_broadcast(cut(nodes.select(F.col("rep").alias("doc_id")).distinct()))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([_longs(np.array([signature(s) for s in sets], np.uint64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "shingles"])
+
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(read, "sig long, shingles binary").groupBy("sig").agg(F.first("shingles").alias("shingles"))
+
+
+def _similar(both: np.ndarray, n: np.ndarray, m: np.ndarray, least: Fraction) -> np.ndarray:
+    return both * least.denominator >= least.numerator * (n + m - both)
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _sets(batch, "x"), _sets(batch, "y")
+            both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)], np.int64)
+            near = _similar(both, np.array([len(p) for p in x], np.int64), np.array([len(q) for q in y], np.int64), least)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    work = spread_join(pairs, sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), ["b"])
+    work = spread_join(work, sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), ["a"])
+    return work.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def compare_slots(sets: list[np.ndarray], n: np.ndarray, f: np.ndarray, part: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs between rows ``left`` and ``right`` that are of different parts, within the radius, and reach the similarity."""
+    same = len(left) == len(right) and (left == right).all()
+    flat = np.concatenate([sets[j] for j in right])
+    known, codes = np.unique(flat, return_inverse=True)
+    ends = np.cumsum([len(sets[j]) for j in right])
+    starts = np.concatenate(([0], ends[:-1]))
+    of: dict[int, list[np.ndarray]] = {}
+    for i, j, _ in wide_matches(f[left], n[left], None if same else f[right], None if same else n[right], similarity):
+        apart = part[left[i]] != part[right[j]]
+        i, j = i[apart], j[apart]
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        cuts = np.flatnonzero(np.diff(i)) + 1
+        for who, js in zip(i[np.concatenate(([0], cuts))] if len(i) else (), np.split(j, cuts)):
+            of.setdefault(int(who), []).append(js)
+    out_i, out_j = [], []
+    mark = np.zeros(len(known), bool)
+    for i, parts in of.items():
+        j = np.concatenate(parts)
+        own = sets[left[i]]
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        at = at[known[at] == own]
+        mark[at] = True
+        lengths = ends[j] - starts[j]
+        some = np.concatenate([codes[starts[k] : ends[k]] for k in j])
+        both = np.add.reduceat(mark[some], np.concatenate(([0], np.cumsum(lengths)[:-1])), dtype=np.int64)
+        mark[at] = False
+        good = _similar(both, np.int64(len(own)), lengths, least)
+        out_i.append(np.full(int(good.sum()), left[i]))
+        out_j.append(right[j[good]])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)
+
+
+def family_links(members: DataFrame, sets: DataFrame, similarity: float, least: Fraction, slot_shingles: int) -> DataFrame:
+    """Links ``(a, b)`` that join what the similarity links within each family, beyond the known parts.
+
+    ``members`` is ``(sig, n, f0 .. f3, family, part)``.  A family is dealt into
+    slots of bounded size, large parts into slots of their own; each pair of
+    slots is a work item of its own, except within one part.
+    """
+    parts = members.groupBy("family", "part").agg(F.sum("n").alias("size"))
+    families = parts.groupBy("family").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("size") < slot_shingles, F.col("size"))).alias("rest")).where("parts > 1")
+    own = F.ceil(F.col("size") / slot_shingles).cast("int")
+    pool = F.greatest(F.lit(1), F.ceil(F.coalesce("rest", F.lit(0)) / slot_shingles)).cast("int")
+    large = F.col("size") >= slot_shingles
+    plan = spread_join(parts, families.select("family", pool.alias("pool")), ["family"])
+    # a slot is its part and a number within it, or, for parts of the pool, part 0 and a number
+    plan = plan.select(
+        "family", "part", F.when(large, F.col("part")).otherwise(F.lit(0)).alias("of"), F.when(large, own).otherwise(F.col("pool")).alias("slots"), large.alias("large")
+    )
+    plan = cut(plan)
+    dealt = spread_join(members, plan, ["family", "part"])
+    turn = F.when(F.col("large"), F.xxhash64("sig")).otherwise(F.xxhash64("part"))
+    dealt = dealt.withColumn("slot", F.xxhash64("of", F.pmod(turn, F.col("slots"))))
+    dealt = cut(dealt.select("family", "part", "of", "slot", "sig", "n", *(f"f{k}" for k in range(WORDS))))
+    slots = dealt.select("family", "of", "slot").distinct()
+    other = slots.select("family", F.col("of").alias("of_b"), F.col("slot").alias("other"))
+    pairs = spread_join(slots, other, ["family"]).where("of <> of_b or of = 0").select("family", "slot", "other")
+    work = spread_join(spread_join(dealt, sets, ["sig"]), cut(pairs), ["family", "slot"])
+    work = work.select("family", F.least("slot", "other").alias("a"), F.greatest("slot", "other").alias("b"), "slot", "sig", "part", "n", *(f"f{k}" for k in range(WORDS)), "shingles")
+    work = work.repartition(2 * partitions(members.sparkSession), *ITEM).sortWithinPartitions(*ITEM, "sig")
+
+    def report(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        col = lambda c: table.column(c).to_numpy()
+        sig, n, part, slot, a, b = (col(c) for c in ("sig", "n", "part", "slot", "a", "b"))
+        f = np.column_stack([col(f"f{k}").view(np.uint64) for k in range(WORDS)])
+        for s, e in item_bounds(table, ITEM):
+            if len(set(part[s:e].tolist())) < 2:
+                continue
+            at = np.arange(e - s)
+            left, right = at[slot[s:e] == a[s]], at[slot[s:e] == b[s]]
+            if not len(left) or not len(right):
+                continue
+            i, j = compare_slots(_sets(table.slice(s, e - s), "shingles"), n[s:e], f[s:e], part[s:e], left, right, similarity, least)
+            forest = Forest(e - s)
+            forest.add(i, j)
+            i, j = forest.edges()
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(sig[s:e][i]), pa.array(sig[s:e][j])], ["a", "b"])
+
+    return work.mapInArrow(lambda it: whole_items(it, ITEM, report), "a long, b long")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tile_rows: int = 16384, slot_shingles: int = 400_000
+) -> DataFrame:
+    """``(doc_id, component_id)``: the smallest doc_id reachable over pairs of at least this Jaccard similarity of word shingles.
+
+    Candidates are all pairs within a radius of wide fingerprints, found tile by
+    tile; every link is verified on the full sets.  The radius is three and a
+    half deviations beyond the mean distance at a similarity of 0.8, which
+    misses about one in several thousand pairs that lie right at the limit.
+    """
+    need(docs, id_col, text_col)
+    if not 0.8 <= similarity <= 1:
+        raise ValueError("the radius is made for similarities of 0.8 or more")
+    least = Fraction(str(similarity))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    rows = cut(sketches(docs, size, similarity))
+    words = [f"f{k}" for k in range(WORDS)]
+    nodes = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "grade", *words))))
+    near = cut(wide_links(nodes.where("n > 0"), similarity, tile_rows).distinct())
+    families = connected_components(near.where("kind = 0"), "a", "b").select(F.col("node").alias("sig"), F.col("component").alias("family"))
+    families = cut(spread_join(nodes.select("sig", "rep", "n", *words), families, ["sig"]))
+    sets = cut(wanted_sets(families, docs, size))
+    tight = near.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    # texts that share an id are one document
+    slim = rows.select("doc_id", "sig")
+    low = slim.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a <> z").select("doc_id", "a")
+    links = cut(similar_pairs(tight, sets, least).union(slim.join(low, "doc_id").where("a <> sig").select("a", F.col("sig").alias("b"))))
+    parts = connected_components(links, "a", "b").select(F.col("node").alias("sig"), F.col("component").alias("part"))
+    members = cut(families.drop("rep").join(parts, "sig", "left").withColumn("part", F.coalesce("part", "sig")))
+    more = cut(family_links(members, sets, similarity, least, slot_shingles))
+    groups = connected_components(links.union(more), "a", "b").withColumnRenamed("node", "sig")
+    known = cut(nodes.select("sig", "rep").join(groups, "sig", "left").select("sig", "rep", F.coalesce("component", "sig").alias("part")))
+    first = known.groupBy("part").agg(F.min("rep").alias("component_id"))
+    known = spread_join(known, first, ["part"]).select("sig", "component_id")
+    return spread_join(slim, known, ["sig"]).select("doc_id", "component_id").distinct()
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents that are the first of their group of near-duplicates; documents without an id stay."""
+    groups = near_duplicates(docs, id_col, text_col, **how)
+    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_near_drop")).distinct()
+    return docs.join(drop, F.col(id_col).cast("long") == F.col("_near_drop"), "left_anti")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents that are the first of their component; documents without an id stay."""
     groups = simhash_components(docs, id_col, text_col, **how)

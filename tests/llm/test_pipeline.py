@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from tests.llm.test_brute_force import plain_fingerprint, smallest_reachable
+from tests.llm.test_near_dedup import plain_groups
 
 DIR = "/root/testdata/sf0.001"
 
@@ -26,11 +26,8 @@ def plain_line_dedup(docs):
 
 
 def plain_near_dedup(docs):
-    fp = {i: plain_fingerprint(t) for i, t in docs.items()}
-    x, ids = np.array(list(fp.values()), np.uint64), list(fp)
-    near = np.argwhere(np.bitwise_count(x[:, None] ^ x[None, :]) <= 4)
-    low = smallest_reachable(ids, [(ids[a], ids[b]) for a, b in near])
-    return {i: docs[i] for i in ids if low[i] == i}
+    low = plain_groups(list(docs.items()))
+    return {i: t for i, t in docs.items() if low[i] == i}
 
 
 def plain_mixing(docs, source, limit, seed=7):
