@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.bpe_chunks import encode_documents
-from gristmill.llm.common import shared_dir, table
+from gristmill.llm.common import table
 from gristmill.llm.line_dedup import line_dedup
 from gristmill.llm.mixing import mix_sources
 from gristmill.llm.quality import quality_scores
 from gristmill.llm.queries import tokenizer_path
-from gristmill.llm.shingle_dedup import keep_first
+from gristmill.llm.simhash import keep_first
+from gristmill.session import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -86,7 +87,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
         docs = spark.read.parquet(f"{folder}/{k}_{name}")
