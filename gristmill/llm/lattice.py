@@ -6,28 +6,32 @@ vectors meet in a table if the cell of one is the cell or a probed neighbouring
 cell of the other.  Several tables make it unlikely that a close pair meets in
 none.  Every meeting is verified by its cosine in double precision.
 
-Equal vectors are one node with a weight.  Cells are compared in blocks of
-bounded size: a crowded cell is dealt into slots, and each pair of slots is a
-work item of its own.  A pair that meets more than once is counted only at its
-first meeting, which follows from the two vectors alone, so no list of pairs is
-kept: a block reports how many links each node has and a spanning forest.
+Equal vectors are one node with a weight.  First only cells, nodes and 56 signs
+of each vector travel; rows of a cell whose signs differ from all others too
+often drop out there, and vectors travel to what is left.  Crowded cells are
+dealt into slots, and each pair of slots is a work item of its own.  A pair that
+meets more than once is counted only at its first meeting, which follows from
+the two vectors alone, so no list of pairs is kept: an item reports how many
+links each node has and a spanning forest.
 
 Edge cases: null, empty, zero and non-finite vectors have no links and are kept
-as their own component; rows with a null id get null as component if nothing
-else equals them; vectors of another length than the most common one link with
-nothing; an empty table gives no rows; extra columns are ignored.
+as their own component; vectors of each length are compared within themselves,
+whatever their magnitude; rows with a null id count as links and get the smallest
+id they reach, or null; an empty table gives no rows; extra columns are ignored.
+A node is known by a 64-bit hash of its vector.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import checked_broadcast, cut, need, partitions
+from gristmill.llm.common import checked_broadcast, cut, item_bounds, need, partitions, spread_join, whole_items
 from gristmill.llm.components import connected_components
 from gristmill.llm.simhash import Forest
 
@@ -77,31 +81,46 @@ class LatticeTables:
     """Cells and probed neighbouring cells of unit vectors in several tables.
 
     Sums run in one fixed order for every row, so a vector has the same cells
-    in whatever batch it is.
+    in whatever batch it is.  Every length of vector has tables of its own.
     """
 
-    def __init__(self, dim: int, tables: int = 10, probes: int = 2, width: float = 1.3, seed: int = 11):
-        rng = np.random.default_rng(seed)
+    def __init__(self, dim: int, tables: int = 6, probes: int = 2, width: float = 1.6, seed: int = 11):
+        rng = np.random.default_rng((seed, dim))
         self.dim, self.tables, self.probes = dim, tables, probes
         self.directions = rng.standard_normal((tables, dim, 8)) / width
         self.shift = rng.random((tables, 8))
-        self.mix = rng.integers(-(2**62), 2**62, 8)
+        self.mix = rng.integers(-(2**62), 2**62, (tables, 8))
+        self.planes = rng.standard_normal((dim, SIGNS))
 
-    def _key(self, points: np.ndarray) -> np.ndarray:
-        return (np.rint(points * 2).astype(np.int64) * self.mix).sum(axis=-1)
+    def _key(self, points: np.ndarray, table: int) -> np.ndarray:
+        return (np.rint(points * 2).astype(np.int64) * self.mix[table]).sum(axis=-1)
+
+    def _project(self, unit: np.ndarray, directions: np.ndarray) -> np.ndarray:
+        y = np.zeros((len(unit), directions.shape[1]))
+        for d in range(self.dim):
+            y += unit[:, d, None] * directions[d]
+        return y
 
     def cells(self, unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         """Own cell, and ``probes`` neighbouring cells."""
-        y = np.zeros((len(unit), 8)) + self.shift[table]
-        for d in range(self.dim):
-            y += unit[:, d, None] * self.directions[table, d]
+        y = self._project(unit, self.directions[table]) + self.shift[table]
         own = nearest_e8(y)
-        return self._key(own), self._key(own[:, None, :] + neighbours(y - own, self.probes))
+        return self._key(own, table), self._key(own[:, None, :] + neighbours(y - own, self.probes), table)
+
+    def signs(self, unit: np.ndarray) -> np.ndarray:
+        """On which side of each of 56 planes a vector lies."""
+        side = np.packbits(self._project(unit, self.planes) > 0, axis=1)
+        return np.pad(side, ((0, 0), (8 - side.shape[1], 0))).view(">u8").ravel().astype(np.int64)
 
 
-def unit_rows(raw: list[bytes], dim: int) -> np.ndarray:
-    """Unit vectors in double precision; components came as 4 or 8 bytes each, as they were stored."""
-    x = np.frombuffer(b"".join(raw), np.float32 if len(raw[0]) == 4 * dim else np.float64).reshape(-1, dim).astype(np.float64)
+@lru_cache(maxsize=64)
+def _tables(dim: int, how: tuple) -> LatticeTables:
+    return LatticeTables(dim, **dict(how))
+
+
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; the largest component is scaled to one first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -109,98 +128,101 @@ def meets(own_a, probe_a, own_b, probe_b) -> np.ndarray:
     return (own_a == own_b) | (probe_a == own_b[:, None]).any(axis=1) | (probe_b == own_a[:, None]).any(axis=1)
 
 
+#: Signs that travel with a cell.  At cosine 0.9 two vectors differ in 8 of them with a deviation of 2.6; unrelated ones in 28.
+SIGNS, SIGNS_APART = 56, 16
 ROLE_HOME, ROLE_PROBE = 0, 1
+ITEM = ("cell", "a", "b")
 
 
-def _compare(block: dict[str, np.ndarray], unit: np.ndarray, tables: LatticeTables, least: float, rows: int = 512):
-    """Verified first meetings within one work item, as index pairs."""
-    first, second, home = block["slot"] == block["a"], block["slot"] == block["b"], block["role"] == ROLE_HOME
-    same = block["a"][0] == block["b"][0]
-    left, right = np.flatnonzero(first), np.flatnonzero(second)
-    found_i, found_j = [], []
-    for at in range(0, len(left), rows):
-        i = left[at : at + rows]
-        near = (unit[i] @ unit[right].T >= least - 1e-9) & (home[i][:, None] | home[right][None, :])
-        p, q = np.nonzero(near)
-        p, q = i[p], right[q]
-        if same:
-            p, q = p[p < q], q[p < q]
-        cosine = np.zeros(len(p))
-        for d in range(unit.shape[1]):
-            cosine += unit[p, d] * unit[q, d]
-        ok = cosine >= least
-        p, q = p[ok], q[ok]
-        if not len(p):
-            continue
-        used, inverse = np.unique(np.concatenate((p, q)), return_inverse=True)
-        a, b = inverse[: len(p)], inverse[len(p) :]
-        t = int(block["table"][0])
-        new = np.ones(len(p), bool)
-        for s in range(t):
-            own, probe = tables.cells(unit[used], s)
-            new &= ~meets(own[a], probe[a], own[b], probe[b])
-        own, probe = tables.cells(unit[used], t)
-        # each probes the other: the meeting at the smaller node's cell counts
-        mutual = (own[a] != own[b]) & (probe[a] == own[b][:, None]).any(axis=1) & (probe[b] == own[a][:, None]).any(axis=1)
-        at_home = np.where(home[p], block["node"][p], block["node"][q])
-        new &= ~mutual | (at_home == np.minimum(block["node"][p], block["node"][q]))
-        found_i.append(p[new])
-        found_j.append(q[new])
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, int), np.zeros(0, int))
-
-
-WORK = ("table", "cell", "a", "b")
-
-
-def _report(table: pa.Table, dim: int, tables: LatticeTables, least: float) -> pa.RecordBatch:
-    """Link counts and forest edges of all work items in ``table``, which is sorted by item."""
-    cols = {c: table.column(c).to_numpy() for c in (*WORK, "slot", "role", "node", "weight")}
-    change = np.zeros(table.num_rows, bool)
-    change[:1] = True
-    for c in WORK:
-        change[1:] |= cols[c][1:] != cols[c][:-1]
-    starts = np.append(np.flatnonzero(change), table.num_rows)
-    vectors = table.column("vec").to_pylist()
-    node, links, to = [], [], []
-    for s, e in zip(starts[:-1], starts[1:]):
-        if e - s < 2 or (cols["role"][s:e] == ROLE_PROBE).all():
+def item_pairs(bounds: list[tuple[int, int]], slot: np.ndarray, a: np.ndarray, b: np.ndarray, home: np.ndarray, small: int = 48, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that meet in their item, in blocks: one of them is at home there, and in an item of two slots each is of one."""
+    by_size: dict[int, list[int]] = {}
+    for s, e in bounds:
+        m = e - s
+        if m < 2:
             continue
-        block = {c: v[s:e] for c, v in cols.items()}
-        i, j = _compare(block, unit_rows(vectors[s:e], dim), tables, least)
-        if not len(i):
+        if m <= small and a[s] == b[s]:
+            by_size.setdefault(m, []).append(s)
             continue
-        n = np.bincount(i, weights=block["weight"][j], minlength=e - s) + np.bincount(j, weights=block["weight"][i], minlength=e - s)
-        forest = Forest(e - s)
-        forest.add(i, j)
-        some = np.flatnonzero(n)
-        node.append(block["node"][some])
-        links.append(n[some].astype(np.int64))
-        to.append(block["node"][forest.parent[some]])
-    join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-    return pa.RecordBatch.from_arrays([join(node), join(links), join(to)], ["node", "links", "to"])
-
-
-def _by_item(batches: Iterator[pa.RecordBatch], dim: int, tables: LatticeTables, least: float) -> Iterator[pa.RecordBatch]:
-    """Pass on whole work items: the last item of a batch may go on in the next."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        last = {c: batch.column(c)[batch.num_rows - 1].as_py() for c in WORK}
-        tail = np.ones(batch.num_rows, bool)
-        for c in WORK:
-            tail &= batch.column(c).to_numpy() == last[c]
-        cut_at = batch.num_rows - int(tail.sum())
-        if cut_at:
-            yield _report(pa.Table.from_batches([*held, batch.slice(0, cut_at)]), dim, tables, least)
-            held = [batch.slice(cut_at)]
-        elif held and any(held[0].column(c)[0].as_py() != last[c] for c in WORK):
-            yield _report(pa.Table.from_batches(held), dim, tables, least)
-            held = [batch]
-        else:
-            held.append(batch)
-    if held:
-        yield _report(pa.Table.from_batches(held), dim, tables, least)
+        at = np.arange(s, e)
+        left, right = at[slot[s:e] == a[s]], at[slot[s:e] == b[s]]
+        step = max(1, most // max(1, len(right)))
+        for k in range(0, len(left), step):
+            i = left[k : k + step]
+            p, q = np.nonzero(home[i][:, None] | home[right][None, :])
+            p, q = i[p], right[q]
+            yield (p[p < q], q[p < q]) if a[s] == b[s] else (p, q)
+    for m, starts in by_size.items():
+        i, j = np.triu_indices(m, 1)
+        step = max(1, most // len(i))
+        for k in range(0, len(starts), step):
+            at = np.array(starts[k : k + step], np.int64)[:, None]
+            p, q = (at + i).ravel(), (at + j).ravel()
+            met = home[p] | home[q]
+            yield p[met], q[met]
+
+
+def _plausible(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows of whole items that have a partner whose signs are near enough."""
+    slot, a, b, packed, node = (table.column(c).to_numpy() for c in ("slot", "a", "b", "packed", "node"))
+    signs, home = packed & ((1 << SIGNS) - 1), (packed >> SIGNS) & 1 == ROLE_HOME
+    wanted = np.zeros(len(node), bool)
+    for p, q in item_pairs(item_bounds(table, ITEM), slot, a, b, home):
+        near = (np.bitwise_count(signs[p] ^ signs[q]) <= SIGNS_APART) & (node[p] != node[q])
+        wanted[p[near]] = True
+        wanted[q[near]] = True
+    if wanted.any():
+        yield from table.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+
+def _links(table: pa.Table, single: bool, how: tuple, least: float) -> Iterator[pa.RecordBatch]:
+    """Link counts and forest edges of whole items, each pair counted at its first meeting."""
+    slot, a, b, packed, node, weight, cell = (table.column(c).to_numpy() for c in ("slot", "a", "b", "packed", "node", "weight", "cell"))
+    home, t_of = (packed >> SIGNS) & 1 == ROLE_HOME, packed >> (SIGNS + 1)
+    raw = table.column("vec").to_pylist()
+    dims = np.array([len(r) for r in raw], np.int64) // (4 if single else 8)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    bounds = item_bounds(table, ITEM)
+    for dim in np.unique(dims).tolist():
+        tables = _tables(dim, how)
+        rows = np.flatnonzero(dims == dim)
+        used, first, inverse = np.unique(node[rows], return_index=True, return_inverse=True)
+        x = np.frombuffer(b"".join(raw[k] for k in rows[first].tolist()), np.float32 if single else np.float64).reshape(-1, dim).astype(np.float64)
+        unit = unit_vectors(x)
+        at = np.zeros(len(node), np.int64)
+        at[rows] = inverse
+        cells = [tables.cells(unit, t) for t in range(tables.tables)]
+        own, probe = np.array([c[0] for c in cells]), np.array([c[1] for c in cells])
+        for p, q in item_pairs([x for x in bounds if dims[x[0]] == dim], slot, a, b, home):
+            other = (node[p] != node[q]) & (dims[p] == dim) & (dims[q] == dim)
+            p, q = p[other], q[other]
+            for t in range(tables.tables):
+                if not len(p):
+                    break
+                i, j = at[p], at[q]
+                late = (t < t_of[p]) & meets(own[t, i], probe[t, i], own[t, j], probe[t, j])
+                # where each probes the other in this table, the meeting at the smaller node's cell counts
+                here = (t == t_of[p]) & (own[t, i] != own[t, j]) & (probe[t, i] == own[t, j][:, None]).any(axis=1) & (probe[t, j] == own[t, i][:, None]).any(axis=1)
+                late |= here & (np.where(home[p], node[p], node[q]) != np.minimum(node[p], node[q]))
+                p, q = p[~late], q[~late]
+            i, j = at[p], at[q]
+            cosine = np.zeros(len(p))
+            for d in range(dim):
+                cosine += unit[i, d] * unit[j, d]
+            ok = cosine >= least
+            if ok.any():
+                found.append((p[ok], q[ok]))
+    if not found:
+        return
+    p, q = (np.concatenate(x) for x in zip(*found))
+    every, place = np.unique(node, return_inverse=True)
+    n = np.zeros(len(every), np.int64)
+    np.add.at(n, place[p], weight[q])
+    np.add.at(n, place[q], weight[p])
+    forest = Forest(len(every))
+    forest.add(place[p], place[q])
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(every[some]), pa.array(n[some]), pa.array(every[forest.parent[some]])], ["node", "links", "to"])
 
 
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, slot_rows: int = 2048, **how) -> DataFrame:
@@ -208,47 +230,76 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     ``how`` sets the lattice tables (tables, probes, width, seed).  The width is
     in units of the lattice; a wider cell finds more of the borderline pairs and
-    verifies more candidates.
+    has more candidates.
     """
     need(vectors, id_col, vector_col)
     spark = vectors.sparkSession
     single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
-    all_rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    tables_of = tuple(sorted(how.items()))
+    v = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
+    all_rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = all_rows.withColumn("v", F.when(usable, F.transform("v", lambda x: x + F.lit(0.0))))
-    lengths = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = int(lengths["d"]) if lengths else 0
-    rows = rows.withColumn("v", F.when(F.size("v") == dim, F.col("v")))
-    groups = cut(rows.where("v is not null and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")))
-    tables = LatticeTables(max(1, dim), **how)
+    usable = F.coalesce(usable, F.lit(False))
+    zero = F.lit(0.0).cast("float" if single else "double")
+    rows = all_rows.where(usable).select("vec_id", F.transform("v", lambda x: x + zero).alias("v")).withColumn("node", F.xxhash64("v"))
+    per_node = cut(rows.groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
+
+    # one row for each node: rows of vectors that occur once as they are, the others grouped
+    many = per_node.where("weight > 1").select("node", "weight")
+    many = checked_broadcast(cut(many))
+    grouped = cut(rows.join(many, "node").groupBy("node").agg(F.first("v").alias("v"), F.max("weight").alias("weight")))
+    nodes = rows.join(many, "node", "left_anti").select("node", "v", F.lit(1).cast("long").alias("weight")).union(grouped)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                flat = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                raw = pa.array([r.tobytes() for r in (flat.astype(np.float32) if single else flat)], pa.binary())
-                unit = flat / np.sqrt((flat * flat).sum(axis=1))[:, None]
-                n = part.num_rows
-                for t in range(tables.tables):
-                    own, probe = tables.cells(unit, t)
-                    for role, cell in ((ROLE_HOME, own), *((ROLE_PROBE, probe[:, k]) for k in range(tables.probes))):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, t, np.int32)), pa.array(cell), pa.array(np.full(n, role, np.int32)), part.column("node"), part.column("weight"), raw],
-                            ["table", "cell", "role", "node", "weight", "vec"],
-                        )
-
-    placed = groups.mapInArrow(place, "table int, cell long, role int, node long, weight long, vec binary")
-    crowded = cut(placed.groupBy("table", "cell").count().where(F.col("count") > slot_rows).select("table", "cell", F.ceil(F.col("count") / slot_rows).cast("int").alias("slots")))
-    work = placed.join(checked_broadcast(crowded), ["table", "cell"], "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
+                node = part.column("node").to_numpy()
+                lists = part.column("v")
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+                for dim in np.unique(size).tolist():
+                    own_rows = np.flatnonzero(size == dim)
+                    unit = unit_vectors(flat[starts[own_rows][:, None] + np.arange(dim)])
+                    tables = _tables(dim, tables_of)
+                    signs = tables.signs(unit)
+                    for t in range(tables.tables):
+                        own, probe = tables.cells(unit, t)
+                        for role, cell in ((ROLE_HOME, own), *((ROLE_PROBE, probe[:, k]) for k in range(tables.probes))):
+                            packed = signs | (role << SIGNS) | (t << (SIGNS + 1))
+                            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(packed), pa.array(node[own_rows])], ["cell", "packed", "node"])
+
+    placed = nodes.select("node", "v").mapInArrow(place, "cell long, packed long, node long")
+    crowded = cut(placed.groupBy("cell").count().where(F.col("count") > slot_rows).select("cell", F.ceil(F.col("count") / slot_rows).cast("int").alias("slots")))
+    work = placed.join(checked_broadcast(crowded), "cell", "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
     work = work.withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int"))
     work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-    work = work.select("table", "cell", F.least("slot", "other").alias("a"), F.greatest("slot", "other").alias("b"), "slot", "role", "node", "weight", "vec")
-    work = work.repartition(2 * partitions(spark), *WORK).sortWithinPartitions(*WORK, "node")
-    links = cut(work.mapInArrow(lambda it: _by_item(it, dim, tables, least), "node long, links long, to long"))
+    work = work.select("cell", F.least("slot", "other").alias("a"), F.greatest("slot", "other").alias("b"), "slot", "packed", "node")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(2 * partitions(spark), *ITEM).sortWithinPartitions(*ITEM, "node")
+
+    schema = "cell long, a int, b int, slot int, packed long, node long"
+    likely = cut(dealt(work).mapInArrow(lambda it: whole_items(it, ITEM, _plausible), schema))
+    wanted = checked_broadcast(cut(likely.select("node").distinct()))
+
+    def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("v")
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
+            raw = [flat[s:e].tobytes() for s, e in zip([0, *ends[:-1]], ends)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("weight"), pa.array(raw, pa.binary())], ["node", "weight", "vec"])
+
+    vecs = nodes.join(wanted, "node", "left_semi").select("node", "weight", "v").mapInArrow(as_bytes, "node long, weight long, vec binary")
+    full = dealt(spread_join(likely, vecs, ["node"]))
+    links = cut(full.mapInArrow(lambda it: whole_items(it, ITEM, lambda t: _links(t, single, tables_of, least)), "node long, links long, to long"))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
-    members = connected_components(links.select("node", "to"), "node", "to")
-    known = groups.join(counts, "node", "left").join(members, "node", "left")
-    known = known.select("v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = rows.join(known, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    members = cut(connected_components(links.select("node", "to"), "node", "to"))
+    first = members.join(per_node, "node").groupBy("component").agg(F.min("rep").alias("low"))
+    known = per_node.join(counts, "node", "left").join(spread_join(members, first, ["component"]).select("node", "low"), "node", "left")
+    known = known.select("node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("low", "rep").alias("component_id"))
+    with_node = spread_join(rows.select("vec_id", "node"), known, ["node"]).select("vec_id", "n_links", "component_id")
+    without = all_rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return with_node.union(without).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -286,3 +286,32 @@ def test_pipeline_stages(spark, docs, labels, tmp_path):
             if k < 4:
                 assert at.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert counts == [0] * 5 if name == "none" else counts[0] == counts[1] >= counts[2] <= counts[3] == counts[4]
+
+
+def test_lattice_lengths_magnitudes_and_null_ids(spark):
+    """Links that only null, zero and non-finite vectors may lack."""
+    from gristmill.llm.lattice import embedding_links
+
+    rows = [(k, [1.0, float(k), 0.5, 0.25]) for k in range(20, 40)]  # the usual length
+    rows += [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0])]
+    rows += [(4, [1e-170, 0.0, 0.0]), (5, [2e-170, 0.0, 0.0]), (6, [1e200, 0.0, 0.0]), (7, [2e200, 1e199, 0.0]), (8, [5e-324, 0.0, 5e-324])]
+    rows += [(9, [0.3, 0.4, 0.5, 0.6, 0.7]), (None, [0.3, 0.4, 0.5, 0.6, 0.7]), (None, [9.0, 0.0, 0.0, 0.0, 0.0]), (None, [9.0, 0.0, 0.0, 0.0, 0.0])]
+    got = embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    by = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got if r["vec_id"] is not None}
+    assert by[1] == (1, 1) and by[2] == (1, 1) and by[3] == (0, 3)
+    assert by[4] == by[5] == by[6] == by[7] == (3, 4) and by[8] == (0, 8)
+    assert by[9] == (1, 9)
+    assert sorted((r["n_links"], r["component_id"] or 0) for r in got if r["vec_id"] is None) == [(1, 0), (1, 0), (1, 9)]
+
+
+def test_lattice_crowd_of_near_copies(spark):
+    """A cell of many near copies goes in slots, and every link in it is counted once."""
+    import numpy as np
+
+    from gristmill.llm.lattice import embedding_links
+
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal(64) + 0.05 * rng.standard_normal((3000, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = embedding_links(df, slot_rows=512).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(2999, 0)}
