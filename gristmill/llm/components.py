@@ -8,15 +8,17 @@ Beyond" (2014).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import cut, spread_join
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return int(row["n"]), int(row["x"] or 0)
+def _settled(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges materialised, and their number and checksum from the same job."""
+    seen = Observation()
+    edges = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")))
+    return edges, (int(seen.get["n"]), int(seen.get["x"] or 0))
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -25,8 +27,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     Self-links and rows with a null end are ignored.  No links give no rows.
     """
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = cut(e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = _mark(e)
+    e, mark = _settled(e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     for _ in range(max_rounds):
         if mark[0] == 0:
             break
@@ -37,8 +38,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         small = spread_join(large, low, ["u"]).select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
         )
-        e = cut(small.where("u <> v").distinct())
-        now = _mark(e)
+        e, now = _settled(small.where("u <> v").distinct())
         if now == mark:
             break
         mark = now

@@ -291,12 +291,17 @@ def wide_matches(fa: np.ndarray, na: np.ndarray, fb: np.ndarray | None, nb: np.n
         at = upto
 
 
+def _turn(sig: np.ndarray) -> np.ndarray:
+    """A place for every node in one random order."""
+    return sig * np.int64(-7046029254386353131)
+
+
 def wide_links(nodes: DataFrame, similarity: float, tile_rows: int) -> DataFrame:
     """``(kind, a, b)`` over all pairs of nodes within the radius.
 
-    Kind 0 is a spanning forest of the candidate pairs.  Kind 1 leads every
-    node to one tight candidate, the one that comes first in a random order, so
-    that the members of a dense group share their leaders.
+    Kind 0 is a spanning forest of the candidate pairs.  Kind 1 leads a node
+    ``a`` to one tight candidate ``b`` before it in a random order, the first
+    one in that order, so that the members of a dense group share their leaders.
     """
     spark = nodes.sparkSession
     sizes = {r["grade"]: r["count"] for r in nodes.groupBy("grade").count().collect()}  # one row for each size grade
@@ -326,7 +331,7 @@ def wide_links(nodes: DataFrame, similarity: float, tile_rows: int) -> DataFrame
                 sig_b, n_b, f_b = (sig, n, None) if same else tile(batch, "rows_b", k)
                 shift, every = (0, sig) if same else (len(sig), np.concatenate((sig, sig_b)))
                 rank = np.empty(len(every), np.int64)
-                rank[np.argsort(every * np.int64(-7046029254386353131), kind="stable")] = np.arange(len(every))
+                rank[np.argsort(_turn(every), kind="stable")] = np.arange(len(every))
                 forest, lead = Forest(len(every)), np.full(len(every), len(every), np.int64)
                 for i, j, d in wide_matches(f, n, f_b, n_b, similarity):
                     j = j + shift
@@ -335,7 +340,7 @@ def wide_links(nodes: DataFrame, similarity: float, tile_rows: int) -> DataFrame
                     np.minimum.at(lead, i, rank[j])
                     np.minimum.at(lead, j, rank[i])
                 by_rank = np.argsort(rank)
-                led = np.flatnonzero(lead < len(every))
+                led = np.flatnonzero(lead < rank)
                 a, b = forest.edges()
                 a, b = np.concatenate((a, led)), np.concatenate((b, by_rank[lead[led]]))
                 kind = np.repeat(np.array([0, 1], np.int32), [len(a) - len(led), len(led)])
@@ -421,6 +426,7 @@ def family_links(members: DataFrame, sets: DataFrame, similarity: float, least:
     slots of bounded size, large parts into slots of their own; each pair of
     slots is a work item of its own, except within one part.
     """
+    members = cut(members)
     parts = members.groupBy("family", "part").agg(F.sum("n").alias("size"))
     families = parts.groupBy("family").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("size") < slot_shingles, F.col("size"))).alias("rest")).where("parts > 1")
     own = F.ceil(F.col("size") / slot_shingles).cast("int")
@@ -439,7 +445,7 @@ def family_links(members: DataFrame, sets: DataFrame, similarity: float, least:
     slots = dealt.select("family", "of", "slot").distinct()
     other = slots.select("family", F.col("of").alias("of_b"), F.col("slot").alias("other"))
     pairs = spread_join(slots, other, ["family"]).where("of <> of_b or of = 0").select("family", "slot", "other")
-    work = spread_join(spread_join(dealt, sets, ["sig"]), cut(pairs), ["family", "slot"])
+    work = spread_join(spread_join(dealt, sets, ["sig"]), pairs, ["family", "slot"])
     work = work.select("family", F.least("slot", "other").alias("a"), F.greatest("slot", "other").alias("b"), "slot", "sig", "part", "n", *(f"f{k}" for k in range(WORDS)), "shingles")
     work = work.repartition(2 * partitions(members.sparkSession), *ITEM).sortWithinPartitions(*ITEM, "sig")
 
@@ -486,13 +492,16 @@ def near_duplicates(
     families = connected_components(near.where("kind = 0"), "a", "b").select(F.col("node").alias("sig"), F.col("component").alias("family"))
     families = cut(spread_join(nodes.select("sig", "rep", "n", *words), families, ["sig"]))
     sets = cut(wanted_sets(families, docs, size))
-    tight = near.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     # texts that share an id are one document
     slim = rows.select("doc_id", "sig")
     low = slim.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a <> z").select("doc_id", "a")
-    links = cut(similar_pairs(tight, sets, least).union(slim.join(low, "doc_id").where("a <> sig").select("a", F.col("sig").alias("b"))))
-    parts = connected_components(links, "a", "b").select(F.col("node").alias("sig"), F.col("component").alias("part"))
-    members = cut(families.drop("rep").join(parts, "sig", "left").withColumn("part", F.coalesce("part", "sig")))
+    known_leads = cut(similar_pairs(near.where("kind = 1").select("a", "b"), sets, least))
+    links = known_leads.union(slim.join(low, "doc_id").where("a <> sig").select("a", F.col("sig").alias("b")))
+    # a node and its leader's leader are of one part
+    lead = known_leads.groupBy("a").agg(F.min("b").alias("lead")).select(F.col("a").alias("sig"), "lead")
+    above = lead.select(F.col("sig").alias("lead"), F.col("lead").alias("up"))
+    lead = spread_join(lead, above, ["lead"], "left").select("sig", F.coalesce("up", "lead").alias("part"))
+    members = spread_join(families.drop("rep"), lead, ["sig"], "left").withColumn("part", F.coalesce("part", "sig"))
     more = cut(family_links(members, sets, similarity, least, slot_shingles))
     groups = connected_components(links.union(more), "a", "b").withColumnRenamed("node", "sig")
     known = cut(nodes.select("sig", "rep").join(groups, "sig", "left").select("sig", "rep", F.coalesce("component", "sig").alias("part")))
