@@ -8,32 +8,24 @@ check over groups of rows.  Row rules also work on streaming rows.
 
 from __future__ import annotations
 
+import operator
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.values import NUMBER, as_text, fold, numeric, text_or_empty
+from gristmill.functions.xl import quoted
+from gristmill.values import NUMBER, column, fold, is_numeric, numeric, sure, text_or_empty
 
-NUMERIC_TESTS = {
-    "num_eq": lambda a, b: a == b, "num_ne": lambda a, b: a != b, "num_gt": lambda a, b: a > b,
-    "num_ge": lambda a, b: a >= b, "num_lt": lambda a, b: a < b, "num_le": lambda a, b: a <= b,
-}
-OPPOSITE = {"not_equals": "equals", "not_contains": "contains"}
+#: Character classes of positional tests (Unicode) and of masks (ASCII); fixed values.
 UNICODE = {"letter": r"\p{L}", "upper": r"\p{Lu}", "lower": r"\p{Ll}", "digit": r"\p{Nd}", "alnum": r"[\p{L}\p{Nd}]", "any": "."}
 ASCII = {"letter": "[A-Za-z]", "upper": "[A-Z]", "lower": "[a-z]", "digit": "[0-9]", "alnum": "[A-Za-z0-9]", "any": "."}
 
 
-def _int(x: Any) -> int | None:
-    try:
-        return int(x)
-    except (TypeError, ValueError):
-        return None
-
-
 def _pattern(text: str, case_sensitive: bool, full: bool) -> str | None:
     """A Java pattern, or None if the text is no valid one."""
     if "(?P" in text:
@@ -46,94 +38,150 @@ def _pattern(text: str, case_sensitive: bool, full: bool) -> str | None:
     return body if case_sensitive else f"(?iu){body}"
 
 
-def rule(df: DataFrame, spec: dict[str, Any], case_sensitive: bool = False, default_column: str | None = None) -> Column:
-    """One rule over the columns of ``df``; an unknown column matches nothing."""
-    values = spec.get("values")
-    entries = [v for v in values if str("" if v is None else v).strip() != ""] if isinstance(values, (list, tuple)) else []
-    if entries:
-        test = spec.get("test")
-        each = [rule(df, {k: v for k, v in spec.items() if k not in ("values", "negate")} | {"test": OPPOSITE.get(test, test), "value": v}, case_sensitive, default_column) for v in entries]
-        got = reduce(lambda a, b: a | b, each)
-        got = ~got if test in OPPOSITE else got
-        return ~got if spec.get("negate") else got
-    name = spec.get("column") or default_column
-    if not name or name not in df.columns:
-        return F.lit(False)
-    other = None
-    if spec.get("via") == "column":
-        other = spec.get("column2")
-        if other not in df.columns:
-            return F.lit(False)
-    got = _test(df, name, other, spec, case_sensitive)
-    return ~got if spec.get("negate") else got
-
-
-def _test(df: DataFrame, name: str, other: str | None, spec: dict[str, Any], case_sensitive: bool) -> Column:
-    test, raw = spec.get("test"), spec.get("value")
-    if test in NUMERIC_TESTS:
-        if other is None:
-            try:
-                right = F.lit(float(raw))
-            except (TypeError, ValueError):
-                return F.lit(False)
-        else:
-            right = numeric(df, other)
-        return F.coalesce(NUMERIC_TESTS[test](numeric(df, name), right), F.lit(False))
-    plain = text_or_empty(df, name)
-    s = fold(plain, case_sensitive)
-    if other is not None:
-        v = fold(text_or_empty(df, other), case_sensitive)
-    else:
-        v = "" if raw is None else str(raw) if case_sensitive else str(raw).lower()
-    if test in ("equals", "not_equals"):
-        return (s == v) if test == "equals" else (s != v)
-    if test == "starts_with":
-        return s.startswith(v)
-    if test == "ends_with":
-        return s.endswith(v)
-    if test in ("contains", "not_contains"):
-        return s.contains(v) if test == "contains" else ~s.contains(v)
-    if test == "is_empty":
-        return plain == ""
-    if test == "not_empty":
-        return plain != ""
-    if test == "is_in":
-        items = [x.strip() for x in str(raw or "").split(",") if x.strip()]
-        return s.isin(*[x if case_sensitive else x.lower() for x in items]) if items else F.lit(False)
-    if test in ("length_eq", "length_min", "length_max"):
-        n = _int(raw)
-        if n is None:
-            return F.lit(False)
-        size = F.length(plain)
-        return {"length_eq": size == n, "length_min": size >= n, "length_max": size <= n}[test]
-    if test in ("regex", "regex_full"):
-        p = _pattern(str(raw or ""), case_sensitive, test == "regex_full")
-        return F.lit(False) if p is None else plain.rlike(p)
-    if test == "is_numeric":
-        return F.coalesce(F.replace(F.trim(plain), F.lit(","), F.lit(".")).rlike(NUMBER), F.lit(False))
-    if test in ("char_class", "char_equals"):
-        at = _int(spec.get("position")) or 1
-        ch = F.substring(plain, at, 1)
-        if test == "char_equals":
-            return fold(ch, case_sensitive) == v
-        return ch.rlike(rf"\A{_class(spec.get('charclass'), case_sensitive)}\z")
-    if test in ("substr_equals", "substr_class"):
-        start, n = max(1, _int(spec.get("start")) or 1), _int(spec.get("length"))
-        part = F.substring(plain, start, n if n is not None else 2**31 - 1)
-        if test == "substr_equals":
-            return fold(part, case_sensitive) == v
-        times = "+" if n is None else "{%d}" % n  # noqa: UP031
-        return part.rlike(rf"\A{_class(spec.get('charclass'), case_sensitive)}{times}\z")
-    raise ValueError(f"unknown test {test}")
-
-
-def _class(name: str | None, case_sensitive: bool) -> str:
+# --- one rule ------------------------------------------------------------------
+
+#: Tests that are another test turned round.
+TURNED = {"not_equals": "equals", "not_contains": "contains", "not_empty": "is_empty"}
+NUMERIC_TESTS = {"num_eq": operator.eq, "num_ne": operator.ne, "num_gt": operator.gt, "num_ge": operator.ge, "num_lt": operator.lt, "num_le": operator.le}
+LENGTH_TESTS = {"length_eq": operator.eq, "length_min": operator.ge, "length_max": operator.le}
+
+@dataclass(frozen=True)
+class Side:
+    """One side of a test: a column of the table, or a constant."""
+
+    df: DataFrame
+    exact: bool
+    name: str | None = None
+    constant: Any = None
+
+    def text(self) -> Column:
+        return text_or_empty(self.df, self.name) if self.name else F.lit("" if self.constant is None else str(self.constant))
+
+    def folded(self) -> Column:
+        if self.name:
+            return fold(self.text(), self.exact)
+        plain = "" if self.constant is None else str(self.constant)
+        return F.lit(plain if self.exact else plain.lower())
+
+    def given(self) -> Column:
+        """What must not be null for the number to be one."""
+        return column(self.name) if self.name and is_numeric(self.df, self.name) else self.number()
+
+    def number(self) -> Column | None:
+        """A double, or None for a constant that is no number."""
+        if self.name:
+            return numeric(self.df, self.name)
+        try:
+            return F.lit(float(self.constant))
+        except (TypeError, ValueError):
+            return None
+
+
+def _whole(x: Any) -> int | None:
+    try:
+        return int(x)
+    except (TypeError, ValueError):
+        return None
+
+
+def _numbers(compare, left: Side, right: Side) -> Column:
+    a, b = left.number(), right.number()
+    return F.lit(False) if a is None or b is None else sure(compare(a, b), *(side.given() for side in (left, right) if side.name))
+
+
+def _lengths(compare, left: Side, right: Side) -> Column:
+    n = _whole(right.constant)
+    return F.lit(False) if n is None else compare(F.length(left.text()), F.lit(n))
+
+
+def _listed(left: Side, right: Side, spec: dict[str, Any]) -> Column:
+    items = [part.strip() for part in str(right.constant or "").split(",")]
+    items = [part if left.exact else part.lower() for part in items if part]
+    return left.folded().isin(*items) if items else F.lit(False)
+
+
+def _matching(full: bool):
+    def test(left: Side, right: Side, spec: dict[str, Any]) -> Column:
+        pattern = _pattern(str(right.constant or ""), left.exact, full)
+        return F.lit(False) if pattern is None else left.text().rlike(pattern)
+
+    return test
+
+
+def _class(name: str | None, exact: bool) -> str:
     """Unicode class of a character; upper and lower mean any letter when case is folded."""
-    if name in ("upper", "lower") and not case_sensitive:
+    if not exact and name in ("upper", "lower"):
         name = "letter"
     return UNICODE.get(name or "any", ".")
 
 
+def _part(left: Side, spec: dict[str, Any], one: bool) -> tuple[Column, str]:
+    """The piece of the text that a positional test looks at, and how often a class must repeat to fill it."""
+    if one:
+        return F.substring(left.text(), _whole(spec.get("position")) or 1, 1), ""
+    n = _whole(spec.get("length"))
+    start = max(1, _whole(spec.get("start")) or 1)
+    return F.substring(left.text(), start, 2**31 - 1 if n is None else n), "+" if n is None else f"{{{n}}}"
+
+
+def _piece_equals(one: bool):
+    return lambda left, right, spec: fold(_part(left, spec, one)[0], left.exact) == right.folded()
+
+
+def _piece_class(one: bool):
+    def test(left: Side, right: Side, spec: dict[str, Any]) -> Column:
+        piece, times = _part(left, spec, one)
+        return piece.rlike(rf"\A{_class(spec.get('charclass'), left.exact)}{times}\z")
+
+    return test
+
+
+#: What each test says of a value (left) and what it is held against (right).
+TESTS: dict[str, Callable[[Side, Side, dict[str, Any]], Column]] = {
+    "equals": lambda left, right, spec: left.folded() == right.folded(),
+    "starts_with": lambda left, right, spec: left.folded().startswith(right.folded()),
+    "ends_with": lambda left, right, spec: left.folded().endswith(right.folded()),
+    "contains": lambda left, right, spec: left.folded().contains(right.folded()),
+    "is_empty": lambda left, right, spec: left.text() == "",
+    "is_in": _listed,
+    "regex": _matching(False),
+    "regex_full": _matching(True),
+    "is_numeric": lambda left, right, spec: F.replace(F.trim(left.text()), F.lit(","), F.lit(".")).rlike(NUMBER),
+    "char_equals": _piece_equals(True),
+    "char_class": _piece_class(True),
+    "substr_equals": _piece_equals(False),
+    "substr_class": _piece_class(False),
+    **{name: (lambda left, right, spec, c=compare: _numbers(c, left, right)) for name, compare in NUMERIC_TESTS.items()},
+    **{name: (lambda left, right, spec, c=compare: _lengths(c, left, right)) for name, compare in LENGTH_TESTS.items()},
+}
+
+
+def _held_against(df: DataFrame, spec: dict[str, Any], exact: bool) -> list[Side]:
+    """The other column, or one constant per entry of ``values`` that is not blank, or the single ``value``."""
+    if spec.get("via") == "column":
+        return [Side(df, exact, name=spec["column2"])]
+    listed = spec.get("values")
+    entries = [v for v in listed if v is not None and str(v).strip()] if isinstance(listed, (list, tuple)) else []
+    return [Side(df, exact, constant=v) for v in entries or [spec.get("value")]]
+
+
+def rule(df: DataFrame, spec: dict[str, Any], case_sensitive: bool = False, default_column: str | None = None) -> Column:
+    """One rule over the columns of ``df``; a rule on an unknown column matches nothing, negated or not.
+
+    Several ``values`` are any of them; for a turned test, none of them.
+    """
+    name, kind = spec.get("column") or default_column, spec.get("test")
+    reads = [name, spec.get("column2")] if spec.get("via") == "column" else [name]
+    if any(r not in df.columns for r in reads):
+        return F.lit(False)
+    test = TESTS.get(TURNED.get(kind, kind))
+    if test is None:
+        raise ValueError(f"unknown test {kind}")
+    left = Side(df, case_sensitive, name=name)
+    holds = reduce(operator.or_, [test(left, right, spec) for right in _held_against(df, spec, case_sensitive)])
+    return ~holds if (kind in TURNED) != bool(spec.get("negate")) else holds
+
+
 def dnf(df: DataFrame, condition: dict[str, Any] | None, case_sensitive: bool = False, default_column: str | None = None) -> Column:
     """OR of ``groups``, AND of the ``rules`` inside; empty groups are skipped and no group matches nothing."""
     groups = [g.get("rules") or [] for g in (condition or {}).get("groups") or []]
@@ -141,27 +189,34 @@ def dnf(df: DataFrame, condition: dict[str, Any] | None, case_sensitive: bool =
     return reduce(lambda a, b: a | b, ands) if ands else F.lit(False)
 
 
-def _quote(text: str) -> str:
-    return re.sub(r"([^\w\s])", r"\\\1", text)
+# --- masks -----------------------------------------------------------------------
+
+
+def _one_of(value: str) -> str:
+    """A class of the listed characters; none listed matches no character."""
+    return "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in value) + "]" if value else "(?!)"
+
+
+#: Kinds of segments: a character class, from the segment's own value where it has one.
+SEGMENTS: dict[str, Callable[[str], str]] = {"set": _one_of, **{kind: (lambda _, c=cls: c) for kind, cls in ASCII.items()}}
+
+
+def _repeat(segment: dict[str, Any]) -> str:
+    """Exactly ``length`` times, or ``min`` to ``max`` times, or once."""
+    given = {k: int(segment[k]) for k in ("length", "min", "max") if segment.get(k) not in (None, "")}
+    if "length" in given:
+        return f"{{{given['length']}}}"
+    return f"{{{given.get('min', 0)},{given.get('max', '')}}}" if given else ""
+
+
+def _segment_pattern(segment: dict[str, Any]) -> str:
+    kind, value = segment.get("type") or "any", segment.get("value") or ""
+    return quoted(value) if kind == "literal" else SEGMENTS.get(kind, SEGMENTS["any"])(value) + _repeat(segment)
 
 
 def mask_pattern(segments: Sequence[dict[str, Any]]) -> str:
     """Segments (literal, set, letter, upper, lower, digit, alnum, any; length, or min and max) as one pattern."""
-    out = ""
-    for seg in segments:
-        kind = seg.get("type") or "any"
-        if kind == "literal":
-            out += _quote(seg.get("value") or "")
-            continue
-        base = f"[{_quote(seg.get('value') or '')}]" if kind == "set" else ASCII.get(kind, ".")
-        size, low, high = (None if seg.get(k) in (None, "") else int(seg[k]) for k in ("length", "min", "max"))
-        if size is not None:
-            out += f"{base}{{{size}}}"
-        elif low is not None or high is not None:
-            out += f"{base}{{{low or 0},{'' if high is None else high}}}"
-        else:
-            out += base
-    return out
+    return "".join(map(_segment_pattern, segments))
 
 
 def mask(df: DataFrame, name: str, segments: Sequence[dict[str, Any]], case_sensitive: bool = False) -> Column:
@@ -232,7 +287,3 @@ def rule_failure_counts(df: DataFrame, spec: dict[str, Any], case_sensitive: boo
     one = df.agg(*[F.count_if(c).alias(f"_{k}") for k, (_, c) in enumerate(marks)])
     rows = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(name).alias("label"), F.col(f"_{k}").alias("failed")) for k, (name, _) in enumerate(marks)])
     return one.select(F.inline(rows))
-
-
-def text_key(df: DataFrame, name: str, case_sensitive: bool) -> Column:
-    return fold(as_text(df, name), case_sensitive)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gristmill.functions.rules import mask, rule
-from gristmill.values import NUMERIC, as_text, column, is_numeric, ordering, require
+from gristmill.values import NUMERIC, as_text, column, is_numeric, ordering, require, sure
 
 EMPTY = "(vide)"
 
@@ -246,12 +246,12 @@ def preview(
         if op == "is_null":
             keep = keep & c.isNull()
         elif op == "equals":
-            kind = df.schema[f["column"]].dataType
-            keep = keep & F.coalesce(c == F.lit(str(v)).try_cast(kind.simpleString()), F.lit(False))
+            value = F.lit(str(v)).try_cast(df.schema[f["column"]].dataType.simpleString())
+            keep = keep & sure(c == value, c, value)
         else:
-            keep = keep & F.coalesce(F.lower(as_text(df, f["column"])).contains(str(v or "").lower()), F.lit(False))
+            keep = keep & sure(F.lower(as_text(df, f["column"])).contains(str(v or "").lower()), c)
     if q:
-        keep = keep & reduce(lambda a, b: a | b, [F.coalesce(F.lower(as_text(df, n)).contains(q.lower()), F.lit(False)) for n in df.columns])
+        keep = keep & reduce(lambda a, b: a | b, [sure(F.lower(as_text(df, n)).contains(q.lower()), column(n)) for n in df.columns])
     rows = df.where(keep)
     if sort:
         require(df, [sort])

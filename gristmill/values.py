@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +72,11 @@ def fold(c: Column, case_sensitive: bool) -> Column:
     return c if case_sensitive else F.lower(c)
 
 
+def sure(c: Column, *operands: Column) -> Column:
+    """A comparison that is false where an operand is null; unlike a fallback for null, it still reaches the scan."""
+    return reduce(lambda a, b: a & b.isNotNull(), operands, c)
+
+
 def ordering(order_by: Sequence[str | tuple[str, bool]]) -> list[Column]:
     """Sort keys with nulls last both ways; ``(name, True)`` is descending."""
     out = []
