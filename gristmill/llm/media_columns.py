@@ -8,6 +8,7 @@ offset) fills the metadata columns; a full range read gives the payload back.
 Shard names are unique per task attempt and a shard is complete before its
 task succeeds, so a lost executor only leaves an unreferenced file behind.
 Where tasks packed the same digest, all rows are pointed to one of the copies.
+Shards stay in the shared folder for whoever reads the rows; its owner clears it.
 
 Edge cases: null text is empty; an empty text is one block of filler; equal
 texts have equal values in every column but the id; an empty table gives no
@@ -34,6 +35,7 @@ from gristmill.llm.common import cut, need, partitions, texts
 from gristmill.session import shared_folder
 
 BLOCK = 576
+STRETCH = 4 << 20  # bytes of a shard that one task reads in a row
 HEADER_BYTES = 33  # signature and header chunk of the image format
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 PACKED = (
@@ -186,7 +188,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = cut(pack_payloads(docs, folder, id_col, text_col))
     one = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "media_bytes", "media_sha256")).alias("at")).select("digest", "at.*")
     one = one.withColumn("shard", F.concat(F.lit(f"{folder}/"), "shard"))
-    one = one.repartition(partitions(docs.sparkSession), "digest").sortWithinPartitions("shard", "offset")
+    # dealt by stretches of the shards, not by the few bytes of these rows: a task reads its stretches in order
+    one = one.repartition(4 * partitions(docs.sparkSession), "shard", F.expr(f"offset div {STRETCH}")).sortWithinPartitions("shard", "offset")
     media = payload_columns(header_columns(one))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "digest").join(media, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_width", "media_height", "media_depth", "shard", "offset"

@@ -7,12 +7,16 @@ The weights become token quotas of a budget.  A source is then dealt in blocks,
 each block one permutation of all its documents; the last block stops where
 the quota is used up.
 
-The last block's end is found with token sums of hash buckets and one window
-over the bucket in which the quota ends, so a source with a third of all rows
-never meets in one task.  Only scalars come to the driver.
+The last block's end is found with token sums of hash buckets, finer and finer
+until a bucket holds few rows, and one window over the bucket in which the quota
+ends, so a source with a third of all rows never meets in one task.  Only scalars
+come to the driver.
 
-Edge cases: null source is a source of its own; null and empty texts count one
-token; a table with one source has weight 1; rows that repeat an id are
+Tokens are runs of characters other than ASCII white space, or what a column of
+counts says (``tokens_col``, for instance the counts of a tokenizer).
+
+Edge cases: null source is a source of its own; texts without a visible character
+and null counts count one token; a table with one source has weight 1; rows that repeat an id are
 separate documents; an empty table gives no rows; extra columns pass through (``epoch``,
 ``order_key`` and ``n_tokens`` are replaced; ``_mix_`` is a reserved beginning).
 """
@@ -30,9 +34,14 @@ from gristmill.llm.common import checked_broadcast, cut, need
 DEPTH = 32  # halvings of the exponent
 
 
-def token_size(text_col: str = "text") -> Column:
-    """Space-separated words of a text, at least one."""
-    return F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), " ")).cast("long")
+#: Rows of a bucket in which the end of a block is looked for row by row, and hash digits of one step towards it.
+BUCKET_ROWS, STEP_DIGITS = 1000, 3
+
+
+def token_size(text_col: str = "text", tokens_col: str | None = None) -> Column:
+    """Words of a text between white space, or the given count; at least one."""
+    n = F.col(tokens_col).cast("long") if tokens_col else F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return F.greatest(F.lit(1).cast("long"), F.coalesce(n, F.lit(1).cast("long")))
 
 
 def order_key(epoch: Column, ident: Column, seed: int) -> Column:
@@ -95,7 +104,8 @@ def mix_sources(
     repetition_limit: float | None = 4.0,
     cover: bool = False,
     seed: int = 7,
-    bucket_digits: int = 3,
+    tokens_col: str | None = None,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """``docs`` dealt to the mixed weights, plus ``epoch``, ``order_key`` and ``n_tokens``.
 
@@ -104,11 +114,11 @@ def mix_sources(
     the whole input unless given.  ``cover`` sets the budget so that the source
     repeated least is dealt exactly once, so that no document is left out.
     """
-    need(docs, id_col, source_col, text_col)
+    need(docs, id_col, source_col, text_col, *([tokens_col] if tokens_col else []))
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_mix_source")
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    slim = cut(docs.select(ident.alias("id"), source, token_size(text_col).alias("tokens")))
-    sources = cut(slim.groupBy("_mix_source").agg(F.sum("tokens").alias("tokens")))
+    slim = cut(docs.select(ident.alias("id"), source, token_size(text_col, tokens_col).alias("tokens")))
+    sources = cut(slim.groupBy("_mix_source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")))
     exponent = choose_exponent(sources, entropy_share, repetition_limit, cover)
     t = sources.agg(F.sum("tokens")).first()[0] or 1
     power = F.exp(F.lit(exponent) * F.log(F.col("tokens") / F.lit(float(t))))
@@ -124,25 +134,30 @@ def mix_sources(
     plan = cut(plan)
     small = checked_broadcast(plan.select("_mix_source", "blocks", "rest"))
 
-    # where the last block of each source ends
-    last = slim.join(small, "_mix_source").where("rest > 0").select("_mix_source", "rest", "id", "tokens", order_key(F.col("blocks"), F.col("id"), seed).alias("key"))
-    last = last.withColumn("bucket", F.substring("key", 1, bucket_digits))
-    sums = last.groupBy("_mix_source", "bucket").agg(F.sum("tokens").alias("in_bucket"), F.max("rest").alias("rest"))
-    upto = F.sum("in_bucket").over(W.partitionBy("_mix_source").orderBy("bucket"))
-    ends = cut(sums.withColumn("upto", upto).where("upto > rest and upto - in_bucket <= rest").select("_mix_source", "bucket", (F.col("upto") - F.col("in_bucket")).alias("before")))
-    within = last.join(checked_broadcast(ends), ["_mix_source", "bucket"])
+    # where the last block of each source ends: the bucket of hash digits in which the quota is used up, refined step by step
+    last = slim.join(small, "_mix_source").where("rest > 0").select("_mix_source", "id", "tokens", order_key(F.col("blocks"), F.col("id"), seed).alias("key"))
+    largest = sources.agg(F.max("rows")).first()[0] or 0
+    steps = max(1, math.ceil(math.log(max(2, largest) / bucket_rows, 16**STEP_DIGITS)))
+    ends = plan.where("rest > 0").select("_mix_source", "rest", F.lit("").alias("end"), F.lit(0).cast("long").alias("before"))
+    for step in range(1, steps + 1):
+        inside = last.join(checked_broadcast(ends), "_mix_source").where(F.col("key").startswith(F.col("end")))
+        sums = inside.groupBy("_mix_source", F.substring("key", 1, step * STEP_DIGITS).alias("bucket")).agg(F.sum("tokens").alias("n"), F.max("rest").alias("rest"), F.max("before").alias("before"))
+        upto = F.col("before") + F.sum("n").over(W.partitionBy("_mix_source").orderBy("bucket"))
+        ends = cut(sums.withColumn("upto", upto).where("upto > rest and upto - n <= rest").select("_mix_source", "rest", F.col("bucket").alias("end"), (F.col("upto") - F.col("n")).alias("before")))
+    digits = steps * STEP_DIGITS
+    within = last.join(checked_broadcast(ends), "_mix_source").where(F.col("key").startswith(F.col("end")))
     order = F.struct("key", "id", "tokens")
     run = F.col("before") + F.sum("tokens").over(W.partitionBy("_mix_source").orderBy("key", "id", "tokens").rowsBetween(W.unboundedPreceding, 0))
     cuts = within.withColumn("run", run).where("run <= rest").groupBy("_mix_source").agg(F.max(order).alias("cut"))
-    ends = ends.select("_mix_source", F.col("bucket").alias("end")).join(cuts, "_mix_source", "left")
+    ends = ends.select("_mix_source", "end").join(cuts, "_mix_source", "left")
     dealt = cut(plan.select("_mix_source", "blocks", "rest").join(ends, "_mix_source", "left"))
 
     names = {c: f"_mix_{c}" for c in ("blocks", "rest", "end", "cut")}
     rows = docs.withColumn("_mix_source", source).join(checked_broadcast(dealt.withColumnsRenamed(names)), "_mix_source")
-    rows = rows.withColumn("n_tokens", token_size(text_col)).withColumn("_mix_id", ident)
+    rows = rows.withColumn("n_tokens", token_size(text_col, tokens_col)).withColumn("_mix_id", ident)
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_blocks"))))
     rows = rows.withColumn("order_key", order_key(F.col("epoch"), F.col("_mix_id"), seed))
-    bucket = F.substring("order_key", 1, bucket_digits)
+    bucket = F.substring("order_key", 1, digits)
     own = F.struct(F.col("order_key").alias("key"), F.col("_mix_id").alias("id"), F.col("n_tokens").alias("tokens"))
     inside = (bucket < F.col("_mix_end")) | ((bucket == F.col("_mix_end")) & F.col("_mix_cut").isNotNull() & (own <= F.col("_mix_cut")))
     kept = rows.where((F.col("epoch") < F.col("_mix_blocks")) | ((F.col("_mix_rest") > 0) & F.coalesce(inside, F.lit(False))))

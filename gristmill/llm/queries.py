@@ -31,8 +31,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json", folder: str | None = None) -
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = media_columns(table(spark, sf_dir, "documents"))
-    return out.drop("shard", "offset")
+    return media_columns(table(spark, sf_dir, "documents")).withColumn("shard", F.element_at(F.split("shard", "/"), -1))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +103,7 @@ FROM lines l LEFT JOIN kept k USING (doc_id)
 """,
     "op7_mixing": """
 WITH RECURSIVE slim AS (
-  SELECT doc_id, source, CAST(len(string_split(coalesce(text, ''), ' ')) AS BIGINT) AS n_tokens FROM documents
+  SELECT doc_id, source, CAST(greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) AS BIGINT) AS n_tokens FROM documents
 ), src AS (
   SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM slim GROUP BY source
 ), p AS (

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -34,6 +35,16 @@ def test_media(spark, queries, docs):
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(payload[-32:])
         assert (r["media_width"], r["media_height"]) == (576, len(payload) // 576)
+        # the stored form, restated: a filter byte before each row of 576 samples, deflated between a header and an end
+        rows = b"".join(b"\0" + payload[k : k + 576] for k in range(0, len(payload), 576))
+        parts = [(b"IHDR", struct.pack(">IIBBBBB", 576, len(payload) // 576, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(rows, 4)), (b"IEND", b"")]
+        image = b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d)) for k, d in parts)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(image), hashlib.sha256(image).hexdigest())
+        x = np.frombuffer(payload, np.uint8)
+        cells = [int(x[k * len(x) // 64 : (k + 1) * len(x) // 64].astype(np.int64).sum()) * 64 > int(x.astype(np.int64).sum()) for k in range(64)]
+        ahash = sum(1 << (63 - k) for k, c in enumerate(cells) if c)
+        assert r["feature"] == f"mean={x.mean():.6f};std={x.std():.6f};filler={(x == 255).mean():.6f};ahash={ahash:016x}"
+        assert r["shard"].endswith(".tar") and r["offset"] % 512 == 0
 
 
 def test_token_counts(spark, queries, docs):

@@ -200,11 +200,11 @@ def test_mixing_budget_is_met(spark):
     from gristmill.llm.mixing import mix_sources
 
     df = spark.range(3000).selectExpr("id as doc_id", "case when id % 10 < 7 then 'hot' when id % 10 < 9 then 'b' else 'c' end as source", "repeat('w ', 9) || 'w' as text")
-    out = mix_sources(df, budget_tokens=20_000, entropy_share=0.8, bucket_digits=1)
+    out = mix_sources(df, budget_tokens=20_000, entropy_share=0.8, bucket_rows=1)
     got = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     assert 20_000 - 3 * 11 <= sum(got.values()) <= 20_000
     assert got["hot"] < 14_000 and got["c"] > 2_000
-    again = mix_sources(df.repartition(7), budget_tokens=20_000, entropy_share=0.8, bucket_digits=2)
+    again = mix_sources(df.repartition(7), budget_tokens=20_000, entropy_share=0.8, bucket_rows=100_000)
     key = lambda d: sorted((r["doc_id"], r["epoch"]) for r in d.collect())
     assert key(out) == key(again)
 

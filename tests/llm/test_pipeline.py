@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -31,7 +32,7 @@ def plain_near_dedup(docs):
 
 
 def plain_mixing(docs, source, limit, seed=7):
-    tokens = {i: len(t.split(" ")) for i, t in docs.items()}
+    tokens = {i: max(1, len(re.findall(r"[^\x20\x09-\x0D]+", t))) for i, t in docs.items()}
     per = defaultdict(int)
     for i, n in tokens.items():
         per[source[i]] += n
