@@ -488,14 +488,14 @@ def near_duplicates(
     rows = cut(sketches(docs, size, similarity))
     words = [f"f{k}" for k in range(WORDS)]
     nodes = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "grade", *words))))
-    near = cut(wide_links(nodes.where("n > 0"), similarity, tile_rows).distinct())
+    near = cut(wide_links(nodes.where("n > 0"), similarity, tile_rows))
     families = connected_components(near.where("kind = 0"), "a", "b").select(F.col("node").alias("sig"), F.col("component").alias("family"))
     families = cut(spread_join(nodes.select("sig", "rep", "n", *words), families, ["sig"]))
     sets = cut(wanted_sets(families, docs, size))
     # texts that share an id are one document
     slim = rows.select("doc_id", "sig")
     low = slim.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a <> z").select("doc_id", "a")
-    known_leads = cut(similar_pairs(near.where("kind = 1").select("a", "b"), sets, least))
+    known_leads = cut(similar_pairs(near.where("kind = 1").select("a", "b").distinct(), sets, least))
     links = known_leads.union(slim.join(low, "doc_id").where("a <> sig").select("a", F.col("sig").alias("b")))
     # a node and its leader's leader are of one part
     lead = known_leads.groupBy("a").agg(F.min("b").alias("lead")).select(F.col("a").alias("sig"), "lead")
