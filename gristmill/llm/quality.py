@@ -1,16 +1,18 @@
 """Quality classifier by co-training of two views.
 
-The text view sees what a page says (byte and word statistics of its whole
-text); the metadata view sees what is known about it (language, source, size).
-Each view starts as a logistic model on the labelled rows.  Over the rounds
-each view labels the unlabelled rows it is confident about and hands them to
-the other, which is fitted again.  Both are then calibrated on labelled rows
-that they were not fitted on, and the calibrated views are combined into the
-score of every document.
-
-Fitting is on bounded samples, chosen by a hash of the id: at most
-``label_rows`` labelled and ``pool_rows`` unlabelled documents, some dozens of
-numbers each.  Scoring is one pass over all documents.
+The text view sees what a page says: hashed counts of its words and of its runs
+of four bytes, and some statistics of its whole text.  The metadata view sees
+what is known about it: language, source, size.  Each view starts as a logistic
+model on the labelled rows.  In each round every document of the corpus is
+scored by both views; what one view is confident about becomes pseudo-labels
+for the other, whose sums of slopes and curvatures are added up on Spark, and
+each model takes Newton steps over its labelled rows and those sums.  Both are
+then calibrated on labelled rows that they were not fitted on, and the
+calibrated views are combined into the score of every document.
+
+The labelled rows are a bounded sample, chosen by a hash of the id: at most
+``label_rows``.  Pseudo-labels come from all documents, and what comes back of
+them is one small matrix for each view whatever the corpus.
 
 Edge cases: null and empty texts have the statistics of an empty text; null
 metadata is a value of its own; without labels of both kinds every document has
@@ -29,18 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import need, texts
+from gristmill.llm.common import cut, need, partitions, texts
 
 SYMBOLS = np.frombuffer(b"#$%&*+/<=>@\\^_`{|}~", np.uint8)
-META_SLOTS = 64
-N_TEXT, N_META = 15, 2 * META_SLOTS + 4
+WORD_SLOTS, GRAM_SLOTS, N_SHARES = 128, 112, 15
+LANG_SLOTS, SOURCE_SLOTS = 32, 256
+N_TEXT, N_META = N_SHARES + WORD_SLOTS + GRAM_SLOTS, LANG_SLOTS + SOURCE_SLOTS + 4
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_POWERS = np.cumprod(np.full(64, 1_000_003, np.uint32), dtype=np.uint32)
 
 
-def text_view(text: str) -> list[float]:
+def text_shares(data: bytes, counts: np.ndarray) -> list[float]:
     """Shares of kinds of bytes, and how words repeat, of one whole text."""
-    data = text.encode("utf-8", "surrogatepass")
-    n = max(1, len(data))
-    h = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    n, h = max(1, len(data)), counts
     words = data.split()
     w = max(1, len(words))
     upper, lower = h[65:91].sum(), h[97:123].sum()
@@ -53,16 +59,49 @@ def text_view(text: str) -> list[float]:
     ]
 
 
-def meta_view(lang: str | None, source: str | None, size: int | None) -> list[float]:
+def _spread(h: np.ndarray, slots: int) -> np.ndarray:
+    """Roots of the shares of each slot."""
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    n = np.bincount((h ^ (h >> np.uint32(12))) % np.uint32(slots), minlength=slots)
+    return np.sqrt(n / max(1, n.sum()))
+
+
+def text_view(text: str) -> np.ndarray:
+    """The shares, hashed words and hashed runs of four bytes of one whole text."""
+    data = text.encode("utf-8", "surrogatepass")
+    raw = np.frombuffer(data, np.uint8)
+    out = np.zeros(N_TEXT)
+    out[:N_SHARES] = text_shares(data, np.bincount(raw, minlength=256))
+    if not len(raw):
+        return out
+    low = _LOWER[raw]
+    inside = ~_SPACE[raw]
+    starts = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1])))
+    if len(starts):
+        # a word's hash sums its bytes, each times a power for its place
+        begun = np.zeros(len(raw), np.int64)
+        begun[starts[1:]] = np.diff(starts)
+        place = (np.arange(len(raw)) - starts[0] - np.cumsum(begun)) & 63
+        out[N_SHARES : N_SHARES + WORD_SLOTS] = _spread(np.add.reduceat(np.where(inside, low, 0).astype(np.uint32) * _POWERS[place], starts, dtype=np.uint32), WORD_SLOTS)
+    if len(low) >= 4:
+        wide = low.astype(np.uint32)
+        out[N_SHARES + WORD_SLOTS :] = _spread(wide[:-3] | (wide[1:-2] << np.uint32(8)) | (wide[2:-1] << np.uint32(16)) | (wide[3:] << np.uint32(24)), GRAM_SLOTS)
+    return out
+
+
+def meta_view(lang: str | None, source: str | None, size: int | None) -> np.ndarray:
     """Language and source as hashed indicators, size on a log scale."""
-    out = [0.0] * N_META
-    out[zlib.crc32(b"" if lang is None else b"=" + lang.encode("utf-8", "surrogatepass")) % META_SLOTS] = 1.0
-    out[META_SLOTS + zlib.crc32(b"" if source is None else b"=" + source.encode("utf-8", "surrogatepass")) % META_SLOTS] = 1.0
+    out = np.zeros(N_META)
+    out[zlib.crc32(b"" if lang is None else b"=" + lang.encode("utf-8", "surrogatepass")) % LANG_SLOTS] = 1.0
+    out[LANG_SLOTS + zlib.crc32(b"" if source is None else b"=" + source.encode("utf-8", "surrogatepass")) % SOURCE_SLOTS] = 1.0
     log = np.log1p(max(0, size)) if size is not None else 0.0
-    out[2 * META_SLOTS :] = [log / 10, (log / 10) ** 2, 1.0 if size is None else 0.0, 1.0 if size is not None and size < 100 else 0.0]
+    out[-4:] = [log / 10, (log / 10) ** 2, 1.0 if size is None else 0.0, 1.0 if size is not None and size < 100 else 0.0]
     return out
 
 
+# --- models ----------------------------------------------------------------------
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
     """Newton steps for a ridge logistic model; the last coefficient is the constant."""
     x = np.column_stack((x, np.ones(len(x))))
@@ -82,33 +121,54 @@ def logit(x: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(x @ b[:-1] + b[-1], -30, 30)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 4, sure: float = 0.98) -> dict:
-    """Fit both views with exchanged pseudo-labels, calibrate and combine.  Every fourth labelled row is kept for calibration."""
-    scale = np.maximum(text.std(axis=0), 1e-6)
-    center = text.mean(axis=0)
-    views = {"text": (text - center) / scale, "meta": meta}
-    pools = {"text": (pool_text - center) / scale, "meta": pool_meta}
-    hold = np.arange(len(y)) % 4 == 3
-    if len(set(y[hold])) < 2 or len(set(y[~hold])) < 2:
-        hold = np.zeros(len(y), bool)
-    got = {v: (np.zeros(0, int), np.zeros(0)) for v in views}
-    for _ in range(rounds + 1):
-        model = {}
-        for v in views:
-            rows, labels = got[v]
-            x = np.concatenate((views[v][~hold], pools[v][rows]))
-            # pseudo-labels weigh less than labels, and together at most as much
-            w = np.concatenate((np.ones((~hold).sum()), np.full(len(rows), min(0.5, (~hold).sum() / max(1, len(rows))))))
-            model[v] = logistic(x, np.concatenate((y[~hold], labels)), w)
-        for v, other in (("text", "meta"), ("meta", "text")):
-            if len(pools[v]):
-                p = 1 / (1 + np.exp(-logit(pools[v], model[v])))
-                rows = np.flatnonzero((p >= sure) | (p <= 1 - sure))
-                got[other] = (rows, (p[rows] >= 0.5).astype(float))
-    on = hold if hold.any() else np.ones(len(y), bool)
-    calibrated = {v: logistic(logit(views[v][on], model[v])[:, None], y[on], ridge=0.01) for v in views}
-    both = np.column_stack([logit(logit(views[v], model[v])[:, None], calibrated[v]) for v in ("text", "meta")])
-    return {"center": center, "scale": scale, "model": model, "calibrated": calibrated, "combine": logistic(both[on], y[on], ridge=0.1)}
+class View:
+    """A ridge logistic model over the labelled rows of one view, and the sums of its pseudo-labelled rows."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25):
+        self.x, self.y = np.column_stack((x, np.ones(len(x)))), y
+        self.penalty = np.append(np.full(x.shape[1], ridge), 1e-6)
+        self.b = np.zeros(x.shape[1] + 1)
+        self.newton(steps=steps)
+
+    def newton(self, n: int = 0, slope: np.ndarray | None = None, curve: np.ndarray | None = None, steps: int = 6) -> None:
+        """Newton steps over the labelled rows and, as a parabola around the present model, the ``n`` pseudo-labelled ones.
+
+        Pseudo-labels weigh less than labels, and together at most as much.
+        """
+        weight = min(0.5, len(self.y) / n) if n else 0.0
+        start = self.b.copy()
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(self.x @ self.b, -30, 30)))
+            h = (self.x.T * (p * (1 - p))) @ self.x + np.diag(self.penalty + 1e-9)
+            g = self.x.T @ (self.y - p) - self.penalty * self.b
+            if n:
+                h = h + weight * curve
+                g = g + weight * (slope - curve @ (self.b - start))
+            step = np.linalg.solve(h, g)
+            self.b = self.b + step
+            if np.abs(step).max() < 1e-8:
+                break
+
+
+def pseudo_sums(x: np.ndarray, b: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature of a logistic model over rows with pseudo-labels."""
+    x = np.column_stack((x, np.ones(len(x))))
+    p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+    return x.T @ (target - p), (x.T * (p * (1 - p))) @ x
+
+
+def confident(x: np.ndarray, b: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that a model is sure about, and what it takes them for."""
+    p = 1 / (1 + np.exp(-logit(x, b)))
+    rows = np.flatnonzero((p >= sure) | (p <= 1 - sure))
+    return rows, (p[rows] >= 0.5).astype(float)
+
+
+def finish(views: dict[str, View], held: dict[str, np.ndarray], y: np.ndarray) -> dict:
+    """Calibrate each view on the held rows and combine the calibrated views."""
+    calibrated = {v: logistic(logit(held[v], m.b)[:, None], y, ridge=0.01) for v, m in views.items()}
+    both = np.column_stack([logit(logit(held[v], views[v].b)[:, None], calibrated[v]) for v in ("text", "meta")])
+    return {"model": {v: m.b for v, m in views.items()}, "calibrated": calibrated, "combine": logistic(both, y, ridge=0.1)}
 
 
 def _scores(fit: dict, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,32 +192,73 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS])
 
 
-def fit_views(docs: DataFrame, labels: DataFrame, label_col: str = "quality", label_rows: int = 10_000, pool_rows: int = 10_000, rounds: int = 4) -> dict | None:
-    """Fit on bounded samples; None without labels of both kinds."""
+def exchange(docs: DataFrame, center: np.ndarray, scale: np.ndarray, models: dict[str, np.ndarray], sure: float) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
+    """One round over all documents: for each view the number, slope and curvature of the rows that the other is sure about.
+
+    Every task sums its rows first; the sums are added up by matrix row.
+    """
+    sizes = {"text": N_TEXT + 1, "meta": N_META + 1}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {v: np.zeros((k + 1, k + 1)) for v, k in sizes.items()}  # curvature, then the slope; the last place counts rows
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                text, meta = _views(batch.slice(at, 1000))
+                views = {"text": (text - center) / scale, "meta": meta}
+                for v, other in (("text", "meta"), ("meta", "text")):
+                    rows, target = confident(views[v], models[v], sure)
+                    slope, curve = pseudo_sums(views[other][rows], models[other], target)
+                    total[other][:-1, :-1] += curve
+                    total[other][-1, :-1] += slope
+                    total[other][-1, -1] += len(rows)
+        for v, m in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([v] * len(m)), pa.array(np.arange(len(m)), pa.int64()), pa.array([r.tobytes() for r in m], pa.binary())], ["view", "row", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for v, row, sums in zip(*(batch.column(c).to_pylist() for c in ("view", "row", "sums"))):
+                x = np.frombuffer(sums)
+                total[v, row] = total[v, row] + x if (v, row) in total else x
+        yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in total], pa.string()), pa.array([r for _, r in total], pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["view", "row", "sums"])
+
+    schema = "view string, row long, sums binary"
+    parts = _slim(docs).mapInArrow(run, schema).repartition(partitions(docs.sparkSession), "view", "row").mapInArrow(add, schema)
+    out = {v: np.zeros((k + 1, k + 1)) for v, k in sizes.items()}
+    for r in parts.collect():
+        out[r["view"]][r["row"]] = np.frombuffer(r["sums"])
+    return {v: (int(round(m[-1, -1])), m[-1, :-1], m[:-1, :-1]) for v, m in out.items()}
+
+
+def fit_views(docs: DataFrame, labels: DataFrame, label_col: str = "quality", label_rows: int = 10_000, rounds: int = 2, sure: float = 0.98, ridge: float = 10.0) -> dict | None:
+    """Fit both views with exchanged pseudo-labels; None without labels of both kinds.  Every fourth labelled row is kept for calibration."""
     need(labels, "doc_id", label_col)
     y = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
-    key = F.xxhash64("doc_id")
-    some = y.where("doc_id is not null").orderBy(key, "doc_id").limit(label_rows)
-    # ids without a label, drawn from the ids alone: no text is read for rows outside the sample
-    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").join(y.select("doc_id"), "doc_id", "left_anti").orderBy(key, "doc_id").limit(pool_rows)
-    picked = F.broadcast(some.union(rest.select("doc_id", F.lit(-1))))  # at most label_rows + pool_rows ids
+    some = F.broadcast(cut(y.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(label_rows)))  # at most label_rows ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, meta = _views(batch)
-            flat = pa.array([r.tobytes() for r in np.column_stack((text, meta))], pa.binary())
+            flat = pa.array([r.tobytes() for r in np.column_stack(_views(batch))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), flat], ["doc_id", "y", "x"])
 
-    rows = _slim(docs).join(picked, "doc_id").mapInArrow(run, "doc_id long, y int, x binary").toPandas()
-    rows = rows.sort_values(["doc_id"], kind="stable").drop_duplicates("doc_id")
-    order = np.argsort([zlib.crc32(str(i).encode()) for i in rows["doc_id"]], kind="stable")
-    rows = rows.iloc[order]
-    x = np.frombuffer(b"".join(map(bytes, rows["x"])), np.float64).reshape(-1, N_TEXT + N_META)
-    label = rows["y"].to_numpy()
-    known = label >= 0
-    if len(set(label[known])) < 2:
+    rows = _slim(docs).join(some, "doc_id").mapInArrow(run, "doc_id long, y int, x binary").toPandas()
+    rows = rows.sort_values(["doc_id", "x"], kind="stable").drop_duplicates("doc_id")
+    rows = rows.iloc[np.argsort([zlib.crc32(str(i).encode()) for i in rows["doc_id"]], kind="stable")]
+    label = rows["y"].to_numpy().astype(float)
+    if len(set(label)) < 2:
         return None
-    return co_train(x[known, :N_TEXT], x[known, N_TEXT:], label[known].astype(float), x[~known, :N_TEXT], x[~known, N_TEXT:], rounds)
+    x = np.frombuffer(b"".join(map(bytes, rows["x"])), np.float64).reshape(-1, N_TEXT + N_META)
+    hold = np.arange(len(label)) % 4 == 3
+    if len(set(label[hold])) < 2 or len(set(label[~hold])) < 2:
+        hold = np.zeros(len(label), bool)
+    on = hold if hold.any() else ~hold
+    center, scale = x[:, :N_TEXT].mean(axis=0), np.maximum(x[:, :N_TEXT].std(axis=0), 1e-3)
+    every = {"text": (x[:, :N_TEXT] - center) / scale, "meta": x[:, N_TEXT:]}
+    views = {v: View(every[v][~hold], label[~hold], r) for v, r in (("text", ridge), ("meta", 1.0))}
+    for _ in range(rounds):
+        for v, sums in exchange(docs, center, scale, {v: m.b for v, m in views.items()}, sure).items():
+            views[v].newton(*sums)
+    return {"center": center, "scale": scale} | finish(views, {v: z[on] for v, z in every.items()}, label[on])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label_col: str = "quality", **how) -> DataFrame:
