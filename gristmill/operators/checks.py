@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from gristmill.functions.rules import dnf
 from gristmill.values import as_text, column, fold, is_text, numeric, require
 
+#: Checks that count distinct values copy the rows once for each; so many go into one aggregate, further ones into another.
+DISTINCT_CHECKS, DISTINCT_AT_ONCE = {"distinct_eq", "distinct_min", "distinct_max", "unique", "distinct_cmp", "determines"}, 8
 COMPARE = {
     "eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "gt": lambda a, b: a > b,
     "ge": lambda a, b: a >= b, "lt": lambda a, b: a < b, "le": lambda a, b: a <= b,
@@ -37,6 +39,12 @@ def _distinct(p: Column, *cs: Column) -> Column:
     return F.count_distinct(F.when(p, F.struct(*[c.alias(f"c{k}") for k, c in enumerate(cs)])))
 
 
+def _at_most_one(p: Column, v: Column) -> Column:
+    """Whether the rows that meet ``p`` have one value at most; null counts as a value.  Needs no distinct count."""
+    seen = F.when(p, v)
+    return (F.count(seen) == 0) | ((F.count_if(p & v.isNull()) == 0) & (F.min(seen) == F.max(seen)))
+
+
 def check_verdict(df: DataFrame, check: dict[str, Any], case_sensitive: bool = False) -> Column | None:
     """Aggregate expression for one check, or None if it is not configured."""
     kind, name, other, raw = check.get("check") or check.get("type"), check.get("column"), check.get("column2"), check.get("value")
@@ -57,6 +65,8 @@ def check_verdict(df: DataFrame, check: dict[str, Any], case_sensitive: bool = F
             if not name:
                 return None
             require(df, [name])
+            if kind == "distinct_max" and n == 1:
+                return guarded(_at_most_one(p, _value(df, name, case_sensitive)))
             got = _distinct(p, _value(df, name, case_sensitive))
         return guarded({"eq": got == n, "min": got >= n, "max": got <= n}[kind.split("_")[1]])
     if not name:
@@ -72,7 +82,7 @@ def check_verdict(df: DataFrame, check: dict[str, Any], case_sensitive: bool = F
     if kind == "unique":
         return guarded(_distinct(p, v) == F.count_if(p))
     if kind == "constant":
-        return guarded(_distinct(p, v) <= 1)
+        return guarded(_at_most_one(p, v))
     if kind in ("contains", "not_contains"):
         if other:
             hit = _text(df, name, case_sensitive).contains(_text(df, other, case_sensitive))
@@ -105,16 +115,25 @@ def group_verdicts(df: DataFrame, keys: Sequence[str], conditions: dict[str, Seq
     keys: the whole table is one group.
     """
     require(df, keys)
-    aggs = []
+    batches: list[list[Column]] = [[]]
+    counted = 0
     for name, checks in conditions.items():
         verdicts = [v for v in (check_verdict(df, c, case_sensitive) for c in checks) if v is not None]
         if not verdicts:
             raise ValueError(f"{name}: no check is configured")
-        aggs.append(reduce(lambda a, b: a & b, verdicts).alias(name))
+        heavy = sum((c.get("check") or c.get("type")) in DISTINCT_CHECKS for c in checks)
+        if counted and counted + heavy > DISTINCT_AT_ONCE:
+            batches, counted = [*batches, []], 0
+        counted += heavy
+        batches[-1].append(reduce(lambda a, b: a & b, verdicts).alias(name))
     if not keys:
-        return df.crossJoin(F.broadcast(df.agg(*aggs)))  # one row
+        return reduce(lambda out, aggs: out.crossJoin(F.broadcast(df.agg(*aggs))), batches, df)  # one row each
     folded = [_value(df, k, case_sensitive).alias(f"_g{i}") for i, k in enumerate(keys)]
-    per = df.groupBy(*folded).agg(*aggs)
+    names = [f"_g{i}" for i in range(len(keys))]
+    per = df.groupBy(*folded).agg(*batches[0])
+    for k, aggs in enumerate(batches[1:]):
+        more = df.groupBy(*folded).agg(*aggs).withColumnsRenamed({n: f"{n}_{k}" for n in names})
+        per = per.join(more, reduce(lambda a, b: a & b, [per[n].eqNullSafe(more[f"{n}_{k}"]) for n in names])).drop(*[f"{n}_{k}" for n in names])
     on = reduce(lambda a, b: a & b, [_value(df, k, case_sensitive).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)])
     return df.join(per, on, "left").drop(*[f"_g{i}" for i in range(len(keys))])
 

@@ -4,64 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gristmill.values import column, join_back, one_direction, ordering, place_key, require, total_order
+from gristmill.values import column, join_back, ordering, require, total_order
 
 
-def _marked(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | tuple[str, bool]], keep: str) -> DataFrame:
+def _order(df: DataFrame, order_by: Sequence[str | tuple[str, bool]], keep: str) -> list[Column]:
+    """The order in which the kept row of a key comes first; all columns break ties."""
     if keep not in ("first", "last"):
         raise ValueError("keep is first or last")
-    order = total_order(df, order_by)
-    if keep == "last":
-        named = [i if isinstance(i, tuple) else (i, False) for i in order_by]
-        rest = [n for n in df.columns if n not in {p for p, _ in named}]
-        order = [column(n).asc_nulls_first() if down else column(n).desc_nulls_first() for n, down in [*named, *[(r, False) for r in rest]]]
-    part = W.partitionBy(*map(column, keys))
-    return df.withColumn("_n", F.count(F.lit(1)).over(part)).withColumn("_rn", F.row_number().over(part.orderBy(*order)))
+    if keep == "first":
+        return total_order(df, order_by)
+    total_order(df, order_by)  # the same checks
+    named = [i if isinstance(i, tuple) else (i, False) for i in order_by]
+    rest = [n for n in df.columns if n not in {p for p, _ in named}]
+    return [column(n).asc_nulls_first() if down else column(n).desc_nulls_first() for n, down in [*named, *[(r, False) for r in rest]]]
 
 
-def _heads(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | tuple[str, bool]], keep: str) -> DataFrame:
-    """The kept row of every key with the size of its group, by a mergeable minimum or maximum.
-
-    A key with a large share of the rows is combined map-side.
-    """
-    if keep not in ("first", "last"):
-        raise ValueError("keep is first or last")
-    key, down = place_key(df, order_by)
-    row = F.struct(key.alias("place"), F.struct(*map(column, df.columns)).alias("row"))
-    per = df.groupBy(*[column(k).alias(f"_key_{i}") for i, k in enumerate(keys)])
-    per = per.agg((F.min if (keep == "first") != down else F.max)(row).alias("_head"), F.count(F.lit(1)).alias("_n"))
-    return per.select("_head.row.*", "_n")
+def _ranked(df: DataFrame, keys: Sequence[str], order: list[Column], upto: int | None = None) -> DataFrame:
+    """Rows with their place ``_rn`` within the key; with ``upto`` only the first ones, which each task takes before the shuffle."""
+    rows = df.withColumn("_rn", F.row_number().over(W.partitionBy(*map(column, keys)).orderBy(*order)))
+    return rows.where(F.col("_rn") <= upto) if upto else rows
 
 
 def duplicates(
-    df: DataFrame, keys: Sequence[str] | None, order_by: Sequence[str | tuple[str, bool]] | None = None, keep: str = "first", dups_mode: str = "all"
+    df: DataFrame, keys: Sequence[str] | None, order_by: Sequence[str | tuple[str, bool]] | None = None, keep: str = "first", dups_mode: str = "all", sort: bool = False
 ) -> dict[str, DataFrame]:
     """``kept`` (one row per key), ``uniques`` (keys that occur once) and ``dups``.
 
     No keys compares whole rows.  Nulls in keys are equal.  ``dups_mode`` is
     all, exemplar (one per repeated key) or extra (all but the kept).  Row order
-    decides what is kept, so give ``order_by``; whole-row keys need none.  Not
-    for streaming input.
+    decides what is kept, so give ``order_by``; whole-row keys need none.
+    ``sort`` orders the dups by key, which is a second shuffle.  Not for
+    streaming input.
     """
     whole = not keys
     keys = list(keys or df.columns)
     require(df, keys)
-    order_by = order_by or (keys if whole else None)
-    clean = lambda d: d.drop("_n", "_rn")
-    heads = _heads(df, keys, order_by, keep) if one_direction(order_by) else _marked(df, keys, order_by, keep).where("_rn = 1")
+    order = _order(df, order_by or (keys if whole else None), keep)
+    # the first row tells what is kept, the first two whether the key is repeated: a hot key is cut to them map-side
+    two = _ranked(df, keys, order, 2).withColumn("_n", F.max("_rn").over(W.partitionBy(*map(column, keys))))
     if dups_mode == "exemplar":
-        dups = heads.where("_n > 1")
+        dups = two.where("_n = 2 and _rn = 1")
     elif dups_mode == "all":
         dups = join_back(df, df.groupBy(*map(column, keys)).agg(F.count(F.lit(1)).alias("_n")), keys, ["_n"]).where("_n > 1")
     elif dups_mode == "extra":
-        dups = _marked(df, keys, order_by, keep).where("_rn > 1")  # which rows these are takes the order within each key
+        dups = _ranked(df, keys, order).where("_rn > 1")  # which rows these are takes the order within each key
     else:
         raise ValueError("dups_mode is all, exemplar or extra")
-    return {"kept": clean(heads), "uniques": clean(heads.where("_n = 1")), "dups": clean(dups).orderBy(*ordering(keys))}
+    clean = lambda d: d.drop("_n", "_rn")
+    return {"kept": clean(_ranked(df, keys, order, 1)), "uniques": clean(two.where("_n = 1")), "dups": clean(dups).orderBy(*ordering(keys)) if sort else clean(dups)}
 
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str] | None = None, dups_mode: str = "all") -> DataFrame:

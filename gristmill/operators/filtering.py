@@ -7,22 +7,33 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gristmill.values import as_text, fold, require
+from gristmill.values import as_text, column, fold, require
 
 
-def _keys(df: DataFrame, names: Sequence[str], case_insensitive: bool) -> list[Column]:
-    require(df, names)
-    return [fold(as_text(df, n), not case_insensitive) for n in names]
+#: Types whose values are equal where their texts are, so that they are compared as they are.
+EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.DateType, T.BooleanType)
 
 
-def _reference(ref: DataFrame, pairs: Sequence[tuple[str, str]], case_insensitive: bool) -> DataFrame:
-    keys = _keys(ref, [b for _, b in pairs], case_insensitive)
-    return ref.select(*[k.alias(f"_ref_{i}") for i, k in enumerate(keys)]).dropna()
+def _keys(df: DataFrame, ref: DataFrame, pairs: Sequence[tuple[str, str]], case_insensitive: bool) -> tuple[list[Column], DataFrame]:
+    """Key columns of ``df``, and the reference keys as ``_ref_0``, ``_ref_1`` …; nulls are left out of the reference."""
+    require(df, [a for a, _ in pairs])
+    require(ref, [b for _, b in pairs])
+    left, right = [], []
+    for i, (a, b) in enumerate(pairs):
+        kind = df.schema[a].dataType
+        if kind == ref.schema[b].dataType and isinstance(kind, EXACT):
+            one, other = column(a), column(b)
+        else:
+            one, other = (fold(as_text(d, n), not case_insensitive) for d, n in ((df, a), (ref, b)))
+        left.append(one)
+        right.append(other.alias(f"_ref_{i}"))
+    return left, ref.select(*right).dropna()
 
 
 def membership_filter(df: DataFrame, ref: DataFrame, pairs: Sequence[tuple[str, str]], keep: bool = True, case_insensitive: bool = False) -> DataFrame:
-    """Rows of ``df`` whose key columns equal those of some reference row, as text; ``keep=False`` for all others.
+    """Rows of ``df`` whose key columns equal those of some reference row, as text (whole numbers, dates and such of one type as they are); ``keep=False`` for all others.
 
     A null in a key never matches, so excluding keeps rows with a null key.
     Works on a streaming ``df`` with a static reference.  The reference is not
@@ -30,16 +41,15 @@ def membership_filter(df: DataFrame, ref: DataFrame, pairs: Sequence[tuple[str,
     """
     if not pairs:
         raise ValueError("a membership filter needs a pair of columns")
-    left = _keys(df, [a for a, _ in pairs], case_insensitive)
-    keys = _reference(ref, pairs, case_insensitive)
+    left, keys = _keys(df, ref, pairs, case_insensitive)
     on = reduce(lambda a, b: a & b, [k == F.col(f"_ref_{i}") for i, k in enumerate(left)])
     return df.join(keys, on, "left_semi" if keep else "left_anti")
 
 
 def membership_counts(df: DataFrame, ref: DataFrame, pairs: Sequence[tuple[str, str]], case_insensitive: bool = False, keep: bool = True) -> DataFrame:
     """One row: total_main, total_ref, matches, kept, excluded, null_keys."""
-    left = _keys(df, [a for a, _ in pairs], case_insensitive)
-    keys = _reference(ref, pairs, case_insensitive).distinct().withColumn("_hit", F.lit(True))
+    left, keys = _keys(df, ref, pairs, case_insensitive)
+    keys = keys.distinct().withColumn("_hit", F.lit(True))
     names = [f"_key_{i}" for i in range(len(left))]
     # rows are counted per key before the join, so a hot key is one row in it
     per = df.select(*[k.alias(n) for n, k in zip(names, left)]).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))

@@ -111,16 +111,17 @@ def breakdown_key(df: DataFrame, name: str, kind: str = "values", by: str = "sep
 def breakdown(df: DataFrame, name: str, kind: str = "values", top: int = 12, **how) -> DataFrame:
     """``(key, count, pct)`` of the most frequent keys and what is left over; ties by key.
 
-    Every row repeats other (rows not shown), distinct, nulls and total.
+    Every row repeats other (rows not shown), distinct, nulls and total; a column
+    without any value has one row with a null key and a count of 0.
     """
     require(df, [name])
     rows = df.select(breakdown_key(df, name, kind, **how).alias("key"), column(name).isNull().alias("null"))
     per = rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.count_if("null").alias("nulls"))
     total = per.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"), F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"), F.count("key").alias("distinct"))
     shown = per.where("key is not null").orderBy(F.desc("count"), "key").limit(max(1, top)).select(F.when(F.col("key") == "", EMPTY).otherwise(F.col("key")).alias("key"), "count")
-    listed = shown.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("listed"))
-    out = shown.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(listed))  # one row each
-    other = F.greatest(F.lit(0), F.col("total") - F.col("nulls") - F.col("listed"))
+    shown = shown.withColumn("listed", F.sum("count").over(W.partitionBy()))  # at most ``top`` rows
+    out = total.join(F.broadcast(shown), F.lit(True), "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))  # one row with the few shown
+    other = F.greatest(F.lit(0).cast("long"), F.col("total") - F.col("nulls") - F.coalesce("listed", F.lit(0)))
     return out.select("key", "count", _pct(F.col("count"), F.col("total")).alias("pct"), other.alias("other"), "distinct", "nulls", "total")
 
 
@@ -172,7 +173,9 @@ def key_groups(df: DataFrame, keys: Sequence[str], top: int = 12, largest: bool
 def key_consistency(df: DataFrame, keys: Sequence[str], batch: int = 16) -> DataFrame:
     """For every other column, the number of keys within which it varies (null is a value), with an example key and up to 6 of its values.
 
-    Distinct counts multiply rows, so wide tables go in batches of columns.
+    Two values that differ are enough to vary, so no distinct count is needed:
+    one mergeable pass per batch of columns.  The values of the example keys
+    come from a second pass over their rows alone.
     """
     require(df, keys)
     others = [n for n in df.columns if n not in keys]
@@ -180,7 +183,6 @@ def key_consistency(df: DataFrame, keys: Sequence[str], batch: int = 16) -> Data
     out = None
     for at in range(0, len(others), batch):
         part = others[at : at + batch]
-        # two values that differ are enough to vary: no distinct count, one pass, mergeable
         aggs = []
         for k, c in enumerate(part):
             t = F.coalesce(as_text(df, c), F.lit("\0null"))
@@ -192,6 +194,15 @@ def key_consistency(df: DataFrame, keys: Sequence[str], batch: int = 16) -> Data
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         raise ValueError("no column besides the key")
+    # the rows of the example keys (one key per column), long by column; the distinct values among them
+    wanted = out.select(F.col("column").alias("_column"), F.col("example_key").alias("_example")).where("_example is not null")
+    pairs = F.array(*[F.struct(F.lit(c).alias("_column"), as_text(df, c).alias("_value")) for c in others])
+    rows = df.withColumn("_example", F.to_json(key)).join(F.broadcast(wanted.select("_example").distinct()), "_example", "left_semi").select("_example", F.inline(pairs))
+    values = rows.where("_value is not null").join(F.broadcast(wanted), ["_example", "_column"], "left_semi").distinct()
+    first = F.row_number().over(W.partitionBy("_column").orderBy("_value"))
+    values = values.withColumn("_place", first).where(F.col("_place") <= 6).groupBy("_column").agg(F.array_sort(F.collect_list("_value")).alias("example_values"))
+    out = out.join(values, out["column"] == values["_column"], "left").drop("_column")
+    out = out.withColumn("example_values", F.coalesce("example_values", F.array().cast("array<string>")))
     return out.withColumn("constant", F.col("varying_groups") == 0).orderBy("constant", F.desc("varying_groups"), "column")
 
 

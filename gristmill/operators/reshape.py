@@ -12,10 +12,16 @@ from gristmill.operators.relational import aggregate_column
 from gristmill.values import as_text, column, require
 
 
-def pivot_values(df: DataFrame, pivot: str) -> list[str]:
-    """The column names a pivot will have: distinct non-null values as text, sorted.  One job; its result is as wide as the pivot."""
-    rows = df.where(column(pivot).isNotNull()).select(as_text(df, pivot).alias("v")).distinct().orderBy("v").collect()
-    return [r["v"] for r in rows]
+#: A pivot of more columns than this is an error, as Spark's own pivot has it.
+MOST_COLUMNS = 10_000
+
+
+def pivot_values(df: DataFrame, pivot: str, most: int = MOST_COLUMNS) -> list[str]:
+    """The column names a pivot will have: distinct non-null values as text, sorted; more than ``most`` is an error."""
+    rows = df.where(column(pivot).isNotNull()).select(as_text(df, pivot).alias("v")).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{pivot} has more than {most} values; give the values to pivot or raise the limit")
+    return sorted(r["v"] for r in rows)
 
 
 def pivot_table(

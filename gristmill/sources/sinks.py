@@ -19,8 +19,9 @@ def plain_number(c: Column, decimal: str) -> Column:
 
 
 def write_delimited(
-    df: DataFrame, path: str, sep: str = ";", decimal: str = ",", bom: bool = True, eol: str = "\r\n", enabled: bool = True, force: bool = False, mode: str = "errorifexists"
-) -> bool:
+    df: DataFrame, path: str, sep: str = ";", decimal: str = ",", bom: bool = True, eol: str = "\r\n", enabled: bool = True, force: bool = False, mode: str = "errorifexists",
+    rows_per_file: int | None = None,
+) -> bool:
     """Write delimited text the way a French spreadsheet reads it; every setting can be overridden.
 
     Every part file has the header, with a byte-order mark if asked.  A disabled
@@ -38,6 +39,8 @@ def write_delimited(
             c = F.replace(c.cast("string"), F.lit("."), F.lit(decimal))
         out.append(c.alias(("\ufeff" if bom and k == 0 else "") + f.name))
     options = {"header": "true", "sep": sep, "lineSep": eol, "encoding": "UTF-8", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
+    if rows_per_file:
+        options["maxRecordsPerFile"] = str(rows_per_file)
     df.select(*out).write.mode(mode).options(**options).csv(path)
     return True
 
@@ -46,13 +49,7 @@ def write_sheet_sized(df: DataFrame, path: str, rows: int = SHEET_ROWS - 1, **ho
     """As ``write_delimited``, in files that each fit a sheet; too many columns is an error."""
     if len(df.columns) > SHEET_COLUMNS:
         raise ValueError(f"{len(df.columns)} columns do not fit a sheet of {SHEET_COLUMNS}")
-    spark = df.sparkSession
-    key, before = "spark.sql.files.maxRecordsPerFile", spark.conf.get("spark.sql.files.maxRecordsPerFile", "0")
-    spark.conf.set(key, str(rows))
-    try:
-        return write_delimited(df, path, **how)
-    finally:
-        spark.conf.set(key, before)
+    return write_delimited(df, path, rows_per_file=rows, **how)
 
 
 def write_routed(routed: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -17,6 +17,7 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gristmill.session import importable
 
@@ -114,14 +115,20 @@ def cell_type_report(cells: DataFrame, header_row: int = 0) -> DataFrame:
 def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None, header_row: int = 0) -> DataFrame:
     """One row per data row of every workbook, with ``file`` and ``row``; blank headers become ``col_i``.
 
-    All workbooks share the header names; names are listed from the header
-    cells alone.  A column whose cells have one type in all files is cast to
-    it, any other stays text.
+    Workbooks share columns by header; where one has a header several times,
+    the second becomes ``name_2`` and so on.  Names are listed from the header
+    cells alone.  A column whose cells have one type in all files is cast to it,
+    any other stays text.
     """
     cells = read_cells(spark, path, sheet)
+    body = cells.where(F.col("row") > header_row)
     heads = cells.where(F.col("row") == header_row).select("file", "col", F.trim("value").alias("name"))
-    named = cells.where(F.col("row") > header_row).join(heads, ["file", "col"], "left")
-    named = named.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("col_"), F.col("col") + 1)))
+    # as many rows as columns of a workbook: those with a header and those with cells only
+    columns = body.select("file", "col").distinct().join(heads, ["file", "col"], "full")
+    columns = columns.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("col_"), F.col("col") + 1)))
+    again = F.row_number().over(W.partitionBy("file", "name").orderBy("col"))
+    columns = columns.withColumn("again", again).select("file", "col", F.when(F.col("again") > 1, F.concat("name", F.lit("_"), "again")).otherwise(F.col("name")).alias("name"))
+    named = body.join(columns, ["file", "col"])
     kinds = named.groupBy("name").agg(F.min("col").alias("place"), F.count_distinct("cell_type").alias("n"), F.min("cell_type").alias("kind"))
     listed = sorted(((r["place"], r["name"], r["kind"] if r["n"] == 1 else "texte") for r in kinds.collect()))  # as many rows as columns
     wide = named.groupBy("file", "row").pivot("name", [n for _, n, _ in listed]).agg(F.first("value"))
