@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.rules import dnf, mask, rule, rule_failure_counts, with_failure_reason
 from gristmill.operators.checks import group_verdicts
-from gristmill.operators.routing import key_scan, legacy_condition, route, route_counts, split_by, with_flag
+from gristmill.operators.routing import control, key_samples, key_scan, legacy_condition, route, route_counts, split_by, with_flag
 from gristmill.plans.tables import Tables, register
 
 QUERIES: dict = {}
@@ -71,6 +71,18 @@ def rules_multi(t: Tables) -> DataFrame:
     return out.withColumn("dnf", dnf(out, spec)).drop("p_name", "p_type", "p_size")
 
 
+_ABSENT = {"column": "absent", "values": ["a", "b"]}
+
+
+@query("SELECT p_partkey, false AS ne, false AS neg, false AS nc, false AS via, false AS one FROM part")
+def rules_unknown(t: Tables) -> DataFrame:
+    """A rule on a column that is not there matches nothing, whatever its test and negation."""
+    return _flags(
+        t.part, ["p_partkey"], ne=_ABSENT | {"test": "not_equals"}, neg=_ABSENT | {"test": "equals", "negate": True}, nc=_ABSENT | {"test": "not_contains"},
+        via={"column": "p_name", "test": "not_equals", "via": "column", "column2": "absent", "values": ["x"]}, one={"column": "absent", "test": "not_equals", "value": "a"},
+    )
+
+
 _NAME_MASK = [{"type": "literal", "value": "Customer#"}, {"type": "digit", "length": 9}]
 
 
@@ -220,6 +232,30 @@ def split_ext(t: Tables) -> DataFrame:
     return split_by(t.pages, "url", {"type": "after_last", "sep": "."}, ["html", "com"]).select("page_id", "route")
 
 
+@query("SELECT c_custkey, regexp_full_match(c_mktsegment, '[A-Z]{8,9}') AS ok FROM customer")
+def control_mask(t: Tables) -> DataFrame:
+    spec = legacy_condition({"mode": "mask", "column": "c_mktsegment", "segments": [{"type": "upper", "min": 8, "max": 9}]})
+    sides = control(t.customer, spec, case_sensitive=True)
+    return sides["valid"].select("c_custkey", F.lit(True).alias("ok")).union(sides["invalid"].select("c_custkey", F.lit(False)))
+
+
+@query("""SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 1) = 'small' THEN 'small' ELSE 'else' END AS before, CASE WHEN substr(p_brand, 7, 1) = '1' THEN '1' WHEN substr(p_brand, 7, 1) = '2' THEN '2' ELSE 'else' END AS piece,
+CASE WHEN regexp_extract(p_brand, '([0-9])$', 1) = '3' THEN '3' ELSE 'else' END AS pattern FROM part""")
+def split_extractors(t: Tables) -> DataFrame:
+    """Three kinds of extracted keys side by side."""
+    out = t.part
+    for name, column, extractor, values in (
+        ("before", "p_name", {"type": "before_first", "sep": " "}, ["small"]), ("piece", "p_brand", {"type": "substring", "start": 7, "length": 1}, ["1", "2"]), ("pattern", "p_brand", {"type": "regex", "pattern": "([0-9])$"}, ["3"]),
+    ):
+        out = split_by(out, column, extractor, values).withColumnRenamed("route", name)
+    return out.select("p_partkey", "before", "piece", "pattern")
+
+
+@query("""SELECT DISTINCT o_orderpriority AS raw, lower(split_part(o_orderpriority, '-', -1)) AS key FROM orders ORDER BY raw LIMIT 3""")
+def key_raw_samples(t: Tables) -> DataFrame:
+    return key_samples(t.orders, "o_orderpriority", {"type": "after_last", "sep": "-"}, n=3)
+
+
 @query("""WITH k AS (SELECT source AS key, count(*) AS rows, min(source) AS example FROM documents GROUP BY 1)
 SELECT key, rows, example, (SELECT count(*) FROM k) AS n_keys, (SELECT count(*) FROM k) > 200 AS truncated FROM k ORDER BY rows DESC, key LIMIT 200""")
 def source_scan(t: Tables) -> DataFrame:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators.routing import route
 from gristmill.plans.tables import Tables, register
 from gristmill.session import shared_folder
-from gristmill.sources.delimited import csv_dialects, read_delimited, read_mixed
+from gristmill.sources.delimited import csv_dialects, peek, read_delimited, read_mixed
 from gristmill.sources.sinks import write_delimited, write_routed, write_sheet_sized
+from gristmill.sources.workbooks import cell_type_report, read_cells, read_workbooks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -53,12 +59,102 @@ def mixed_dialects(t: Tables) -> DataFrame:
     return read_mixed(t.spark, f"{folder}/*/part-*", casts=[{"column": "balance", "type": "number"}])[0]
 
 
-@query("SELECT 'utf-8-sig' AS encoding, ';' AS sep, ',' AS decimal, true AS found FROM customer LIMIT 1")
+_DIALECTS = ((";", ",", True), (",", ".", False), ("|", ",", True))
+
+
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query("""WITH k AS (SELECT c_mktsegment AS folder, [0, 1, 2, 0, 1][list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment)] AS d FROM customer GROUP BY 1)
+SELECT folder, CASE WHEN d = 1 THEN 'utf-8' ELSE 'utf-8-sig' END AS encoding, [';', ',', '|'][d + 1] AS sep, [',', '.', ','][d + 1] AS decimal FROM k""")
 def dialect_scan(t: Tables) -> DataFrame:
+    """A file of customers for each market segment, in three dialects; what is found of each file."""
     folder = scratch(t, "dialects")
-    write_delimited(t.customer.select("c_custkey", "c_acctbal", "c_name"), folder)
-    found = csv_dialects(t.spark, f"{folder}/part-*")
-    return found.groupBy("encoding", "sep", "decimal").agg((F.count(F.lit(1)) > 0).alias("found"))
+    rows = t.customer.select("c_custkey", (F.abs("c_acctbal") + 0.25).alias("balance"), "c_name", "c_mktsegment")
+    for k, segment in enumerate(_SEGMENTS):
+        sep, decimal, bom = _DIALECTS[k % 3]
+        write_delimited(rows.where(F.col("c_mktsegment") == segment).drop("c_mktsegment").coalesce(1), f"{folder}/{segment}", sep=sep, decimal=decimal, bom=bom, eol="\n")
+    found = csv_dialects(t.spark, f"{folder}/*/part-*")
+    return found.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "encoding", "sep", "decimal")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")
+def skipped_lines(t: Tables) -> DataFrame:
+    """Files that begin with a title and a blank line before their header."""
+    folder = scratch(t, "titles")
+    line = F.concat_ws(",", F.col("s_suppkey").cast("string"), "s_name")
+    bodies = t.supplier.groupBy((F.col("s_suppkey") % 3).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
+    text = F.concat(F.lit("suppliers "), F.col("part").cast("string"), F.lit("\n\ns_suppkey,s_name\n"), "body")
+    bodies.repartition(3, "part").select(text.alias("value"), "part").write.partitionBy("part").text(folder)
+    return read_delimited(t.spark, f"{folder}/part=*", header_row=2)[0]
+
+
+@query("""SELECT 'o_orderkey' AS "column", 'BIGINT' AS type, count(*) AS rows, least(count(*), 100) AS sampled FROM orders UNION ALL SELECT 'o_orderstatus', 'VARCHAR', count(*), least(count(*), 100) FROM orders
+UNION ALL SELECT 'o_totalprice', 'DOUBLE', count(*), least(count(*), 100) FROM orders UNION ALL SELECT 'o_orderdate', 'TIMESTAMP', count(*), least(count(*), 100) FROM orders""")
+def peek_columns(t: Tables) -> DataFrame:
+    orders = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    sample, kinds = peek(orders)
+    return kinds.crossJoin(orders.agg(F.count(F.lit(1)).alias("rows"))).crossJoin(sample.agg(F.count(F.lit(1)).alias("sampled")))
+
+
+@query("SELECT 'empty' AS export, false AS written, count(*) AS rows FROM orders WHERE o_totalprice < 0 UNION ALL SELECT 'disabled', false, 0 UNION ALL SELECT 'forced', true, count(*) FROM orders")
+def skipped_exports(t: Tables) -> DataFrame:
+    """An empty result and a disabled export write nothing; a forced one does."""
+    folder, rows = scratch(t, "exports"), t.orders.select("o_orderkey", "o_totalprice")
+    done = {
+        "empty": write_delimited(rows.where("o_totalprice < 0"), f"{folder}/empty"), "disabled": write_delimited(rows, f"{folder}/disabled", enabled=False),
+        "forced": write_delimited(rows, f"{folder}/forced", enabled=False, force=True),
+    }
+    back = read_delimited(t.spark, f"{folder}/forced", sep=";", decimal=",")[0].agg(F.count(F.lit(1)).alias("n"))
+    flags = t.spark.createDataFrame(list(done.items()), "export string, written boolean")
+    return flags.crossJoin(back).select("export", "written", F.when(F.col("written"), F.col("n")).otherwise(0).alias("rows"))
+
+
+_BOOK = (
+    '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="one" sheetId="1" r:id="rId1"/></sheets></workbook>',
+    '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+)
+
+
+def _write_workbooks(rows: DataFrame, folder: str, header: list[str]) -> None:
+    """Test data: a workbook of plain cells for each value of the first column; texts inline, numbers as they are."""
+
+    def save(key, table: pd.DataFrame) -> pd.DataFrame:
+        def cell(v) -> str:
+            return f"<c><v>{v!r}</v></c>" if isinstance(v, (int, float)) else f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+
+        lines = [header, *table.sort_values(list(table.columns))[list(table.columns)[1:]].astype(object).values.tolist()]
+        body = "".join(f'<row r="{k}">{"".join(map(cell, line))}</row>' for k, line in enumerate(lines, 1))
+        made = io.BytesIO()
+        with zipfile.ZipFile(made, "w") as z:
+            z.writestr("xl/workbook.xml", _BOOK[0])
+            z.writestr("xl/_rels/workbook.xml.rels", _BOOK[1])
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+        filesystem, root = pafs.FileSystem.from_uri(folder) if folder.startswith("file:") or "://" in folder else (pafs.LocalFileSystem(), folder)
+        filesystem.create_dir(root, recursive=True)
+        with filesystem.open_output_stream(f"{root}/{key[0]}.xlsx") as out:
+            out.write(made.getvalue())
+        return pd.DataFrame({"n": [len(table)]})
+
+    rows.groupBy(rows.columns[0]).applyInPandas(save, "n long").agg(F.sum("n")).collect()
+
+
+@query("SELECT CAST(s_suppkey AS DOUBLE) AS code, s_name AS name, CAST(s_nationkey AS DOUBLE) AS name_2, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS VARCHAR) ELSE s_name END AS mixed FROM supplier")
+def workbook_rows(t: Tables) -> DataFrame:
+    """Suppliers through workbooks, one for each nation, with two equal headers and a column of mixed cells."""
+    folder = scratch(t, "books")
+    mixed = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey").cast("string")).otherwise(F.col("s_name"))
+    _write_workbooks(t.supplier.select("s_nationkey", "s_suppkey", "s_name", F.col("s_nationkey").alias("again"), mixed.alias("mixed")), folder, ["code", "name", "name", "mixed"])
+    return read_workbooks(t.spark, f"{folder}/*.xlsx").drop("file", "row")
+
+
+@query("""SELECT CAST(col AS INTEGER) AS col, CAST(sum(texte) AS BIGINT) AS texte, CAST(sum(nombre) AS BIGINT) AS nombre, CAST(count(*) FILTER (WHERE texte > 0 AND nombre > 0) AS BIGINT) AS mixed FROM (
+SELECT s_nationkey, 0 AS col, 0 AS texte, count(*) AS nombre FROM supplier GROUP BY 1 UNION ALL SELECT s_nationkey, 1, count(*), 0 FROM supplier GROUP BY 1) GROUP BY col""")
+def workbook_types(t: Tables) -> DataFrame:
+    folder = scratch(t, "types")
+    _write_workbooks(t.supplier.select("s_nationkey", "s_suppkey", "s_name"), folder, ["code", "name"])
+    types = cell_type_report(read_cells(t.spark, f"{folder}/*.xlsx"))
+    return types.groupBy("col").agg(F.sum("texte").alias("texte"), F.sum("nombre").alias("nombre"), F.count_if("mixed").alias("mixed"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'big' ELSE 'else' END AS route FROM orders")

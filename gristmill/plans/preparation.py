@@ -60,6 +60,15 @@ def cleaning_report(t: Tables) -> DataFrame:
     return clean_report(_messy(t), [{"op": "trim", "column": "prio"}, {"op": "to_number", "column": "price"}, {"op": "fillna", "column": "prio", "value": ""}]).drop("samples")
 
 
+@query(f"""WITH m AS ({_MESSY}), t AS (SELECT o_orderkey, prio AS old, trim(replace(replace(prio, chr(160), ' '), chr(9), ' ')) AS new FROM m), p AS (SELECT o_orderkey, price AS old, replace(price, 'x', '?') AS new FROM m),
+s AS (SELECT 0 AS step, row_number() OVER (ORDER BY o_orderkey) AS place, old, new FROM t WHERE old IS DISTINCT FROM new UNION ALL SELECT 1, row_number() OVER (ORDER BY o_orderkey), old, new FROM p WHERE old IS DISTINCT FROM new)
+SELECT CAST(step AS INTEGER) AS step, CAST(place AS INTEGER) AS place, old, new FROM s WHERE place <= 5""")
+def cleaning_samples(t: Tables) -> DataFrame:
+    """Old and new values of the first five rows that each step changes."""
+    report = clean_report(_messy(t), [{"op": "trim", "column": "prio"}, {"op": "replace", "column": "price", "find": "x", "replace": "?"}], order_by=["o_orderkey"])
+    return report.select("step", F.posexplode("samples")).select("step", (c("pos") + 1).alias("place"), "col.old", "col.new")
+
+
 _RAW = "SELECT o_orderkey, replace(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '.', ',') || CASE WHEN o_orderkey % 5 = 0 THEN '?' ELSE '' END AS price, CASE WHEN o_orderstatus = 'F' THEN 'Oui' WHEN o_orderstatus = 'O' THEN 'non' ELSE 'peut-etre' END AS closed FROM orders"
 
 
@@ -141,6 +150,12 @@ def xl_logic(t: Tables) -> DataFrame:
     )
 
 
+@query("SELECT o_orderkey, o_orderdate < current_date AS past, date_diff('day', CAST(o_orderdate AS DATE), current_date) > 0 AS old FROM orders")
+def xl_today(t: Tables) -> DataFrame:
+    d = c("o_orderdate")
+    return t.orders.select("o_orderkey", (d < xl.today()).alias("past"), (F.date_diff(xl.today(), d) > 0).alias("old"))
+
+
 @query("SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d FROM orders")
 def xl_dates(t: Tables) -> DataFrame:
     d = c("o_orderdate")
@@ -148,12 +163,11 @@ def xl_dates(t: Tables) -> DataFrame:
 
 
 @query("""SELECT c_custkey, split_part(c_name, '#', 2) AS tail, left(c_name, 4) AS head, substr(c_name, 2, 3) AS middle, lower(c_name) AS low, concat_ws(' / ', c_name, c_mktsegment) AS both,
-CASE WHEN contains(c_mktsegment, 'BUILD') THEN 'b' ELSE 'o' END AS kind, floor(c_acctbal * 1.2 * 100.0 + 0.5) / 100.0 * CASE WHEN c_acctbal < 0 THEN 1 ELSE 1 END AS taxed FROM customer WHERE c_acctbal > 0""")
+CASE WHEN contains(c_mktsegment, 'BUILD') THEN 'b' ELSE 'o' END AS kind, sign(c_acctbal) * floor(abs(c_acctbal * 1.2) * 100.0 + 0.5) / 100.0 AS taxed FROM customer""")
 def xl_guided(t: Tables) -> DataFrame:
     n = c("c_name")
-    rows = t.customer.where("c_acctbal > 0")
     return xl.with_columns_in_order(
-        rows.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"),
+        t.customer.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"),
         [
             ("tail", xl.extract(n, "after", "#")), ("head", xl.extract(n, "first", n=4)), ("middle", xl.extract(n, "mid", start=2, n=3)), ("low", xl.transform(n, "lower")),
             ("both", xl.combine([n, c("c_mktsegment")], " / ")), ("kind", xl.condition(c("c_mktsegment"), "contains", "BUILD", "b", "o")), ("taxed", xl.math(c("c_acctbal"), "*", 1.2, 2)),
@@ -201,10 +215,10 @@ def group_concat_median(t: Tables) -> DataFrame:
     return with_group_columns(rows, ["user_id"], ["ts", "event_id"], functions).select("event_id", "types", "med", F.round("mean", 6).alias("mean"))
 
 
-@query("SELECT r_regionkey, count(*) OVER () AS group_size, CAST(sum(r_regionkey) OVER () AS BIGINT) AS total, count(*) OVER () AS kinds FROM region")
+@query("SELECT o_orderkey, count(*) OVER () AS group_size, CAST(sum(o_custkey) OVER () AS BIGINT) AS total, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS kinds FROM orders")
 def group_whole_table(t: Tables) -> DataFrame:
-    functions = [{"fn": "group_size"}, {"fn": "sum", "name": "total", "column": "r_regionkey"}, {"fn": "count_distinct", "name": "kinds", "column": "r_name"}]
-    return with_group_columns(t.region, [], None, functions).drop("r_name")
+    functions = [{"fn": "group_size"}, {"fn": "sum", "name": "total", "column": "o_custkey"}, {"fn": "count_distinct", "name": "kinds", "column": "o_orderpriority"}]
+    return with_group_columns(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority"), [], None, functions).drop("o_custkey", "o_orderpriority")
 
 
 _BUYS = {"groups": [{"rules": [{"column": "event_type", "test": "equals", "value": "purchase"}]}]}

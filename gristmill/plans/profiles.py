@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from gristmill.operators.profiling import (
     key_groups,
     key_rows,
     preview,
+    report,
     summarize,
     top_values,
 )
@@ -123,13 +126,37 @@ def key_largest_groups(t: Tables) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT o_custkey, count(DISTINCT o_orderstatus) > 1 AS s, count(DISTINCT o_orderpriority) > 1 AS p, count(DISTINCT o_custkey % 5) > 1 AS m FROM orders GROUP BY 1)
+SELECT x.*, CASE WHEN constant THEN [] ELSE (SELECT list(DISTINCT s.val ORDER BY s.val)[:6] FROM (SELECT o_custkey, 'o_orderstatus' AS col, o_orderstatus AS val FROM orders UNION ALL SELECT o_custkey, 'o_orderpriority', o_orderpriority FROM orders UNION ALL SELECT o_custkey, 'm', CAST(o_custkey % 5 AS VARCHAR) FROM orders) s WHERE s.o_custkey = x.example AND s.col = x."column") END AS example_values FROM (
 SELECT 'o_orderstatus' AS "column", count(*) FILTER (WHERE s) AS varying_groups, min(o_custkey) FILTER (WHERE s) AS example, count(*) FILTER (WHERE s) = 0 AS constant FROM v
-UNION ALL SELECT 'o_orderpriority', count(*) FILTER (WHERE p), min(o_custkey) FILTER (WHERE p), count(*) FILTER (WHERE p) = 0 FROM v UNION ALL SELECT 'm', count(*) FILTER (WHERE m), min(o_custkey) FILTER (WHERE m), count(*) FILTER (WHERE m) = 0 FROM v""")
+UNION ALL SELECT 'o_orderpriority', count(*) FILTER (WHERE p), min(o_custkey) FILTER (WHERE p), count(*) FILTER (WHERE p) = 0 FROM v UNION ALL SELECT 'm', count(*) FILTER (WHERE m), min(o_custkey) FILTER (WHERE m), count(*) FILTER (WHERE m) = 0 FROM v) x""")
 def key_varying_columns(t: Tables) -> DataFrame:
     out = key_consistency(t.orders.selectExpr("o_custkey", "o_orderstatus", "o_orderpriority", "o_custkey % 5 AS m"), ["o_custkey"], batch=2)
     return out.withColumn("example", F.get_json_object("example_key", "$.o_custkey").cast("long")).drop("example_key")
 
 
+@query("""WITH k AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n, o_custkey LIMIT 6), r AS (SELECT o_orderkey, o_custkey, n AS group_size, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS row_in_group FROM orders JOIN k USING (o_custkey))
+SELECT * FROM r WHERE row_in_group <= 3""")
+def key_smallest_groups(t: Tables) -> DataFrame:
+    return key_groups(t.orders.select("o_orderkey", "o_custkey"), ["o_custkey"], top=6, largest=False, sample_rows=3, order_by=["o_orderkey"])
+
+
+@query(f"""SELECT 'values: o_orderstatus' AS analysis, key, count FROM ({_breakdown_sql("o_orderstatus", "orders", "o_orderstatus")})
+UNION ALL SELECT 'first letter', key, count FROM ({_breakdown_sql("left(o_orderpriority, 1)", "orders", "o_orderpriority", 2)})
+UNION ALL SELECT 'keys: o_custkey', 'distinct', count(DISTINCT o_custkey) FROM orders""")
+def report_tables(t: Tables) -> DataFrame:
+    """A report of three analyses, each made by its own plan, stacked with its title."""
+    specs = [{"kind": "values", "column": "o_orderstatus"}, {"kind": "prefix", "column": "o_orderpriority", "by": "chars", "n": 1, "top": 2, "title": "first letter"}, {"kind": "keys", "key": ["o_custkey"]}]
+    made = report(t.orders, specs)
+    parts = [d.select(F.lit(name).alias("analysis"), "key", "count") if "key" in d.columns else d.select(F.lit(name).alias("analysis"), F.lit("distinct").alias("key"), F.col("distinct_keys").alias("count")) for name, d in made.items()]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+@query("""SELECT CAST(NULL AS VARCHAR) AS key, CAST(0 AS BIGINT) AS count, CAST(0 AS DOUBLE) AS pct, CAST(0 AS BIGINT) AS other, CAST(0 AS BIGINT) AS distinct, count(*) AS nulls, count(*) AS total FROM orders""")
+def breakdown_of_nothing(t: Tables) -> DataFrame:
+    """A column without any value still says how many rows there are."""
+    return breakdown(t.orders.select(F.expr("nullif(o_orderstatus, o_orderstatus)").alias("none")), "none")
+
+
 @query("SELECT * FROM customer WHERE contains(lower(c_mktsegment), 'build') OR contains(c_name, 'build') ORDER BY c_mktsegment, c_name LIMIT 200")
 def key_drill_down(t: Tables) -> DataFrame:
     return key_rows(t.customer, ["c_mktsegment", "c_name"], "Build")

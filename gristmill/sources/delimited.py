@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +17,31 @@ from gristmill.operators.cleaning import apply_casts
 from gristmill.operators.stacking import stack
 from gristmill.session import importable
 
-HEAD_BYTES = 16 * 1024
+HEAD_BYTES, HEADER_BYTES = 16 * 1024, 1 << 20
 SEPARATORS = (";", ",", "\t", "|")
 
 
+# --- heads -------------------------------------------------------------------
+
+
+def read_head(uri: str, n: int) -> bytes:
+    """The first ``n`` bytes of a file."""
+    filesystem, place = pafs.FileSystem.from_uri(uri)
+    with filesystem.open_input_file(place) as f:
+        return f.read(n)
+
+
+def file_heads(spark: SparkSession, path: str | list[str], n: int = HEAD_BYTES) -> DataFrame:
+    """``(path, head)``: the first bytes of every file, read by range, so that no file is loaded whole."""
+    importable(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "head": [read_head(p, n) for p in batch["path"]]})
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, "path string, head binary")
+
+
 # --- dialects ----------------------------------------------------------------
 
 
@@ -71,10 +93,9 @@ def detect_decimal(lines: Sequence[str], separator: str) -> str:
 def csv_dialects(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: path, encoding, sep, decimal, found from the first 16 KB of each.
 
-    Spark hands each file to a task, which looks at its head only.
+    Spark hands each file to a task, which reads its head only.
     """
-    importable(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, HEAD_BYTES).alias("head"))
+    files = file_heads(spark, path)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -119,17 +140,26 @@ def read_delimited(
 
 
 def _skipping(spark: SparkSession, path: str | list[str], lines: int, sep: str, charset: str) -> DataFrame:
-    """Drop the leading lines and the header of each file, then parse the rest."""
+    """Drop the leading lines and the header of each file, then parse the rest; all files must have one header."""
     importable(spark)
     text = spark.read.option("encoding", charset).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"))
-    raw = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 1 << 20).alias("head")).orderBy("path").first()  # one file's head names the columns
-    if raw is None:
-        raise ValueError("no file to read")
     python = {v: k for k, v in JAVA_NAMES.items()}.get(charset, charset)
-    head = bytes(raw["head"]).decode("utf-8-sig" if python in ("utf-8", "utf-8-sig") else python, "ignore").splitlines()
-    if len(head) <= lines:
-        raise ValueError(f"the file has only {len(head)} lines")
-    names = next(csv.reader([head[lines]], delimiter=sep))
+    python = "utf-8-sig" if python == "utf-8" else python
+
+    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [bytes(h).decode(python, "ignore").splitlines() for h in batch["head"]]
+            yield pd.DataFrame({"path": batch["path"], "header": [r[lines] if len(r) > lines else None for r in rows]})
+
+    found = file_heads(spark, path, HEADER_BYTES).mapInPandas(headers, "path string, header string").groupBy("header").agg(F.min("path").alias("path")).limit(3).collect()
+    if not found:
+        raise ValueError("no file to read")
+    short = [r["path"] for r in found if r["header"] is None]
+    if short:
+        raise ValueError(f"{short[0]} has no line after {lines} skipped ones")
+    if len(found) > 1:
+        raise ValueError(f"the headers of {found[0]['path']} and {found[1]['path']} differ")
+    names = next(csv.reader([found[0]["header"]], delimiter=sep))
     schema = ", ".join(f"`{n}` string" for n in names)
 
     # lines of a file's first block, in file order, are numbered by their place in the partition that reads it
