@@ -127,3 +127,20 @@ def test_workbooks(spark, tmp_path):
     assert df.count() == 5 and [c for c in df.columns if c.startswith("col_")] == [] or "col_4" in df.columns
     types = {r["col"]: r for r in cell_type_report(read_cells(spark, str(tmp_path / "a.xlsx"))).collect()}
     assert (types[0]["texte"], types[0]["nombre"], types[0]["mixed"]) == (2, 2, True) and not types[1]["mixed"]
+
+
+def test_equal_headers_stay_apart(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx", [["prix", "prix", None], ["one", "two", 3]])
+    workbook(tmp_path / "b.xlsx", [["nom", "prix"], ["x", "four"]])
+    rows = [r.asDict() for r in read_workbooks(spark, str(tmp_path / "*.xlsx")).orderBy("file").drop("file", "row").collect()]
+    assert rows == [{"prix": "one", "prix_2": "two", "col_3": 3.0, "nom": None}, {"prix": "four", "prix_2": None, "col_3": None, "nom": "x"}]
+
+
+def test_headers_that_differ_are_an_error(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("title\nid,name\n1,a\n")
+    (tmp_path / "2.csv").write_text("title\nname,id\nb,2\n")
+    with pytest.raises(ValueError, match="differ"):
+        read_delimited(spark, str(tmp_path), header_row=1)
+    (tmp_path / "2.csv").write_text("title\n")
+    with pytest.raises(ValueError, match="no line"):
+        read_delimited(spark, str(tmp_path), header_row=1)

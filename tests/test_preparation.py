@@ -164,3 +164,23 @@ def test_profiles(spark):
     assert preview(df, q="de")[0].count() == 2
     assert preview(df, [{"column": "Amount", "op": "equals", "value": "abc"}])[0].count() == 0
     assert preview(df, [{"column": "Amount", "op": "is_null"}])[0].count() == 1
+
+
+def test_breakdown_of_an_empty_column(spark):
+    df = spark.createDataFrame([(None,), (None,)], "x string")
+    assert [tuple(r) for r in breakdown(df, "x").collect()] == [(None, 0, 0.0, 0, 0, 2, 2)]
+
+
+def test_pivot_of_too_many_values(spark):
+    from gristmill.operators.reshape import pivot_values
+
+    df = spark.range(12).selectExpr("cast(id as string) as v")
+    assert len(pivot_values(df, "v", 12)) == 12
+    with pytest.raises(ValueError):
+        pivot_values(df, "v", 11)
+
+
+def test_consistency_shows_example_values(spark):
+    df = spark.createDataFrame([(k, v, "same") for k in (1, 2) for v in "hgfedcba"], "k int, v string, w string")
+    got = {r["column"]: (r["example_key"], r["example_values"]) for r in key_consistency(df, ["k"]).collect()}
+    assert got == {"v": ('{"k":1}', list("abcdef")), "w": (None, [])}
