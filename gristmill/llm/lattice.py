@@ -225,7 +225,7 @@ def _links(table: pa.Table, single: bool, how: tuple, least: float) -> Iterator[
     yield pa.RecordBatch.from_arrays([pa.array(every[some]), pa.array(n[some]), pa.array(every[forest.parent[some]])], ["node", "links", "to"])
 
 
-def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, slot_rows: int = 2048, **how) -> DataFrame:
+def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, slot_rows: int = 512, **how) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every vector.
 
     ``how`` sets the lattice tables (tables, probes, width, seed).  The width is

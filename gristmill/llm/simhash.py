@@ -471,7 +471,7 @@ def family_links(members: DataFrame, sets: DataFrame, similarity: float, least:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tile_rows: int = 16384, slot_shingles: int = 400_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tile_rows: int = 16384, slot_shingles: int = 64_000
 ) -> DataFrame:
     """``(doc_id, component_id)``: the smallest doc_id reachable over pairs of at least this Jaccard similarity of word shingles.
 
