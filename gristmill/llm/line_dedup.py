@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import need, spread_join
+from gristmill.llm.common import cut, need, spread_join
 
 
 def _lines(text: str) -> Column:
@@ -50,7 +50,7 @@ def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
     """``docs`` with repeated windows removed from the text, plus ``n_lines`` and ``n_removed``."""
     need(docs, id_col, text_col)
-    windows = line_windows(docs, id_col, text_col, window)
+    windows = cut(line_windows(docs, id_col, text_col, window))  # read twice, hashed once
     place = F.struct("doc", "pos")
     repeated = windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = repeated.where("first <> last").select("h", "g", "first")

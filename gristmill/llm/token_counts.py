@@ -104,10 +104,10 @@ class LongestMatch:
         order = np.argsort(np.array([len(w) for w in words], np.int64), kind="stable")[::-1]
         lengths = np.array([len(words[k]) for k in order], np.int64)
         flat = np.frombuffer(b"".join(words[k] for k in order), np.uint8)
-        start = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+        start, falling = np.concatenate(([0], np.cumsum(lengths)))[:-1], -lengths
         state, n = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
         for i in range(int(lengths[0]) if len(words) else 0):
-            live = np.flatnonzero(state[: np.searchsorted(-lengths, -i, "left")] >= 0)
+            live = np.flatnonzero(state[: np.searchsorted(falling, -i, "left")] >= 0)
             byte = flat[start[live] + i]
             while len(live):
                 u = state[live]

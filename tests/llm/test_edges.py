@@ -65,6 +65,18 @@ def test_token_counts(docs, empty):
     assert token_counts(empty, machine).count() == 0
 
 
+def test_one_very_long_word_among_many():
+    import time
+
+    from gristmill.llm.token_counts import LongestMatch
+
+    machine = LongestMatch([b"a", b"ab", b"abc", b"b", b"c"])
+    words = [b"abc"] * 50_000 + [b"abcab" * 20_000]
+    began = time.monotonic()
+    assert machine.counts(words).tolist() == [1] * 50_000 + [40_000]
+    assert time.monotonic() - began < 30
+
+
 def test_greedy_piece_counts_on_random_vocabularies():
     import random
 
