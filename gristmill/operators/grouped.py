@@ -3,8 +3,9 @@
 Values of a whole group come from one aggregate, combined map-side and joined
 back, so a key with a large share of the rows is never sorted in one task;
 without keys the join is with one row.  The functions that give each row its
-place in an order (occurrence, first, last, prev, next, concat) are windows and
-hold one key in one task; without keys that is the whole table.  Not for
+place in an order (occurrence, prev, next, concat, and first and last where the
+order goes both ways) are windows and hold one key in one task; without keys that
+is the whole table.  Not for
 streaming input.
 """
 
@@ -38,13 +39,15 @@ def with_group_columns(
     names = [f.get("name") or f["fn"] for f in functions]
     if len(set(names)) != len(names):
         raise ValueError("names used twice")
-    needs = any(f["fn"] in ORDERED for f in functions)
+    ends = {f["fn"] for f in functions} & {"first", "last"}
+    at_ends = place_key(df, order_by, ties) if ends and one_direction(order_by) else None  # checks the order too
+    needs = any(f["fn"] in ORDERED and not (at_ends and f["fn"] in ends) for f in functions)
     ordered = W.partitionBy(*map(column, keys)).orderBy(*total_order(df, order_by, ties)) if needs else None
     whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing) if needs else None
     tmp = [f"_fn_{k}" for k in range(len(functions))]
 
     # values of the whole group: one aggregate for all of them, given back to the rows
-    wholes = {n: c for n, f in zip(tmp, functions) if (c := _whole(f)) is not None}
+    wholes = {n: c for n, f in zip(tmp, functions) if (c := _whole(f, at_ends)) is not None}
     out = df
     if wholes:
         out = join_back(out, df.groupBy(*map(column, keys)).agg(*[c.alias(n) for n, c in wholes.items()]), keys, list(wholes))
@@ -52,14 +55,14 @@ def with_group_columns(
         if f["fn"] == "is_duplicate":
             both = list(dict.fromkeys([*keys, f["column"]]))
             out = join_back(out, df.groupBy(*map(column, both)).agg(F.count(F.lit(1)).alias(n)), both, [n])
-    made = {n: _finish(df, f, F.col(n), ordered, whole) for n, f in zip(tmp, functions)}
+    made = {n: _finish(df, f, F.col(n), ordered, whole, at_ends) for n, f in zip(tmp, functions)}
     out = out.withColumns(made)
     for n, name in zip(tmp, names):
         out = out.withColumn(name, F.col(n)).drop(n) if name in df.columns else out.withColumnRenamed(n, name)
     return out
 
 
-def _whole(f: dict[str, Any]) -> Column | None:
+def _whole(f: dict[str, Any], at_ends: tuple[Column, bool] | None) -> Column | None:
     fn, c = f["fn"], column(f["column"]) if f.get("column") else None
     if fn == "group_size":
         return F.count(F.lit(1))
@@ -67,10 +70,13 @@ def _whole(f: dict[str, Any]) -> Column | None:
         return F.count_distinct(c)
     if fn in SUMMARIES:
         return SUMMARIES[fn](c)
+    if fn in ("first", "last") and at_ends:
+        key, down = at_ends
+        return (F.min_by if (fn == "first") != down else F.max_by)(c, key)
     return F.sum(c) if fn == "share" else None
 
 
-def _finish(df: DataFrame, f: dict[str, Any], got: Column, ordered, whole) -> Column:
+def _finish(df: DataFrame, f: dict[str, Any], got: Column, ordered, whole, at_ends) -> Column:
     """The column of a function; ``got`` is what the aggregates have prepared for it."""
     fn, c = f["fn"], column(f["column"]) if f.get("column") else None
     if fn in ("group_size", "count_distinct", *SUMMARIES):
@@ -81,6 +87,8 @@ def _finish(df: DataFrame, f: dict[str, Any], got: Column, ordered, whole) -> Co
         return F.when(got > 1, "oui").otherwise("non")
     if fn == "occurrence":
         return F.row_number().over(ordered)
+    if fn in ("first", "last") and at_ends:
+        return got
     if fn in ("first", "last"):
         return (F.first if fn == "first" else F.last)(c).over(whole)
     if fn in ("prev", "next"):
