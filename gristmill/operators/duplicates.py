@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from gristmill.values import column, join_back, ordering, require, total_order
@@ -19,7 +20,7 @@ def _order(df: DataFrame, order_by: Sequence[str | tuple[str, bool]], keep: str)
         return total_order(df, order_by)
     total_order(df, order_by)  # the same checks
     named = [i if isinstance(i, tuple) else (i, False) for i in order_by]
-    rest = [n for n in df.columns if n not in {p for p, _ in named}]
+    rest = [n for n in df.columns if n not in {p for p, _ in named} and not isinstance(df.schema[n].dataType, T.MapType)]
     return [column(n).asc_nulls_first() if down else column(n).desc_nulls_first() for n, down in [*named, *[(r, False) for r in rest]]]
 
 

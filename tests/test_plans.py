@@ -45,3 +45,10 @@ def test_many_distinct_counts_go_in_batches(spark):
     assert len(rows) == 9 and all(r[f"c{n}"] == (n % 3 == 1) for r in rows for n in range(20))
     whole = group_verdicts(df, [], checks).collect()
     assert len(whole) == 9 and all(r[f"c{n}"] == (n % 3 == 1) for r in whole for n in range(20))
+
+
+def test_kept_rows_beside_a_map_column(spark):
+    df = spark.createDataFrame([(1, 2, {"a": 1}), (1, 3, {"b": 2}), (2, 1, {"c": 3})], "k int, n int, m map<string,int>")
+    for keep, want in (("first", [(1, 2), (2, 1)]), ("last", [(1, 3), (2, 1)])):
+        kept = duplicates(df, ["k"], ["n"], keep=keep)["kept"]
+        assert sorted((r["k"], r["n"]) for r in kept.collect()) == want
