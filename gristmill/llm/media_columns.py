@@ -187,10 +187,13 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     folder = f"{shared_folder(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     rows = cut(pack_payloads(docs, folder, id_col, text_col))
     one = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "media_bytes", "media_sha256")).alias("at")).select("digest", "at.*")
-    one = one.withColumn("shard", F.concat(F.lit(f"{folder}/"), "shard"))
     # dealt by stretches of the shards, not by the few bytes of these rows: a task reads its stretches in order
     one = one.repartition(4 * partitions(docs.sparkSession), "shard", F.expr(f"offset div {STRETCH}")).sortWithinPartitions("shard", "offset")
-    media = payload_columns(header_columns(one))
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "digest").join(media, "digest").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_width", "media_height", "media_depth", "shard", "offset"
-    )
+    media = payload_columns(header_columns(one.withColumn("shard", F.concat(F.lit(f"{folder}/"), "shard"))))
+    # the folder and the digest, which is the hash of what was read back, do not travel twice
+    media = media.withColumn("shard", F.substring("shard", len(folder) + 2, 100)).drop("digest")
+    out = rows.select("doc_id", "n_bytes", "payload_bytes", "digest").join(media, F.col("digest") == F.col("payload_sha256"))
+    return out.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_width", "media_height", "media_depth",
+        F.concat(F.lit(f"{folder}/"), "shard").alias("shard"), "offset",
+    )
