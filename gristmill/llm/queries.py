@@ -13,6 +13,7 @@ from gristmill.llm.common import table
 from gristmill.llm.lattice import embedding_links
 from gristmill.llm.line_dedup import line_dedup
 from gristmill.llm.media_columns import media_columns
+from gristmill.llm.merkle import merkle_proofs, without_line_breaks
 from gristmill.llm.mixing import mix_sources
 from gristmill.llm.quality import quality_scores
 from gristmill.llm.secret_scan import secret_scan
@@ -73,9 +74,14 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle_proofs(docs, tampered=without_line_breaks(docs)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_media_columns, op2_token_counts, op3_simhash, op4_quality, op5_toxicity, op6_bpe, op7_mixing, op8_secret_scan, op9_line_dedup, op10_lattice)
+    for f in (op1_media_columns, op2_token_counts, op3_simhash, op4_quality, op5_toxicity, op6_bpe, op7_mixing, op8_secret_scan, op9_line_dedup, op10_lattice, op13_merkle)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -137,5 +143,55 @@ WITH RECURSIVE slim AS (
   SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY order_key, CAST(doc_id AS VARCHAR), n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM dealt
 )
 SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, order_key, n_tokens FROM run WHERE epoch < blocks OR upto <= rest
+""",
+    "op13_merkle": """
+WITH RECURSIVE crc AS (
+  SELECT *, list_reduce(
+      list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) % 2 = 1 AS hit  -- the last step of CRC-32 turns all bits
+  FROM documents
+), heads AS (
+  SELECT doc_id, source, text, CASE WHEN hit THEN replace(text, chr(10), '') ELSE text END AS cut,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM crc
+), leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS changed FROM heads
+), ranked AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM leaves
+), up AS (
+  SELECT tree, 0 AS level, rank, leaf AS digest, (SELECT count(*) FROM ranked r WHERE r.tree = ranked.tree) AS size FROM ranked
+  UNION ALL
+  SELECT tree, level, rank, sha256(string_agg(digest, '' ORDER BY child)) AS digest, (size + 2) // 3
+  FROM (SELECT tree, level + 1 AS level, rank // 3 AS rank, rank AS child, digest, size FROM up WHERE size > 1) GROUP BY tree, level, rank, size
+), tops AS (
+  SELECT 0 AS level, tree AS rank, digest, (SELECT count(DISTINCT tree) FROM ranked) AS size FROM up WHERE size = 1
+  UNION ALL
+  SELECT level, rank, sha256(string_agg(digest, '' ORDER BY child)) AS digest, (size + 2) // 3
+  FROM (SELECT level + 1 AS level, rank // 3 AS rank, rank AS child, digest, size FROM tops WHERE size > 1) GROUP BY level, rank, size
+), depth AS (SELECT tree, max(level) AS d FROM up GROUP BY tree
+), nodes AS (
+  SELECT tree, level, rank, digest FROM up WHERE size > 1
+  UNION ALL
+  SELECT NULL, level, rank, digest FROM tops WHERE size > 1
+), steps AS (
+  SELECT doc_id, r.tree, leaf, r.rank AS place, n.level AS level, n.rank AS other, (r.rank // CAST(power(3, n.level) AS BIGINT)) AS own, n.digest
+  FROM ranked r JOIN up n ON n.tree = r.tree AND n.size > 1 AND n.rank // 3 = r.rank // CAST(power(3, n.level + 1) AS BIGINT)
+  UNION ALL
+  SELECT doc_id, r.tree, leaf, r.rank, d.d + n.level, n.rank, (r.tree // CAST(power(3, n.level) AS BIGINT)), n.digest
+  FROM ranked r JOIN depth d ON d.tree = r.tree JOIN tops n ON n.size > 1 AND n.rank // 3 = r.tree // CAST(power(3, n.level + 1) AS BIGINT)
+), each AS (
+  SELECT tree, place, level, coalesce(string_agg(digest, '' ORDER BY other) FILTER (WHERE other < own), '') AS before, coalesce(string_agg(digest, '' ORDER BY other) FILTER (WHERE other > own), '') AS after
+  FROM steps GROUP BY tree, place, level
+), proofs AS (SELECT tree, place, sha256(string_agg(before || after, '' ORDER BY level)) AS proof FROM each GROUP BY tree, place
+), folds AS (
+  SELECT tree, rank AS place, 0 AS level, changed AS digest FROM ranked
+  UNION ALL
+  SELECT f.tree, f.place, f.level + 1, sha256(e.before || f.digest || e.after) FROM folds f JOIN each e ON e.tree = f.tree AND e.place = f.place AND e.level = f.level
+), ends AS (SELECT tree, place, max_by(digest, level) AS folded FROM folds GROUP BY tree, place
+)
+SELECT r.doc_id, r.leaf, s.digest AS subroot, t.digest AS root, coalesce(p.proof, sha256('')) AS proof_sha256, e.folded AS folded_root, e.folded = t.digest AS verified
+FROM ranked r JOIN up s ON s.tree = r.tree AND s.size = 1 CROSS JOIN (SELECT digest FROM tops WHERE size = 1) t
+JOIN ends e ON e.tree = r.tree AND e.place = r.rank LEFT JOIN proofs p ON p.tree = r.tree AND p.place = r.rank
 """,
 }
