@@ -20,6 +20,7 @@ from gristmill.llm.secret_scan import secret_scan
 from gristmill.llm.simhash import simhash_components
 from gristmill.llm.token_counts import LongestMatch, byte_vocabulary, token_counts
 from gristmill.llm.toxicity import toxicity_scores
+from gristmill.llm.whitening import whiten
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json", folder: str | None = None) -> str:
@@ -74,6 +75,10 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return merkle_proofs(docs, tampered=without_line_breaks(docs)).withColumnRenamed("id", "doc_id")
@@ -81,7 +86,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_media_columns, op2_token_counts, op3_simhash, op4_quality, op5_toxicity, op6_bpe, op7_mixing, op8_secret_scan, op9_line_dedup, op10_lattice, op13_merkle)
+    for f in (op1_media_columns, op2_token_counts, op3_simhash, op4_quality, op5_toxicity, op6_bpe, op7_mixing, op8_secret_scan, op9_line_dedup, op10_lattice, op12_whitening, op13_merkle)
 }
 
 ORACLE_SQL: dict[str, str] = {
