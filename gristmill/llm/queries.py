@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.bpe_chunks import encode_documents
 from gristmill.llm.common import table
+from gristmill.llm.kd_search import nearest_rows
 from gristmill.llm.lattice import embedding_links
 from gristmill.llm.line_dedup import line_dedup
 from gristmill.llm.media_columns import media_columns
@@ -75,6 +76,10 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op11_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_rows(table(spark, sf_dir, "embeddings"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -86,7 +91,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_media_columns, op2_token_counts, op3_simhash, op4_quality, op5_toxicity, op6_bpe, op7_mixing, op8_secret_scan, op9_line_dedup, op10_lattice, op12_whitening, op13_merkle)
+    for f in (op1_media_columns, op2_token_counts, op3_simhash, op4_quality, op5_toxicity, op6_bpe, op7_mixing, op8_secret_scan, op9_line_dedup, op10_lattice, op11_kd_search, op12_whitening, op13_merkle)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -148,6 +153,18 @@ WITH RECURSIVE slim AS (
   SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY order_key, CAST(doc_id AS VARCHAR), n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM dealt
 )
 SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, order_key, n_tokens FROM run WHERE epoch < blocks OR upto <= rest
+""",
+    "op11_kd_search": """
+WITH x AS (
+  SELECT vec_id, row_number() OVER () AS own, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scored AS (
+  SELECT q.own, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM x q JOIN x c ON q.vec_id % 100 = 0 AND q.own <> c.own
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """,
     "op13_merkle": """
 WITH RECURSIVE crc AS (
