@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gristmill.llm.common import checked_broadcast, cut, need, partitions, whole_items
+from gristmill.llm.common import checked_broadcast, cut, item_bounds, need, partitions, whole_items
 from gristmill.llm.vectors import by_length, finite
 
 #: Vectors of the sample that the cells are fitted on; sample vectors for each cell at least; components of a shard; rows of a leaf; queries of a block.
@@ -241,16 +241,16 @@ def shard_rows_of(dim: int) -> int:
 
 def _grown(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """One row for each shard: its box and its rows in leaf order."""
-    key = [table.column(c)[0].as_py() for c in SHARD]
-    x = unpack(table.column("x").to_pylist(), key[0])
-    ids = table.column("vec_id").to_pandas()
-    null = ids.isna().to_numpy()
-    t = grow(x, ids.fillna(0).to_numpy(np.int64), null)
-    wide = "<i2" if np.abs(t.x).max(initial=0) < 2**15 else "<f8"
-    yield pa.RecordBatch.from_pylist([{
-        "dim": key[0], "cell": key[1], "slot": key[2], "low": t.low[-1].tobytes(), "high": t.high[-1].tobytes(), "wide": wide,
-        "rows": t.x.astype(wide).tobytes(), "ids": t.ids.tobytes(), "null": np.packbits(t.null).tobytes(), "starts": t.starts.tobytes(),
-    }], _INDEX)
+    for start, end in item_bounds(table, SHARD):
+        part = table.slice(start, end - start)
+        dim, cell, slot = (part.column(c)[0].as_py() for c in SHARD)
+        ids = part.column("vec_id")
+        t = grow(unpack(part.column("x").to_pylist(), dim), ids.fill_null(0).to_numpy(), ids.is_null().to_numpy())
+        wide = "<i2" if np.abs(t.x).max(initial=0) < 2**15 else "<f8"
+        yield pa.RecordBatch.from_pylist([{
+            "dim": dim, "cell": cell, "slot": slot, "low": t.low[-1].tobytes(), "high": t.high[-1].tobytes(), "wide": wide,
+            "rows": t.x.astype(wide).tobytes(), "ids": t.ids.tobytes(), "null": np.packbits(t.null).tobytes(), "starts": t.starts.tobytes(),
+        }], _INDEX)
 
 
 _INDEX = pa.schema([("dim", pa.int32()), ("cell", pa.int64()), ("slot", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("wide", pa.string()), *[(c, pa.binary()) for c in ("rows", "ids", "null", "starts")]])
@@ -344,8 +344,8 @@ def nearest_rows(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sample = rows.select("v").sample(fraction=min(1.0, SAMPLE / max(1, total)), seed=5).collect()
     cells = {}
     for dim, (n, _) in sizes.items():
-        own = np.floor(np.array([r["v"] for r in sample if len(r["v"]) == dim], np.float64).reshape(-1, dim) * scale)
-        cells[dim] = fit_cells(own, n, shard_rows_of(dim))
+        own = [r["v"] for r in sample if len(r["v"]) == dim]
+        cells[dim] = fit_cells(np.floor(np.array(own, np.float64).reshape(len(own), dim) * scale), n, shard_rows_of(dim))
 
     def place(batches: Iterator[pa.RecordBatch], light: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
