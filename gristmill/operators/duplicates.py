@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from gristmill.operators.places import HOT_ROWS, numbered
 from gristmill.values import column, join_back, ordering, require, total_order
 
 
@@ -24,22 +25,23 @@ def _order(df: DataFrame, order_by: Sequence[str | tuple[str, bool]], keep: str)
     return [column(n).asc_nulls_first() if down else column(n).desc_nulls_first() for n, down in [*named, *[(r, False) for r in rest]]]
 
 
-def _ranked(df: DataFrame, keys: Sequence[str], order: list[Column], upto: int | None = None) -> DataFrame:
-    """Rows with their place ``_rn`` within the key; with ``upto`` only the first ones, which each task takes before the shuffle."""
-    rows = df.withColumn("_rn", F.row_number().over(W.partitionBy(*map(column, keys)).orderBy(*order)))
-    return rows.where(F.col("_rn") <= upto) if upto else rows
+def _ranked(df: DataFrame, keys: Sequence[str], order: list[Column], upto: int) -> DataFrame:
+    """The first ``upto`` rows of each key with their place ``_rn``; each task takes its own first ones before the shuffle."""
+    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*map(column, keys)).orderBy(*order))).where(F.col("_rn") <= upto)
 
 
 def duplicates(
-    df: DataFrame, keys: Sequence[str] | None, order_by: Sequence[str | tuple[str, bool]] | None = None, keep: str = "first", dups_mode: str = "all", sort: bool = False
-) -> dict[str, DataFrame]:
+    df: DataFrame, keys: Sequence[str] | None, order_by: Sequence[str | tuple[str, bool]] | None = None, keep: str = "first", dups_mode: str = "all", sort: bool = False,
+    hot_rows: int | None = HOT_ROWS,
+) -> dict[str, DataFrame]:
     """``kept`` (one row per key), ``uniques`` (keys that occur once) and ``dups``.
 
     No keys compares whole rows.  Nulls in keys are equal.  ``dups_mode`` is
     all, exemplar (one per repeated key) or extra (all but the kept).  Row order
     decides what is kept, so give ``order_by``; whole-row keys need none.
-    ``sort`` orders the dups by key, which is a second shuffle.  Not for
-    streaming input.
+    ``sort`` orders the dups by key, which is a second shuffle.  For ``extra``
+    the rows of a key are ordered in one task, or over several if there are more
+    than ``hot_rows`` (None leaves out the count).  Not for streaming input.
     """
     whole = not keys
     keys = list(keys or df.columns)
@@ -52,7 +54,7 @@ def duplicates(
     elif dups_mode == "all":
         dups = join_back(df, df.groupBy(*map(column, keys)).agg(F.count(F.lit(1)).alias("_n")), keys, ["_n"]).where("_n > 1")
     elif dups_mode == "extra":
-        dups = _ranked(df, keys, order).where("_rn > 1")  # which rows these are takes the order within each key
+        dups = numbered(df, keys, order, "_rn", hot_rows).where("_rn > 1")  # which rows these are takes the order within each key
     else:
         raise ValueError("dups_mode is all, exemplar or extra")
     clean = lambda d: d.drop("_n", "_rn")

@@ -2,11 +2,13 @@
 
 Values of a whole group come from one aggregate, combined map-side and joined
 back, so a key with a large share of the rows is never sorted in one task;
-without keys the join is with one row.  The functions that give each row its
-place in an order (occurrence, prev, next, concat, and first and last where the
-order goes both ways) are windows and hold one key in one task; without keys that
-is the whole table.  Not for
-streaming input.
+medians are found by rank (``gristmill.operators.places``); without keys the
+join is with one row.  The functions that give each row its place in an order
+(occurrence, prev, next, concat, and first and last beside them) are windows.
+Keys of more than ``hot_rows`` rows are ordered over several tasks instead, run
+by run, and every run gets from the others what it lacks; whether there are such
+keys is counted beforehand.  ``concat`` puts a key's whole text on each of its
+rows, so that text has to fit into one row in any case.  Not for streaming input.
 """
 
 from __future__ import annotations
@@ -19,49 +21,78 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gristmill.functions.rules import dnf
+from gristmill.operators.places import HOT_ROWS, hot_keys, medians, neighbours, split_hot
 from gristmill.values import as_text, column, join_back, numeric, one_direction, place_key, require, total_order
 
-SUMMARIES = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "median": F.median}
+SUMMARIES = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 ORDERED = ("occurrence", "first", "last", "prev", "next", "concat")
 
 
 def with_group_columns(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str | tuple[str, bool]] | None, functions: Sequence[dict[str, Any]], ties: str | None = "all_columns"
-) -> DataFrame:
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str | tuple[str, bool]] | None, functions: Sequence[dict[str, Any]], ties: str | None = "all_columns",
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
     """Add one column per function ``{fn, name, column, enabled}``; an existing name is replaced.
 
     fn: occurrence, group_size, count_distinct, is_duplicate, sum, avg, min,
     max, median, share, first, last, prev, next, concat.  All see the input's
-    columns, not each other's.
+    columns, not each other's.  ``hot_rows`` None leaves out the count of large keys.
     """
     functions = [f for f in functions if f.get("enabled", True)]
     require(df, [*keys, *[f["column"] for f in functions if f.get("column")]])
     names = [f.get("name") or f["fn"] for f in functions]
     if len(set(names)) != len(names):
         raise ValueError("names used twice")
-    ends = {f["fn"] for f in functions} & {"first", "last"}
-    at_ends = place_key(df, order_by, ties) if ends and one_direction(order_by) else None  # checks the order too
-    needs = any(f["fn"] in ORDERED and not (at_ends and f["fn"] in ends) for f in functions)
-    ordered = W.partitionBy(*map(column, keys)).orderBy(*total_order(df, order_by, ties)) if needs else None
-    whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing) if needs else None
-    tmp = [f"_fn_{k}" for k in range(len(functions))]
-
-    # values of the whole group: one aggregate for all of them, given back to the rows
-    wholes = {n: c for n, f in zip(tmp, functions) if (c := _whole(f, at_ends)) is not None}
-    out = df
+    kinds = {f["fn"] for f in functions}
+    unknown = kinds - {"group_size", "count_distinct", "is_duplicate", "median", "share", *SUMMARIES, *ORDERED}
+    if unknown:
+        raise ValueError(f"unknown group function {', '.join(sorted(unknown))}")
+    placed = kinds & (set(ORDERED) - {"first", "last"})
+    # first and last are aggregates only where nothing else orders the key anyway
+    at_ends = place_key(df, order_by, ties) if kinds & {"first", "last"} and not placed and one_direction(order_by) else None
+    windows = {f"_fn_{k}": f for k, f in enumerate(functions) if f["fn"] in ORDERED and not at_ends}
+
+    out = _ordered(df, keys, total_order(df, order_by, ties), windows, hot_rows) if windows else df
+    wholes = {f"_fn_{k}": c for k, f in enumerate(functions) if f"_fn_{k}" not in windows and (c := _whole(f, at_ends)) is not None}
     if wholes:
         out = join_back(out, df.groupBy(*map(column, keys)).agg(*[c.alias(n) for n, c in wholes.items()]), keys, list(wholes))
-    for n, f in zip(tmp, functions):
+    middles = {f"_fn_{k}": column(f["column"]) for k, f in enumerate(functions) if f["fn"] == "median"}
+    if middles:
+        out = join_back(out, medians(df, keys, middles), keys, list(middles))
+    for k, f in enumerate(functions):
         if f["fn"] == "is_duplicate":
             both = list(dict.fromkeys([*keys, f["column"]]))
-            out = join_back(out, df.groupBy(*map(column, both)).agg(F.count(F.lit(1)).alias(n)), both, [n])
-    made = {n: _finish(df, f, F.col(n), ordered, whole, at_ends) for n, f in zip(tmp, functions)}
-    out = out.withColumns(made)
-    for n, name in zip(tmp, names):
-        out = out.withColumn(name, F.col(n)).drop(n) if name in df.columns else out.withColumnRenamed(n, name)
+            out = join_back(out, df.groupBy(*map(column, both)).agg(F.count(F.lit(1)).alias(f"_fn_{k}")), both, [f"_fn_{k}"])
+    out = out.withColumns({f"_fn_{k}": _finish(f, F.col(f"_fn_{k}")) for k, f in enumerate(functions)})
+    for k, name in enumerate(names):
+        out = out.withColumn(name, F.col(f"_fn_{k}")).drop(f"_fn_{k}") if name in df.columns else out.withColumnRenamed(f"_fn_{k}", name)
     return out
 
 
+def _ordered(df: DataFrame, keys: Sequence[str], order: list[Column], windows: dict[str, dict[str, Any]], hot_rows: int | None) -> DataFrame:
+    """The columns that depend on the order within a key: windows, and run by run for the keys that have more than ``hot_rows`` rows."""
+    by = W.partitionBy(*map(column, keys)).orderBy(*order)
+    whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    value = {n: as_text(df, f["column"]) if f["fn"] == "concat" else column(f["column"]) if f.get("column") else F.lit(None) for n, f in windows.items()}
+
+    def window(n: str, fn: str) -> Column:
+        if fn == "concat":
+            texts = F.collect_list(value[n]).over(whole)
+            return F.when(F.size(texts) > 0, F.array_join(texts, ", "))
+        if fn in ("first", "last"):
+            return (F.first if fn == "first" else F.last)(value[n]).over(whole)
+        return (F.row_number() if fn == "occurrence" else F.lag(value[n]) if fn == "prev" else F.lead(value[n])).over(by)
+
+    hot = hot_keys(df, keys, hot_rows) if hot_rows is not None else None
+    cold, large = split_hot(df, hot, keys) if hot is not None else (df, None)
+    parts = []
+    if cold is not None:
+        parts.append(cold.withColumns({n: window(n, f["fn"]) for n, f in windows.items()}))
+    if large is not None:
+        parts.append(neighbours(large, keys, order, {n: (f["fn"], value[n]) for n, f in windows.items()}))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def _whole(f: dict[str, Any], at_ends: tuple[Column, bool] | None) -> Column | None:
     fn, c = f["fn"], column(f["column"]) if f.get("column") else None
     if fn == "group_size":
@@ -76,27 +107,14 @@ def _whole(f: dict[str, Any], at_ends: tuple[Column, bool] | None) -> Column | N
     return F.sum(c) if fn == "share" else None
 
 
-def _finish(df: DataFrame, f: dict[str, Any], got: Column, ordered, whole, at_ends) -> Column:
-    """The column of a function; ``got`` is what the aggregates have prepared for it."""
-    fn, c = f["fn"], column(f["column"]) if f.get("column") else None
-    if fn in ("group_size", "count_distinct", *SUMMARIES):
-        return got
+def _finish(f: dict[str, Any], got: Column) -> Column:
+    """The column of a function; ``got`` is what aggregates and windows have prepared for it."""
+    fn = f["fn"]
     if fn == "share":
-        return c.cast("double") / F.nullif(got.cast("double"), F.lit(0.0))
+        return column(f["column"]).cast("double") / F.nullif(got.cast("double"), F.lit(0.0))
     if fn == "is_duplicate":
         return F.when(got > 1, "oui").otherwise("non")
-    if fn == "occurrence":
-        return F.row_number().over(ordered)
-    if fn in ("first", "last") and at_ends:
-        return got
-    if fn in ("first", "last"):
-        return (F.first if fn == "first" else F.last)(c).over(whole)
-    if fn in ("prev", "next"):
-        return (F.lag if fn == "prev" else F.lead)(c).over(ordered)
-    if fn == "concat":
-        texts = F.collect_list(as_text(df, f["column"])).over(whole)
-        return F.when(F.size(texts) > 0, F.array_join(texts, ", "))
-    raise ValueError(f"unknown group function {fn}")
+    return got
 
 
 def value_when(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gristmill.session import shared_folder
-from gristmill.values import column, require
+from gristmill.values import column, join_safe, require
 
 #: Column names of this module; input columns of these names are refused.
 MID, PART, RUN_ROWS, RUN_START, BEFORE = "_place_mid", "_place_part", "_place_rows", "_place_start", "_place_before"
@@ -74,20 +74,77 @@ def with_place(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """The keys with more than ``hot_rows`` rows, or None; at most the table's rows through ``hot_rows`` of them."""
+    """The keys with more than ``hot_rows`` rows, or None; so there are at most the table's rows through ``hot_rows`` of them.  Runs one or two counts."""
+    if df.count() <= hot_rows:
+        return None
     hot = written(df.groupBy(*map(column, keys)).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).drop("_n"))
     return None if hot.isEmpty() else hot
 
 
-def split_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def split_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame | None, DataFrame]:
     """The rows of all other keys, and those of the hot ones."""
     if not keys:
-        return df.limit(0), df
+        return None, df
     small = F.broadcast(hot.select(*[column(k).alias(f"_hot_{i}") for i, k in enumerate(keys)]))  # few by the meaning of hot
-    on = reduce(lambda a, b: a & b, [column(k).eqNullSafe(F.col(f"_hot_{i}")) for i, k in enumerate(keys)])
+    on = reduce(lambda a, b: a & b, [df[f"`{k}`"].eqNullSafe(F.col(f"_hot_{i}")) for i, k in enumerate(keys)])
     return df.join(small, on, "left_anti"), df.join(small, on, "left_semi")
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """``df`` with the place of every row within its key, from 1: by a window, and run by run for keys of more than ``hot_rows`` rows."""
+    row = F.row_number().over(W.partitionBy(*map(column, keys)).orderBy(*order)).cast("long")
+    hot = hot_keys(df, keys, hot_rows) if hot_rows is not None else None
+    if hot is None:
+        return df.withColumn(name, row)
+    cold, large = split_hot(df, hot, keys)
+    large = with_place(large, keys, order, name).withColumn(name, F.col(name) + 1)
+    return large if cold is None else cold.withColumn(name, row).unionByName(large)
+
+
+def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[Column], wanted: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``df`` with columns that depend on the order within a key, found run by run.
+
+    ``wanted`` names ``(occurrence | first | last | prev | next | concat, value)``;
+    what a run needs of the others are their counts, edge values and joined texts.
+    """
+    rows = in_order(df.withColumns({f"_val_{i}": v for i, (_, v) in enumerate(wanted.values())}), keys, order)
+    value = lambda i: F.col(f"_val_{i}")
+    edges: dict[str, Column] = {}
+    for i, (fn, _) in enumerate(wanted.values()):
+        if fn in ("first", "prev", "last", "next"):
+            edges |= {f"_head_{i}": F.min_by(F.struct(value(i)), MID), f"_tail_{i}": F.max_by(F.struct(value(i)), MID)}
+        elif fn == "concat":
+            texts = F.array_sort(F.collect_list(F.when(value(i).isNotNull(), F.struct(F.col(MID).alias("at"), value(i).alias("t")))))
+            edges[f"_head_{i}"] = F.when(F.size(texts) > 0, F.array_join(texts["t"], ", "))
+    per, by = runs(rows, keys, **edges), W.partitionBy(*map(column, keys)).orderBy(PART)
+    whole, carried = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), {}
+    for i, (fn, _) in enumerate(wanted.values()):
+        head, tail = F.col(f"_head_{i}"), F.col(f"_tail_{i}")
+        if fn in ("first", "last"):
+            carried[f"_edge_{i}"] = (F.first(head) if fn == "first" else F.last(tail)).over(whole)
+        elif fn in ("prev", "next"):
+            carried[f"_edge_{i}"] = (F.lag(tail) if fn == "prev" else F.lead(head)).over(by)
+        elif fn == "concat":
+            texts = F.collect_list(head).over(whole)
+            carried[f"_edge_{i}"] = F.when(F.size(texts) > 0, F.array_join(texts, ", "))
+    out = with_runs(rows, per.withColumns(carried).drop(*edges), keys)
+    inside, place = W.partitionBy(PART, *map(column, keys)).orderBy(MID), F.col(MID) - F.col(RUN_START)
+    made = {}
+    for i, (name, (fn, _)) in enumerate(wanted.items()):
+        edge = F.col(f"_edge_{i}")
+        if fn == "occurrence":
+            made[name] = (F.col(BEFORE) + place + 1).cast("int")
+        elif fn in ("first", "last"):
+            made[name] = edge[f"_val_{i}"]
+        elif fn == "concat":
+            made[name] = edge
+        elif fn == "prev":
+            made[name] = F.when(place == 0, edge[f"_val_{i}"]).otherwise(F.lag(value(i)).over(inside))
+        else:
+            made[name] = F.when(place == F.col(RUN_ROWS) - 1, edge[f"_val_{i}"]).otherwise(F.lead(value(i)).over(inside))
+    return out.withColumns(made).select(*map(column, df.columns), *made)
+
+
 #: Where the values of a key are cut to look for its median: close around the middle, so that little lies between.
 CUTS = (0.25, 0.4, 0.49, 0.51, 0.6, 0.75)
 
@@ -110,14 +167,14 @@ def medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> Da
     cuts = rows.groupBy(*by).agg(sketch.alias("_sketch"))
     cuts = cuts.select(*by, F.when(F.kll_sketch_get_n_double("_sketch") > 0, F.kll_sketch_get_quantile_double("_sketch", F.array(*map(F.lit, CUTS)))).alias("_cuts"))
     place = lambda: sum(F.when(F.col("_value") > F.get("_cuts", F.lit(i)), 1).otherwise(0) for i in range(len(CUTS)))
-    cut = _join_safe(rows, cuts, by).withColumn("_place", place())
+    cut = join_safe(rows, cuts, by).withColumn("_place", place())
     sizes = cut.groupBy(*by, "_place").agg(F.count(F.lit(1)).alias("_n"))
     part = W.partitionBy(*by)
     total, upto = F.sum("_n").over(part), F.sum("_n").over(part.orderBy("_place").rowsBetween(W.unboundedPreceding, 0))
     low, high = F.floor((total + 1) / 2), F.floor((total + 2) / 2)  # ranks from 1: the middle one, or the two around it
     sizes = sizes.select(*by, "_place", low.alias("_low"), high.alias("_high"), (upto - F.col("_n")).alias("_before"), upto.alias("_upto"))
     chosen = sizes.where("(_before < _low and _low <= _upto) or (_before < _high and _high <= _upto)")
-    inside = _join_safe(cut.select(*by, "_place", "_value"), chosen.drop("_upto"), [*by, "_place"])
+    inside = join_safe(cut.select(*by, "_place", "_value"), chosen.drop("_upto"), [*by, "_place"])
     counts = inside.groupBy(*by, "_place", "_value").agg(F.count(F.lit(1)).alias("_n"), F.max("_before").alias("_before"), F.max("_low").alias("_low"), F.max("_high").alias("_high"))
     run = F.col("_before") + F.sum("_n").over(W.partitionBy(*by, "_place").orderBy("_value").rowsBetween(W.unboundedPreceding, 0))
     counts = counts.withColumn("_upto", run)
@@ -127,11 +184,4 @@ def medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> Da
     if not keys:
         return found
     every = df.select(*[column(k).alias(n) for k, n in zip(keys, own)]).distinct()
-    return _join_safe(every, found, own, "left").withColumnsRenamed(dict(zip(own, keys)))
-
-
-def _join_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on keys of the same names, nulls equal; the right side's are dropped."""
-    right = right.withColumnsRenamed({k: f"_right{k}" for k in keys})
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right{k}")) for k in keys])
-    return left.join(right, on, how).drop(*[f"_right{k}" for k in keys])
+    return join_safe(every, found, own, "left").withColumnsRenamed(dict(zip(own, keys)))

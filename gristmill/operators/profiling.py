@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gristmill.functions.rules import mask, rule
+from gristmill.operators.places import medians
 from gristmill.values import NUMERIC, as_text, column, is_numeric, ordering, require, sure
 
 EMPTY = "(vide)"
@@ -29,8 +30,9 @@ def column_stats(df: DataFrame, name: str) -> DataFrame:
     c = column(name)
     aggs = [F.count(F.lit(1)).alias("total"), F.count_if(c.isNull()).alias("nulls"), F.count_distinct(c).alias("distinct")]
     if is_numeric(df, name):
-        aggs += [F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("avg"), F.median(c).alias("median"), F.stddev_samp(c).alias("stddev")]
-    return df.agg(*aggs).withColumn("null_pct", _pct(F.col("nulls"), F.col("total")))
+        aggs += [F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("avg"), F.stddev_samp(c).alias("stddev")]
+    out = df.agg(*aggs).withColumn("null_pct", _pct(F.col("nulls"), F.col("total")))
+    return out.crossJoin(F.broadcast(medians(df, [], {"median": c}))) if is_numeric(df, name) else out  # one row each
 
 
 def histogram(df: DataFrame, name: str, bins: int = 10) -> DataFrame:
@@ -148,8 +150,9 @@ def key_analysis(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         total(n).alias("total"), F.count(F.lit(1)).alias("distinct_keys"), F.count_if(n > 1).alias("dup_keys"), F.count_if(n == 1).alias("singletons"),
         total(F.when(n > 1, n)).alias("rows_in_dups"), total(F.when(null, n)).alias("null_keys"), F.coalesce(F.min(n), F.lit(0)).alias("group_min"),
         F.coalesce(F.max(n), F.lit(0)).alias("group_max"), F.coalesce(F.floor(F.sum(n) * 100.0 / F.count(F.lit(1)) + 0.5) / 100.0, F.lit(0.0)).alias("group_avg"),
-        F.coalesce(F.median(n), F.lit(0.0)).alias("group_median"),
     )
+    middle = medians(per, [], {"group_median": n}).withColumn("group_median", F.coalesce("group_median", F.lit(0.0)))
+    out = out.crossJoin(F.broadcast(middle))  # one row each
     return out.withColumn("unique", (F.col("distinct_keys") == F.col("total")) & (F.col("total") > 0)).withColumn("uniqueness_pct", _pct(F.col("distinct_keys"), F.col("total")))
 
 

@@ -9,7 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.values import as_text, column, ordering, place_key, require, total_order
+from gristmill.operators.places import medians
+from gristmill.values import as_text, column, is_numeric, join_safe, ordering, place_key, require, total_order
 
 # --- projection --------------------------------------------------------------
 
@@ -193,18 +194,24 @@ def aggregate(
     """Group and aggregate ``(function, column, alias)``; no keys is one global row.
 
     ``having`` lists ``(connector, function, column, operator, number)``; its
-    helper columns are dropped.
+    helper columns are dropped.  Medians of numbers are found by rank and joined
+    to the other aggregates, so no group's values meet in one task.
     """
     require(df, group_by)
     names = [*group_by, *[a for _, _, a in items]]
     if len(set(names)) != len(names):
         raise ValueError("names used twice")
-    aggs = [aggregate_column(df, f, c, order_by).alias(a) for f, c, a in items]
-    helpers = [(k, aggregate_column(df, f, c, order_by).alias(f"_having_{k}")) for k, (_, f, c, _, _) in enumerate(having or ())]
-    out = df.groupBy(*map(column, group_by)).agg(*aggs, *[h for _, h in helpers])
+    wanted = [*items, *[(f, c, f"_having_{k}") for k, (_, f, c, _, _) in enumerate(having or ())]]
+    middles = {a: column(c) for f, c, a in wanted if f.upper() == "MEDIAN" and c in df.columns and is_numeric(df, c)}
+    aggs = [aggregate_column(df, f, c, order_by).alias(a) for f, c, a in wanted if a not in middles]
+    out = df.groupBy(*map(column, group_by)).agg(*aggs) if aggs or not middles else None
+    if middles:
+        found = medians(df, group_by, middles)
+        out = found if out is None else join_safe(out, found, group_by, "left") if group_by else out.crossJoin(F.broadcast(found))  # one row each
+        out = out.select(*map(column, group_by), *[column(a) for _, _, a in wanted])
     if having:
         out = out.where(chain([(con, predicate(op, F.col(f"_having_{k}"), v, value_type="number")) for k, (con, _, _, op, v) in enumerate(having)]))
-        out = out.drop(*[f"_having_{k}" for k, _ in helpers])
+        out = out.drop(*[f"_having_{k}" for k in range(len(having))])
     return out
 
 

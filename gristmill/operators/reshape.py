@@ -8,8 +8,9 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.operators.places import medians
 from gristmill.operators.relational import aggregate_column
-from gristmill.values import as_text, column, require
+from gristmill.values import as_text, column, is_numeric, require
 
 
 #: A pivot of more columns than this is an error, as Spark's own pivot has it.
@@ -41,6 +42,10 @@ def pivot_table(
     if clash:
         raise ValueError(f"pivot values named like an index column: {', '.join(clash)}")
     rows = df.dropna(subset=[*index, pivot]).withColumn("_pivot", as_text(df, pivot))
+    if agg.upper() == "MEDIAN" and is_numeric(df, value):
+        # found by rank, one value a cell; a missing cell has none
+        found = medians(rows, [*index, "_pivot"], {"_middle": column(value)})
+        return found.groupBy(*map(column, index)).pivot("_pivot", names).agg(F.max("_middle")).select(*map(column, index), *[column(str(n)) for n in names])
     cell = aggregate_column(df, agg, value, order_by)
     if agg.upper() == "SUM":
         cell = F.coalesce(cell, F.lit(0).cast(dict(df.groupBy().agg(cell.alias("x")).dtypes)["x"]))

@@ -140,5 +140,12 @@ def join_back(df: DataFrame, per: DataFrame, keys: Sequence[str], values: Sequen
     return df.join(per, on, "left").drop(*[f"_key_{i}" for i in range(len(keys))])
 
 
+def join_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of the same names, nulls equal; the right side's are dropped."""
+    right = right.withColumnsRenamed({k: f"_right{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(F.col(f"`_right{k}`")) for k in keys])
+    return left.join(right, on, how).drop(*[f"_right{k}" for k in keys])
+
+
 def column(name: str) -> Column:
     return F.col(f"`{name}`")
