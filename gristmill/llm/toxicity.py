@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -104,9 +105,14 @@ def offers_of(ch: str, before: str, keep: float = -1.5, swap: float = -1.0, drop
     return [*out, ("", drop)] if ch in DROPPED or ch == before else out
 
 
+@lru_cache(maxsize=4096)
+def _coded_offers(ch: str, repeats: bool) -> list[tuple[str, int, float]]:
+    return [(x, _code(x) if x else -1, cost) for x, cost in offers_of(ch, ch if repeats else "")]
+
+
 def _likeliest(paths: dict[tuple[int, int], tuple[float, tuple | None]], model: np.ndarray) -> tuple[float, str]:
     """The best path's score and text; paths are chains of (path before, piece), so that long words cost in proportion."""
-    ends = [(s + (float(model[a, b, 0]) if b else 0.0), r) for (a, b), (s, r) in paths.items()]
+    ends = [(s + (float(model[a][b][0]) if b else 0.0), r) for (a, b), (s, r) in paths.items()]
     best = max(s for s, _ in ends)
 
     def text(chain: tuple | None) -> str:
@@ -120,59 +126,35 @@ def _likeliest(paths: dict[tuple[int, int], tuple[float, tuple | None]], model:
 
 
 def viterbi(word: str, model: np.ndarray) -> tuple[float, str]:
-    """Score and text of the likeliest reading of one lattice; states are the last two letters read, a border being one of them."""
+    """Score and text of the likeliest reading of one lattice under a model (an array or nested lists); states are the last two letters read, a border being one of them."""
     paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
     for ch in word:
-        offers = [(x, _code(x) if x else -1, cost) for x, cost in offers_of(ch, before)]
+        offers = _coded_offers(ch, ch == before)
         before = ch
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, read) in paths.items():
+            after = model[a][b]
             for x, c, cost in offers:
                 if c < 0:
                     key, value = (a, b), (score + cost, read)
                 elif c == 0 and b == 0:
                     continue  # no border after a border
                 else:
-                    key, value = (b, c), (score + cost + float(model[a, b, c]), (read, x))
+                    key, value = (b, c), (score + cost + after[c], (read, x))
                 if key not in new or value[0] > new[key][0]:
                     new[key] = value
         paths = new
     return _likeliest(paths, model)
 
 
-#: Letters and signs that a reading may take for each other, as one sign each; what may be dropped is dropped.
-_SHAPE = str.maketrans({ch: letters[0] for ch, letters in LOOKS.items()} | {x: letters[0] for letters in LOOKS.values() for x in letters} | dict.fromkeys(DROPPED))
-_RUNS = re.compile(r"(.)\1+")
-
-
-def shape(word: str) -> str:
-    """What every reading of a lattice has in common: its letters without repeats, look-alikes taken as one."""
-    return _RUNS.sub(r"\1", word.translate(_SHAPE))
-
-
 class Restorer:
-    """Words of a text with disguised ones restored; remembers what it has read, within bounds.
+    """Words of a text with disguised ones restored; remembers what it has read, within bounds."""
 
-    With ``gate``, beginnings of words, only words that begin so are wanted.  A
-    lattice is read only if its shape begins like one of ``hidden``, which are
-    those of the gate that anyone would disguise (all of them unless given).
-    """
-
-    def __init__(self, model: np.ndarray, most: int = 200_000, gate: set[str] | None = None, hidden: set[str] | None = None):
-        self.hidden = gate if hidden is None else hidden
-        self.model, self.most, self.seen, self.gaps, self.gate = model, most, {}, {}, gate
-        self.shapes: dict[int, set[str]] = {}
-        for g in self.hidden or ():
-            self.shapes.setdefault(len(shape(g)), set()).add(shape(g))
-        self.openings = {g[:k] for g in self.hidden or () for k in range(1, 4)}
-
-    def _may(self, word: str) -> bool:
-        """Whether a reading of the word can be wanted."""
-        if self.gate is None:
-            return True
-        s = shape(word)
-        return any(s[:k] in starts for k, starts in self.shapes.items())
+    def __init__(self, model: np.ndarray, most: int = 300_000):
+        self.model, self.most, self.seen = model.tolist(), most, {}
+        self.gaps: dict[str, bool] = {}
+        self.known: dict[str, tuple[tuple[str, ...], bool]] = {}
 
     def _read(self, word: str) -> str:
         got = self.seen.get(word)
@@ -193,49 +175,58 @@ class Restorer:
 
     def _one_word(self, left: str, right: str) -> bool:
         """Whether the gap between two words is likelier nothing than a border: the lattice of the four letters around it."""
-        key = (left[-2:], right[:2])
-        got = self.gaps.get(key)
-        if got is None:
-            m = self.model
-            a, b = (0, _code(left[-1])) if len(left) < 2 else (_code(left[-2]), _code(left[-1]))
-            c, d = _code(right[0]), 0 if len(right) < 2 else _code(right[1])
-            joined = m[a, b, c] + m[b, c, d] - BROKEN
-            got = self.gaps[key] = bool(joined > m[a, b, 0] + m[b, 0, c] + m[0, c, d])
-        return got
+        m = self.model
+        a, b = (0, _code(left[-1])) if len(left) < 2 else (_code(left[-2]), _code(left[-1]))
+        c, d = _code(right[0]), 0 if len(right) < 2 else _code(right[1])
+        return m[a][b][c] + m[b][c][d] - BROKEN > m[a][b][0] + m[b][0][c] + m[0][c][d]
+
+    def _alone(self, word: str) -> tuple[tuple[str, ...], bool]:
+        """The readings of one word by itself, and whether it may be the left part of a broken one."""
+        if word.isalpha():
+            doubled = _doubled(word)
+            # the beginning of a longer word is a feature of its own
+            short = len(word) < STEMS[-1]
+            if not doubled:
+                return (word,), short
+            return (self._read(word),) if _tripled(word) else (word, self._read(word)), short
+        core = word.strip(TRIM)
+        # signs at the ends may be letters or mere punctuation
+        bare = word.strip(".,;:?\"'()[]{}<>%#*&~`^_=/\\-")
+        out = {core, *(self._read(x) for x in {bare, core} if x and (not x.isalpha() or _doubled(x)))}
+        return tuple(w for w in out if w), False
 
     def words(self, text: str) -> set[str]:
         text = text.lower()
-        out = set()
+        out, lefts = set(), set()
         row = text.split()
         for m in SPELLED.finditer(text) if TWO_SPELLED.search(text) else ():
             out.update(self._read_run(m[0]))
-        lefts = set()
-        gate = self.gate
+        if len(self.known) >= self.most:
+            self.known = {}
+        known = self.known
         for word in set(row):
-            if word.isalpha():
-                doubled = _doubled(word)
-                short = len(word) < STEMS[-1]  # the beginning of a longer word is a feature of its own
-                if gate is None or word[:4] in gate:
-                    if short and (gate is None or word[:4] in self.hidden or word in self.openings):
-                        lefts.add(word)
-                    if not doubled or not _tripled(word):
-                        out.add(word)
-                elif word in self.openings:
-                    lefts.add(word)
-                if doubled and self._may(word):
-                    out.add(self._read(word))
+            got = known.get(word)
+            if got is None:
+                got = known[word] = self._alone(word)
+            out.update(got[0])
+            if got[1]:
+                lefts.add(word)
+        if len(self.gaps) >= self.most:
+            self.gaps = {}
+        gaps = self.gaps
+        for left, right in zip(row, row[1:]):
+            if left not in lefts:
                 continue
-            core = word.strip(TRIM)
-            out.add(core)
-            bare = word.strip(".,;:?\"'()[]{}<>%#*&~`^_=/\\-")
-            # signs at the ends may be letters or mere punctuation
-            out.update(self._read(x) for x in {bare, core} if x and (not x.isalpha() or _doubled(x)) and self._may(x))
-        for left, right in {pair for pair in zip(row, row[1:]) if pair[0] in lefts}:
-            right = right if right.isalpha() else right.strip(TRIM)
-            if (gate is None or (left + right)[:4] in self.hidden) and right.isalpha() and self._one_word(left, right):
-                out.add(left + right)
+            key = left[-2:] + " " + right[:2]
+            joined = gaps.get(key)
+            if joined is None:
+                joined = gaps[key] = not key.replace(" ", "").isalpha() or self._one_word(left, right)
+            if joined:
+                right = right if right.isalpha() else right.strip(TRIM)
+                if right.isalpha() and self._one_word(left, right):
+                    out.add(left + right)
         out.discard("")
-        return out if self.gate is None else {w for w in out if w[:4] in self.gate}
+        return out
 
 
 #: What it costs to take the gap between two words for nothing.
@@ -320,23 +311,27 @@ def _inputs(odds: np.ndarray) -> list[float]:
     return [float(odds.max()), 0.0] if len(odds) else [0.0, 1.0]
 
 
-#: Log odds from which a feature is worth disguising: seven toxic texts to one other.
-SURE = 2.0
-
-
 class Scorer:
-    """Log odds of the chosen features, looked up by their first four characters, and the final model over them."""
+    """Log odds of the chosen features and the final model over them; remembers the strongest feature of each word, within bounds."""
 
-    def __init__(self, odds: dict[str, float], final: np.ndarray):
-        self.odds, self.final = odds, final
-        self.gate = {k[:4].rstrip("*") for k in odds}
-        self.hidden = {k[:4].rstrip("*") for k, v in odds.items() if v > SURE}
+    def __init__(self, odds: dict[str, float], final: np.ndarray, most: int = 300_000):
+        self.odds, self.final, self.most = odds, final, most
+        self.best: dict[str, float | None] = {}
 
-    def found(self, words: set[str]) -> list[str]:
-        return [f for f in features_of(words) if f in self.odds]
+    def strongest(self, word: str) -> float | None:
+        """The largest log odds among the features of one word."""
+        return max((self.odds[f] for f in features_of({word}) if f in self.odds), default=None)
 
     def score(self, words: set[str]) -> float:
-        x = _inputs(np.array([self.odds[f] for f in self.found(words)]))
+        if len(self.best) >= self.most:
+            self.best = {}
+        best, odds = self.best, []
+        for w in words:
+            if w not in best:
+                best[w] = self.strongest(w)
+            if best[w] is not None:
+                odds.append(best[w])
+        x = _inputs(np.array(odds))
         return float(1 / (1 + np.exp(-np.clip(np.dot(x, self.final[:-1]) + self.final[-1], -30, 30))))
 
 
@@ -386,7 +381,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     scorer = learn(docs, labels, model, **how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = Restorer(model, gate=scorer.gate, hidden=scorer.hidden) if scorer else Restorer(model, gate=set())
+        restore = Restorer(model)
         for batch in batches:
             scores = [float(scorer.score(restore.words(t))) if scorer else 0.0 for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])

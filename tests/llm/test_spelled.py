@@ -81,17 +81,83 @@ def test_a_spelled_phrase_is_toxic(spark):
     assert got == {1000: 1, 1001: 0, 1002: 1}
 
 
-def test_a_gate_loses_no_wanted_word(spark):
-    """What is skipped because of its shape could not have begun like a wanted word."""
+def _small_corpus():
     import random
 
-    from gristmill.llm.toxicity import Restorer
+    rng = random.Random(6)
+    plain = "the old house on the hill has a garden and a long wall of stone near the river where people walk every day".split()
+    rows, labels = [], []
+    for i in range(2000):
+        words = [rng.choice(plain) for _ in range(12)]
+        toxic = i % 40 == 0
+        if toxic:
+            words[3] = "grubber" if i < 240 else "idiot"  # the rarer word is in six documents
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def test_a_rare_word_in_disguise(spark):
+    """Every lattice is read, however little the word it hides speaks for."""
+    from gristmill.llm.toxicity import toxicity_scores
 
-    model = _model(spark)
-    rng = random.Random(4)
-    alphabet = "idotmrnaal01!$@.-  \n"
-    gate = {"idio", "moro", "ass", "clow", "all", "mill"}
-    every, gated = Restorer(model), Restorer(model, gate=gate)
-    texts = ["".join(rng.choice(alphabet) for _ in range(60)) for _ in range(300)] + ["an 1d10t, a m0r0n and an id iot", "i d i o t a l l", "iidiiott aass a$$ al l"]
-    for t in texts:
-        assert gated.words(t) == {w for w in every.words(t) if w[:4] in gate}, t
+    rows, labels = _small_corpus()
+    tries = ["a grubber on the hill", "a gru88er on the hill", "a gru bber on the hill", "a g r u b b e r on the hill", "a garden on the hill", "a gard3n on the hill"]
+    docs = spark.createDataFrame(rows + [(5000 + i, t) for i, t in enumerate(tries)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["predicted"], round(r["score"], 6)) for r in toxicity_scores(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).where("doc_id >= 5000").collect()}
+    assert [got[5000 + i][0] for i in range(6)] == [1, 1, 1, 1, 0, 0]
+    assert len({got[5000 + i][1] for i in range(4)}) == 1 and got[5004] == got[5005]
+
+
+def test_learning_and_scores_restated(spark):
+    """Features, evidence, log odds without the text itself, and the model over the strongest feature, without Spark."""
+    import math
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+
+    from gristmill.llm.toxicity import Restorer, learn, log_model, toxicity_scores, trigram_counts
+
+    rows, labels = _small_corpus()
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = log_model(trigram_counts(docs))
+    reader = Restorer(model)
+
+    def features(text):
+        words = reader.words(text)
+        return words | {w[:k] + "*" for w in words for k in (4, 5, 6) if len(w) > k}
+
+    y = dict(labels)
+    train = {i: features(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5}
+    n1 = sum(y[i] for i in train)
+    n0 = len(train) - n1
+    k, k1 = Counter(f for fs in train.values() for f in fs), Counter(f for i, fs in train.items() if y[i] for f in fs)
+
+    def evidence(f):
+        def term(seen, n, share):
+            return (seen * math.log(seen / (share * n)) if seen else 0.0) + ((n - seen) * math.log((n - seen) / ((1 - share) * n)) if n > seen else 0.0)
+
+        share = k[f] / (n1 + n0)
+        return math.sqrt(max(0.0, 2 * (term(k1[f], n1, share) + term(k[f] - k1[f], n0, share)))) if share < 1 else 0.0
+
+    kept = {f for f in k if round(evidence(f), 6) >= 2.5}
+    base = n1 / (n1 + n0)
+    odds = lambda a, b: math.log((a + base) / (b - a + 1 - base))
+    scorer = learn(docs, marks, model)
+    assert set(scorer.odds) == kept and all(abs(scorer.odds[f] - odds(k1[f], k[f])) < 1e-9 for f in kept)
+
+    def inputs(found):
+        return [max(found), 0.0, 1.0] if found else [0.0, 1.0, 1.0]
+
+    x = np.array([inputs([odds(k1[f] - y[i], k[f] - 1) for f in fs & kept]) for i, fs in train.items()])
+    t, w = np.array([y[i] for i in train], float), np.zeros(3)
+    for _ in range(25):  # Newton steps for the penalised likelihood, the penalty leaving out the constant
+        p = 1 / (1 + np.exp(-x @ w))
+        pull = np.diag([0.1, 0.1, 1e-6])
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull, x.T @ (p - t) + pull @ w)
+    assert np.allclose(scorer.final, w, atol=1e-4)
+    got = {r["doc_id"]: r["score"] for r in toxicity_scores(docs, marks).collect()}
+    for i, text in rows[::7]:
+        want = 1 / (1 + math.exp(-float(np.dot(inputs([scorer.odds[f] for f in features(text) & kept]), scorer.final))))
+        assert abs(got[i] - want) < 1e-9
