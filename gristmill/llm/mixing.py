@@ -9,15 +9,16 @@ the quota is used up.
 
 The last block's end is found with token sums of hash buckets, finer and finer
 until a bucket holds few rows, and one window over the bucket in which the quota
-ends, so a source with a third of all rows never meets in one task.  Only scalars
-come to the driver.
+ends, in which equal rows are one with a count, so a source or a document with a third
+of all rows never meets in one task.  Where the quota ends among equal rows, so many
+of them are dealt as fit.  Only scalars come to the driver.
 
 Tokens are runs of characters other than ASCII white space, or what a column of
 counts says (``tokens_col``, for instance the counts of a tokenizer).
 
 Edge cases: null source is a source of its own; texts without a visible character
 and null counts count one token; a table with one source has weight 1; rows that repeat an id are
-separate documents; an empty table gives no rows; extra columns pass through (``epoch``,
+separate documents, also if they are equal; a row with a null id is ordered by a hash of its text; an empty table gives no rows; extra columns pass through (``epoch``,
 ``order_key`` and ``n_tokens`` are replaced; ``_mix_`` is a reserved beginning).
 """
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gristmill.llm.common import checked_broadcast, cut, need
+from gristmill.operators.places import with_place
 
 DEPTH = 32  # halvings of the exponent
 
@@ -116,7 +118,7 @@ def mix_sources(
     """
     need(docs, id_col, source_col, text_col, *([tokens_col] if tokens_col else []))
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_mix_source")
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    ident = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("?"), F.xxhash64(text_col).cast("string")))
     slim = cut(docs.select(ident.alias("id"), source, token_size(text_col, tokens_col).alias("tokens")))
     sources = cut(slim.groupBy("_mix_source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")))
     exponent = choose_exponent(sources, entropy_share, repetition_limit, cover)
@@ -146,9 +148,10 @@ def mix_sources(
         ends = cut(sums.withColumn("upto", upto).where("upto > rest and upto - n <= rest").select("_mix_source", "rest", F.col("bucket").alias("end"), (F.col("upto") - F.col("n")).alias("before")))
     digits = steps * STEP_DIGITS
     within = last.join(checked_broadcast(ends), "_mix_source").where(F.col("key").startswith(F.col("end")))
-    order = F.struct("key", "id", "tokens")
-    run = F.col("before") + F.sum("tokens").over(W.partitionBy("_mix_source").orderBy("key", "id", "tokens").rowsBetween(W.unboundedPreceding, 0))
-    cuts = within.withColumn("run", run).where("run <= rest").groupBy("_mix_source").agg(F.max(order).alias("cut"))
+    equal = within.groupBy("_mix_source", "key", "id", "tokens").agg(F.count("*").alias("n"), F.max("before").alias("before"), F.max("rest").alias("rest"))
+    upto = F.sum(F.col("n") * F.col("tokens")).over(W.partitionBy("_mix_source").orderBy("key", "id", "tokens").rowsBetween(W.unboundedPreceding, 0))
+    equal = equal.withColumn("upto", F.col("before") + upto).withColumn("fit", F.expr("least(n, (rest - (upto - n * tokens)) div tokens)")).where("fit > 0")
+    cuts = equal.groupBy("_mix_source").agg(F.max(F.struct("key", "id", "tokens", "fit", "n")).alias("cut"))
     ends = ends.select("_mix_source", "end").join(cuts, "_mix_source", "left")
     dealt = cut(plan.select("_mix_source", "blocks", "rest").join(ends, "_mix_source", "left"))
 
@@ -158,7 +161,13 @@ def mix_sources(
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_blocks"))))
     rows = rows.withColumn("order_key", order_key(F.col("epoch"), F.col("_mix_id"), seed))
     bucket = F.substring("order_key", 1, digits)
-    own = F.struct(F.col("order_key").alias("key"), F.col("_mix_id").alias("id"), F.col("n_tokens").alias("tokens"))
-    inside = (bucket < F.col("_mix_end")) | ((bucket == F.col("_mix_end")) & F.col("_mix_cut").isNotNull() & (own <= F.col("_mix_cut")))
+    own, end = F.struct(F.col("order_key").alias("key"), F.col("_mix_id").alias("id"), F.col("n_tokens").alias("tokens")), F.struct("_mix_cut.key", "_mix_cut.id", "_mix_cut.tokens")
+    last_one = (F.col("epoch") == F.col("_mix_blocks")) & (F.col("_mix_rest") > 0) & (own == end)
+    inside = (bucket < F.col("_mix_end")) | ((bucket == F.col("_mix_end")) & F.col("_mix_cut").isNotNull() & ((own < end) | ((own == end) & F.col("_mix_cut.fit").eqNullSafe(F.col("_mix_cut.n")))))
     kept = rows.where((F.col("epoch") < F.col("_mix_blocks")) | ((F.col("_mix_rest") > 0) & F.coalesce(inside, F.lit(False))))
+    if not dealt.where("cut.fit < cut.n").isEmpty():
+        # the quota of some source ends among equal rows: so many of them as fit, by their place
+        split = rows.where(F.coalesce(last_one & (F.col("_mix_cut.fit") < F.col("_mix_cut.n")), F.lit(False)))
+        split = with_place(split, ["_mix_source"], [F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")]).asc()], "_mix_place")
+        kept = kept.unionByName(split.where("_mix_place < _mix_cut.fit").drop("_mix_place"))
     return kept.drop("_mix_source", "_mix_id", *names.values())

@@ -327,3 +327,27 @@ def test_lattice_crowd_of_near_copies(spark):
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
     got = embedding_links(df, slot_rows=512).collect()
     assert {(r["n_links"], r["component_id"]) for r in got} == {(2999, 0)}
+
+
+def test_line_dedup_of_texts_that_share_an_id(spark):
+    """No text is lost: rows of one id and other texts are documents of their own, equal rows one."""
+    from gristmill.llm.line_dedup import line_dedup
+
+    df = spark.createDataFrame([(1, "a\nb\nc"), (1, "x\na\nb\nc"), (2, "p\nq\nr"), (2, "p\nq\nr"), (3, "p\nq\nr\ns")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup(df).collect())
+    assert got[:2] in ([(1, ""), (1, "x\na\nb\nc")], [(1, "a\nb\nc"), (1, "x")])
+    assert got[2:] == [(2, "p\nq\nr"), (2, "p\nq\nr"), (3, "s")]
+
+
+def test_mixing_stays_in_budget_among_equal_rows(spark):
+    """Twenty equal rows of three tokens and a budget of thirty: so many are dealt as when the ids differ."""
+    from gristmill.llm.mixing import mix_sources
+
+    for rows in ([(1, "a b c", "s")] * 20, [(i, "a b c", "s") for i in range(20)], [(None, "a b c", "s")] * 20, [(None, f"a b {i}", "s") for i in range(20)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+        got = mix_sources(df, budget_tokens=30)
+        assert got.count() == 10 and got.columns == ["doc_id", "text", "source", "n_tokens", "epoch", "order_key"]
+    # two sources, one of equal rows, and more than one block
+    rows = [(1, "a b c", "s")] * 30 + [(i, "d e", "t") for i in range(10, 20)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), budget_tokens=200).groupBy("source").sum("n_tokens").collect()
+    assert all(150 <= sum(r[1] for r in got) <= 200 for _ in got) and len({r["order_key"] for r in mix_sources(spark.createDataFrame([(None, f"a {i}", "s") for i in range(9)], "doc_id long, text string, source string")).collect()}) == 9
