@@ -116,15 +116,18 @@ _BOOK = (
 )
 
 
-def _write_workbooks(rows: DataFrame, folder: str, header: list[str]) -> None:
-    """Test data: a workbook of plain cells for each value of the first column; texts inline, numbers as they are."""
+def _write_workbooks(rows: DataFrame, folder: str, header: list[str | None], step: int = 1) -> None:
+    """Test data: a workbook of plain cells for each value of the first column; texts inline, numbers as they are; with ``step`` 2 every other row is blank."""
 
     def save(key, table: pd.DataFrame) -> pd.DataFrame:
-        def cell(v) -> str:
-            return f"<c><v>{v!r}</v></c>" if isinstance(v, (int, float)) else f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+        def cell(k: int, at: int, v) -> str:
+            if v is None:
+                return ""
+            place = f'r="{chr(65 + k)}{at}"'
+            return f"<c {place}><v>{v!r}</v></c>" if isinstance(v, (int, float)) else f'<c {place} t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
 
         lines = [header, *table.sort_values(list(table.columns))[list(table.columns)[1:]].astype(object).values.tolist()]
-        body = "".join(f'<row r="{k}">{"".join(map(cell, line))}</row>' for k, line in enumerate(lines, 1))
+        body = "".join(f'<row r="{k * step + 1}">{"".join(cell(c, k * step + 1, v) for c, v in enumerate(line))}</row>' for k, line in enumerate(lines))
         made = io.BytesIO()
         with zipfile.ZipFile(made, "w") as z:
             z.writestr("xl/workbook.xml", _BOOK[0])
@@ -139,6 +142,29 @@ def _write_workbooks(rows: DataFrame, folder: str, header: list[str]) -> None:
     rows.groupBy(rows.columns[0]).applyInPandas(save, "n long").agg(F.sum("n")).collect()
 
 
+@query("""SELECT CAST(s_suppkey AS DOUBLE) AS code, s_name AS name, CAST(s_nationkey AS DOUBLE) AS name_4, s_acctbal AS name_2, CAST(s_suppkey % 7 AS DOUBLE) AS col_4, s_name AS "Name_3", CAST(NULL AS VARCHAR) AS empty FROM supplier
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT unnest(range(0, count(*))) FROM supplier GROUP BY s_nationkey)""")
+def workbook_grid(t: Tables) -> DataFrame:
+    """Suppliers through workbooks with clashing, empty and blank headers and a blank row after every row."""
+    folder = scratch(t, "grid")
+    cells = t.supplier.select("s_nationkey", "s_suppkey", "s_name", F.col("s_nationkey").alias("again"), "s_acctbal", (F.col("s_suppkey") % 7).alias("unnamed"), F.col("s_name").alias("other"))
+    _write_workbooks(cells, folder, ["code", "name", "name", "name_2", None, "Name", "empty"], step=2)
+    return read_workbooks(t.spark, f"{folder}/*.xlsx").drop("file", "row")
+
+
+@query("""SELECT CAST(l_orderkey AS DOUBLE) AS l_orderkey, CAST(l_linenumber AS DOUBLE) AS l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'two' || chr(10) || 'lines; "' || l_returnflag || '"' || chr(10) || l_linestatus ELSE l_returnflag END AS note FROM lineitem""")
+def quoted_breaks(t: Tables) -> DataFrame:
+    """Line items through one large file with a title before its header and line breaks inside quotes, read in splits."""
+    folder = scratch(t, "breaks")
+    flag = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit('"two\nlines; ""'), "l_returnflag", F.lit('""\n'), "l_linestatus", F.lit('"'))).otherwise(F.col("l_returnflag"))
+    filler = F.rpad(F.lit("x"), 120, "x")  # so that even the smallest table makes a file of several splits
+    body = t.lineitem.select(F.concat_ws(";", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), flag, filler).alias("value"))
+    title = t.spark.createDataFrame([("line items, with a \" in the title",), ("",), ("l_orderkey;l_linenumber;note;filler",)], "value string").coalesce(1)
+    title.union(body.coalesce(1)).coalesce(1).write.text(folder)
+    casts = [{"column": "l_orderkey", "type": "number"}, {"column": "l_linenumber", "type": "number"}]
+    return read_delimited(t.spark, folder, sep=";", header_row=2, casts=casts)[0].drop("filler")
+
+
 @query("SELECT CAST(s_suppkey AS DOUBLE) AS code, s_name AS name, CAST(s_nationkey AS DOUBLE) AS name_2, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS VARCHAR) ELSE s_name END AS mixed FROM supplier")
 def workbook_rows(t: Tables) -> DataFrame:
     """Suppliers through workbooks, one for each nation, with two equal headers and a column of mixed cells."""

@@ -12,8 +12,10 @@ import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gristmill.operators.cleaning import apply_casts
+from gristmill.operators.places import written
 from gristmill.operators.stacking import stack
 from gristmill.session import importable
 
@@ -125,56 +127,109 @@ def read_delimited(
 ) -> tuple[DataFrame, DataFrame]:
     """Read delimited files as text columns, then cast; returns the rows and the cast report.
 
-    ``header_row`` lines before the header of each file are skipped; on that
-    path a quoted line break is not supported.  Encodings other than UTF and
-    Latin-1 need ``spark.sql.legacy.javaCharsets``.
+    ``header_row`` lines before the header of each file are skipped.  With it or
+    with ``multi_line`` quoted line breaks are kept, and files are read in
+    splits all the same (see ``records``); this counts quotes in a job first.
+    Encodings other than UTF and Latin-1 need ``spark.sql.legacy.javaCharsets``.
     """
     charset = JAVA_NAMES.get(encoding, encoding)
-    options = {"sep": sep, "header": "true", "encoding": charset, "inferSchema": "false", "quote": '"', "escape": '"', "enforceSchema": "false"}
-    if header_row:
-        df = _skipping(spark, path, header_row, sep, charset)
+    if header_row or multi_line:
+        df = _parsed_records(spark, path, header_row, sep, charset)
     else:
-        df = spark.read.options(**options).option("multiLine", multi_line).csv(path)
+        options = {"sep": sep, "header": "true", "encoding": charset, "inferSchema": "false", "quote": '"', "escape": '"', "enforceSchema": "false"}
+        df = spark.read.options(**options).csv(path)
     df = df.select(*[F.col(f"`{n}`").alias(n.removeprefix("\ufeff")) for n in df.columns])
     return apply_casts(df, casts, decimal, thousands)
 
 
-def _skipping(spark: SparkSession, path: str | list[str], lines: int, sep: str, charset: str) -> DataFrame:
-    """Drop the leading lines and the header of each file, then parse the rest; all files must have one header."""
-    importable(spark)
-    text = spark.read.option("encoding", charset).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"))
+def _headers(spark: SparkSession, path: str | list[str], lines: int, sep: str, charset: str) -> DataFrame:
+    """``(path, header, taken, odd)`` of every file: the names in its header, the lines up to and with it, and how many of those have an odd number of quotes.
+
+    The heads are the only part of the files that Python reads.
+    """
     python = {v: k for k, v in JAVA_NAMES.items()}.get(charset, charset)
     python = "utf-8-sig" if python == "utf-8" else python
 
-    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [bytes(h).decode(python, "ignore").splitlines() for h in batch["head"]]
-            yield pd.DataFrame({"path": batch["path"], "header": [r[lines] if len(r) > lines else None for r in rows]})
-
-    found = file_heads(spark, path, HEADER_BYTES).mapInPandas(headers, "path string, header string").groupBy("header").agg(F.min("path").alias("path")).limit(3).collect()
+            rows = []
+            for path, head in zip(batch["path"], batch["head"]):
+                found = bytes(head).decode(python, "ignore").split("\n")
+                if len(found) <= lines or not "".join(found[lines:]).strip():
+                    rows.append((path, None, 0, 0))
+                    continue
+                reader = csv.reader((x + "\n" for x in found[lines:]), delimiter=sep)
+                names = next(reader)
+                taken = lines + reader.line_num  # a quoted name may have a line break too
+                rows.append((path, [n.strip("\r\n") for n in names], taken, sum(x.count('"') % 2 for x in found[:taken])))
+            yield pd.DataFrame(rows, columns=["path", "header", "taken", "odd"])
+
+    return file_heads(spark, path, HEADER_BYTES).mapInPandas(run, "path string, header array<string>, taken long, odd long")
+
+
+def records(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(file, value)``: the records that lines make up, a quoted line break not ending one.
+
+    ``lines`` is ``(file, start, at, value, odd)``: the block a line is read in,
+    its number there, and whether it has an odd number of quotes; ``blocks`` is
+    ``(file, start, inside, plain)``: whether a block begins inside quotes, and
+    whether all its lines are records.  Lines of plain blocks and single lines
+    elsewhere are records as they are; only the pieces of a record of several
+    lines are gathered, also over blocks.
+    """
+    lines = lines.join(F.broadcast(blocks), ["file", "start"])  # as many rows as input splits
+    simple = lines.where("plain").select("file", "value")
+    part = W.partitionBy("file", "start").orderBy("at")
+    quotes = F.coalesce(F.sum("odd").over(part.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("inside").cast("int")
+    rest = lines.where("not plain").withColumn("open", quotes % 2 == 1)
+    rest = rest.withColumn("nth", F.count_if(~F.col("open")).over(part.rowsBetween(W.unboundedPreceding, 0)))
+    alone = rest.where("not open and odd = 0").select("file", "value")
+    pieces = rest.where("open or odd = 1")
+    # the record that a block begins inside of is the last one of the nearest block before with a beginning
+    last = rest.groupBy("file", "start").agg(F.max("nth").alias("nth"))
+    before = F.last(F.when(F.col("nth") > 0, F.struct("start", "nth")), ignorenulls=True).over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
+    owners = last.select("file", "start", before.alias("owner"))
+    begun = pieces.where("nth > 0").select("file", F.struct("start", "nth").alias("owner"), "start", "at", "value")
+    carried = pieces.where("nth = 0").join(owners, ["file", "start"]).select("file", "owner", "start", "at", "value")
+    whole = begun.unionByName(carried).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "at", "value"))).alias("of"))
+    return simple.unionByName(alone).unionByName(whole.select("file", F.array_join(F.col("of.value"), "\n").alias("value")))
+
+
+def _parsed_records(spark: SparkSession, path: str | list[str], header_row: int, sep: str, charset: str) -> DataFrame:
+    """Drop the leading lines and the header of each file, then parse the rest; all files must have one header.
+
+    Lines are read in splits by the text reader.  One job counts, for each
+    split, its lines with an odd number of quotes and the number of its first line; sums over
+    the splits of a file tell which of them begin inside quotes.
+    """
+    heads = written(_headers(spark, path, header_row, sep, charset))
+    found = heads.groupBy("header").agg(F.min("path").alias("path")).limit(3).collect()
     if not found:
         raise ValueError("no file to read")
     short = [r["path"] for r in found if r["header"] is None]
     if short:
-        raise ValueError(f"{short[0]} has no line after {lines} skipped ones")
+        raise ValueError(f"{short[0]} has no line after {header_row} skipped ones")
     if len(found) > 1:
         raise ValueError(f"the headers of {found[0]['path']} and {found[1]['path']} differ")
-    names = next(csv.reader([found[0]["header"]], delimiter=sep))
-    schema = ", ".join(f"`{n}` string" for n in names)
-
-    # lines of a file's first block, in file order, are numbered by their place in the partition that reads it
-    def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, int] = {}
-        for batch in batches:
-            keep = []
-            for name, start in zip(batch["file"], batch["start"]):
-                n = seen.get(name, 0)
-                seen[name] = n + 1
-                keep.append(start > 0 or n > lines)
-            yield batch.loc[keep, ["value"]]
-
-    body = text.mapInPandas(drop, "value string")
-    return body.select(F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"'}).alias("r")).select("r.*")
+    schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in found[0]["header"])
+
+    text = spark.read.options(encoding=charset, lineSep="\n").text(path)
+    odd = F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2))
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value", odd.alias("odd"))
+    stats = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.sum("odd").alias("odds"))
+    stats = stats.join(F.broadcast(heads.select(F.col("path").alias("head_of"), "taken", F.col("odd").alias("head_odds"))), F.col("file") == F.col("head_of"), "left")  # as many rows as files
+    if not stats.where("head_of is null").isEmpty():
+        raise ValueError("a file of the input has no head")
+    begins = F.col("start") == 0
+    stats = stats.withColumn("odds", F.col("odds") - F.when(begins, F.col("head_odds")).otherwise(0)).withColumn("skip", F.when(begins, F.col("taken")).otherwise(0))
+    inside = F.coalesce(F.sum("odds").over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
+    blocks = written(stats.select("file", "start", "first", "skip", "odds", inside.alias("inside")))
+    blocks = blocks.select("file", "start", "first", "skip", "inside", ((F.col("odds") == 0) & ~F.col("inside")).alias("plain"))
+    body = lines.join(F.broadcast(blocks.select("file", "start", "first", "skip")), ["file", "start"]).where(F.col("at") - F.col("first") >= F.col("skip"))
+    rows = records(body.select("file", "start", "at", "value", "odd"), blocks.select("file", "start", "inside", "plain"))
+    value = F.regexp_replace("value", "\r$", "")
+    parsed = F.from_csv(value, schema, {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+    return rows.where(F.trim(F.translate("value", "\r", "")) != "").select(parsed.alias("r")).select("r.*")
 
 
 def read_mixed(spark: SparkSession, path: str, casts: Sequence[dict[str, Any]] = (), thousands: str | None = None) -> tuple[DataFrame, DataFrame]:

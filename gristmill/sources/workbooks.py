@@ -1,20 +1,24 @@
 """Folders of spreadsheet workbooks as one Spark job.
 
 A workbook is read by one task at a time (it is a zip of XML files and has no
-splits); many workbooks are read side by side.  Cells come out as long rows
-with their type, so that a column of mixed types can be reported and kept as
-text, and are then turned into columns.
+splits); many workbooks are read side by side.  A task finds a book's entries
+from the zip's directory at its end and reads the sheet's entry as a stream, so
+no book is loaded whole; what it keeps are the shared texts.  Cells come out as
+long rows with their type, so that a column of mixed types can be reported and
+kept as text; the grid of rows and columns is then laid out again by position.
 """
 
 from __future__ import annotations
 
-import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
+from typing import BinaryIO
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -35,10 +39,24 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+def _elements(book: zipfile.ZipFile, entry: str, tag: str) -> Iterator[ET.Element]:
+    """Elements of one kind of an entry, read as a stream; each is dropped from the tree when the next one is asked for."""
+    with book.open(entry) as f:
+        path: list[ET.Element] = []
+        for event, e in ET.iterparse(f, events=("start", "end")):
+            if event == "start":
+                path.append(e)
+                continue
+            path.pop()
+            if e.tag == f"{MAIN}{tag}":
+                yield e
+                path[-1].clear()
+
+
 def _texts(book: zipfile.ZipFile) -> list[str]:
     if "xl/sharedStrings.xml" not in book.namelist():
         return []
-    return ["".join(t.text or "" for t in si.iter(f"{MAIN}t")) for si in ET.fromstring(book.read("xl/sharedStrings.xml")).findall(f"{MAIN}si")]
+    return ["".join(t.text or "" for t in si.iter(f"{MAIN}t")) for si in _elements(book, "xl/sharedStrings.xml", "si")]
 
 
 def _date_styles(book: zipfile.ZipFile) -> set[int]:
@@ -58,36 +76,34 @@ def _sheet_file(book: zipfile.ZipFile, sheet: str | None) -> str:
     return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
 
 
-def sheet_cells(content: bytes, sheet: str | None = None) -> Iterator[tuple[int, int, str, str]]:
+def sheet_cells(file: BinaryIO, sheet: str | None = None) -> Iterator[tuple[int, int, str, str]]:
     """``(row, col, value, type)`` of the filled cells of a sheet, by name or else the first; types texte, nombre, booléen, date."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
+    with zipfile.ZipFile(file) as book:
         texts, dates = _texts(book), _date_styles(book)
-        with book.open(_sheet_file(book, sheet)) as f:
-            for _, row in ET.iterparse(f):
-                if row.tag != f"{MAIN}row":
+        at = -1
+        for row in _elements(book, _sheet_file(book, sheet), "row"):
+            at = int(row.get("r")) - 1 if row.get("r") else at + 1
+            col = -1
+            for cell in row.findall(f"{MAIN}c"):
+                col = _column(cell.get("r")) if cell.get("r") else col + 1
+                kind, v = cell.get("t") or "n", cell.find(f"{MAIN}v")
+                if kind == "inlineStr":
+                    value, name = "".join(t.text or "" for t in cell.iter(f"{MAIN}t")), "texte"
+                elif v is None or v.text is None:
                     continue
-                at = int(row.get("r")) - 1
-                for k, cell in enumerate(row.findall(f"{MAIN}c")):
-                    col = _column(cell.get("r")) if cell.get("r") else k
-                    kind, v = cell.get("t") or "n", cell.find(f"{MAIN}v")
-                    if kind == "inlineStr":
-                        value, name = "".join(t.text or "" for t in cell.iter(f"{MAIN}t")), "texte"
-                    elif v is None or v.text is None:
-                        continue
-                    elif kind == "s":
-                        value, name = texts[int(v.text)], "texte"
-                    elif kind == "b":
-                        value, name = ("true" if v.text == "1" else "false"), "booléen"
-                    elif kind in ("str", "e", "d"):
-                        value, name = v.text, "texte"
-                    elif int(cell.get("s") or 0) in dates:
-                        value, name = str(pd.Timestamp("1899-12-30") + pd.Timedelta(days=float(v.text))), "date"
-                    else:
-                        number = float(v.text)
-                        value, name = (str(int(number)) if number.is_integer() and abs(number) < 1e15 else repr(number)), "nombre"
-                    if value != "":
-                        yield at, col, value, name
-                row.clear()
+                elif kind == "s":
+                    value, name = texts[int(v.text)], "texte"
+                elif kind == "b":
+                    value, name = ("true" if v.text == "1" else "false"), "booléen"
+                elif kind in ("str", "e", "d"):
+                    value, name = v.text, "texte"
+                elif int(cell.get("s") or 0) in dates:
+                    value, name = str(pd.Timestamp("1899-12-30") + pd.Timedelta(days=float(v.text))), "date"
+                else:
+                    number = float(v.text)
+                    value, name = (str(int(number)) if number.is_integer() and abs(number) < 1e15 else repr(number)), "nombre"
+                if value != "":
+                    yield at, col, value, name
 
 
 def read_cells(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
@@ -95,13 +111,15 @@ def read_cells(spark: SparkSession, path: str, sheet: str | None = None) -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                rows = [(name, *c) for c in sheet_cells(bytes(content), sheet)]
-                for at in range(0, len(rows), 20_000):
-                    yield pd.DataFrame(rows[at : at + 20_000], columns=["file", "row", "col", "value", "cell_type"])
+            for name in batch["path"]:
+                filesystem, place = pafs.FileSystem.from_uri(name)
+                with filesystem.open_input_file(place) as f:
+                    cells = ((name, *c) for c in sheet_cells(f, sheet))
+                    while part := list(islice(cells, 20_000)):
+                        yield pd.DataFrame(part, columns=["file", "row", "col", "value", "cell_type"])
 
     importable(spark)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, CELLS)
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, CELLS)
 
 
 def cell_type_report(cells: DataFrame, header_row: int = 0) -> DataFrame:
@@ -112,25 +130,52 @@ def cell_type_report(cells: DataFrame, header_row: int = 0) -> DataFrame:
     return out.withColumn("mixed", sum((F.col(k) > 0).cast("int") for k in kinds) > 1)
 
 
-def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None, header_row: int = 0) -> DataFrame:
-    """One row per data row of every workbook, with ``file`` and ``row``; blank headers become ``col_i``.
+def _unused(name: str, used: set[str]) -> str:
+    """``name``, or the first of ``name_2``, ``name_3``, … that is not taken in any case."""
+    k, got = 1, name
+    while got.lower() in used:
+        k += 1
+        got = f"{name}_{k}"
+    used.add(got.lower())
+    return got
+
 
-    Workbooks share columns by header; where one has a header several times,
-    the second becomes ``name_2`` and so on.  Names are listed from the header
-    cells alone.  A column whose cells have one type in all files is cast to it,
-    any other stays text.
+#: How the text of a cell becomes a column of its type.
+CASTS = {"nombre": lambda c: c.try_cast("double"), "booléen": lambda c: c == "true", "date": lambda c: c.try_cast("timestamp_ntz"), "texte": lambda c: c}
+
+
+def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None, header_row: int = 0) -> DataFrame:
+    """One row per data row of every workbook, with ``file`` and ``row``, blank rows between filled ones included.
+
+    Every header cell is a column, filled or not, and so is every column of
+    cells without one, as ``col_i`` with i from 0.  Workbooks share columns by
+    header, and by its number where one has the same header several times.  A
+    name that is taken, in whatever case, by a column before, by ``file`` or by
+    ``row`` gets the first free ``_2``, ``_3``, …; headers that come once are
+    named before those that repeat.  A column whose cells have one type in all
+    files is cast to it, any other stays text.
     """
     cells = read_cells(spark, path, sheet)
     body = cells.where(F.col("row") > header_row)
     heads = cells.where(F.col("row") == header_row).select("file", "col", F.trim("value").alias("name"))
-    # as many rows as columns of a workbook: those with a header and those with cells only
-    columns = body.select("file", "col").distinct().join(heads, ["file", "col"], "full")
-    columns = columns.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("col_"), F.col("col") + 1)))
-    again = F.row_number().over(W.partitionBy("file", "name").orderBy("col"))
-    columns = columns.withColumn("again", again).select("file", "col", F.when(F.col("again") > 1, F.concat("name", F.lit("_"), "again")).otherwise(F.col("name")).alias("name"))
-    named = body.join(columns, ["file", "col"])
-    kinds = named.groupBy("name").agg(F.min("col").alias("place"), F.count_distinct("cell_type").alias("n"), F.min("cell_type").alias("kind"))
-    listed = sorted(((r["place"], r["name"], r["kind"] if r["n"] == 1 else "texte") for r in kinds.collect()))  # as many rows as columns
-    wide = named.groupBy("file", "row").pivot("name", [n for _, n, _ in listed]).agg(F.first("value"))
-    casts = {"nombre": lambda c: c.try_cast("double"), "booléen": lambda c: c == "true", "date": lambda c: c.try_cast("timestamp_ntz"), "texte": lambda c: c}
-    return wide.select("file", "row", *[casts[k](F.col(f"`{n}`")).alias(n) for _, n, k in listed])
+    width = cells.where(F.col("row") >= header_row).groupBy("file").agg(F.max("col").alias("last"), F.max(F.when(F.col("row") > header_row, F.col("row"))).alias("bottom"))
+    columns = width.select("file", F.explode(F.sequence(F.lit(0), "last")).alias("col")).join(heads, ["file", "col"], "left")
+    columns = columns.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("col_"), F.col("col").cast("string"))))
+    columns = columns.withColumn("nth", F.row_number().over(W.partitionBy("file", "name").orderBy("col")))
+    columns = columns.withColumn("slot", F.hex(F.xxhash64("name", "nth")))  # what the column is called while names are not settled
+
+    placed = body.join(columns, ["file", "col"]).select("file", "row", "slot", "value", "cell_type")
+    kinds = placed.groupBy("slot").agg(F.count_distinct("cell_type").alias("n"), F.min("cell_type").alias("kind"))
+    known = columns.groupBy("slot", "name", "nth").agg(F.min("col").alias("place")).join(kinds, "slot", "left")
+    listed = sorted((r["place"], r["name"], r["nth"], r["slot"], r["kind"] if r["n"] == 1 else "texte") for r in known.collect())  # as many rows as columns
+    used, names = {"file", "row"}, {}
+    for once in (True, False):
+        for _, name, nth, slot, _ in listed:
+            if (nth == 1) == once:
+                names[slot] = _unused(name, used)
+
+    grid = width.where("bottom is not null").select("file", F.explode(F.sequence(F.lit(header_row + 1), "bottom")).alias("row"))
+    rows = placed.drop("cell_type").unionByName(grid, allowMissingColumns=True)
+    slots = [(slot, kind) for _, _, _, slot, kind in listed]
+    wide = rows.groupBy("file", "row").pivot("slot", [slot for slot, _ in slots]).agg(F.first("value", ignorenulls=True))
+    return wide.select("file", "row", *[CASTS[kind](F.col(f"`{slot}`")).alias(names[slot]) for slot, kind in slots])
