@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gristmill.functions.rules import mask, rule
-from gristmill.operators.places import medians
-from gristmill.values import NUMERIC, as_text, column, is_numeric, ordering, require, sure
+from gristmill.operators.checks import hashes
+from gristmill.operators.places import medians, written
+from gristmill.values import NUMERIC, as_text, column, is_numeric, ordering, place_key, require, sure
 
 EMPTY = "(vide)"
+MET, UNMET = "Respecté", "Non respecté"
 
 
 def _pct(part: Column, whole: Column) -> Column:
@@ -95,23 +97,35 @@ def summarize(df: DataFrame) -> DataFrame:
 # --- breakdowns ------------------------------------------------------------------
 
 
+def _cut(end: str):
+    """The part of a text before the first separator or after the last one, or so many characters of that end."""
+
+    def part(s: Column, how: dict[str, Any]) -> Column:
+        n, sep = how["n"], how["sep"]
+        if how["by"] == "chars":
+            taken = F.substring(s, 1, n) if end == "prefix" else F.substring(s, -n, n)
+            return taken if n > 0 else F.when(s.isNotNull(), F.lit(""))
+        return F.substring_index(s, sep, 1 if end == "prefix" else -1) if sep else s
+
+    return part
+
+
+#: What a row counts under, by kind: its text form and the settings in, the key out.
+KEYS = {
+    "values": lambda s, how: s,
+    "length": lambda s, how: F.length(s).cast("string"),
+    "prefix": _cut("prefix"),
+    "suffix": _cut("suffix"),
+    "rule": lambda s, how: F.when(rule(how["df"], how["spec"] or {}, how["case_sensitive"], how["name"]), MET).otherwise(UNMET),
+    "mask": lambda s, how: F.when(mask(how["df"], how["name"], how["segments"] or [], how["case_sensitive"]), MET).otherwise(UNMET),
+}
+
+
 def breakdown_key(df: DataFrame, name: str, kind: str = "values", by: str = "sep", sep: str = "", n: int = 3, spec: dict[str, Any] | None = None, segments=None, case_sensitive: bool = False) -> Column:
     """What a row counts under: its value, the start or end of it, its length, or whether it meets a rule or mask."""
-    s = as_text(df, name)
-    if kind == "values":
-        return s
-    if kind == "length":
-        return F.length(s).cast("string")
-    if kind in ("prefix", "suffix"):
-        if by == "chars":
-            if kind == "prefix":
-                return F.left(s, F.lit(n))
-            return F.right(s, F.lit(n)) if n else F.when(s.isNotNull(), F.lit(""))
-        return F.substring_index(s, sep, 1 if kind == "prefix" else -1) if sep else s
-    if kind in ("rule", "mask"):
-        ok = mask(df, name, segments or [], case_sensitive) if kind == "mask" else rule(df, spec or {}, case_sensitive, name)
-        return F.when(ok, "Respecté").otherwise("Non respecté")
-    raise ValueError(f"unknown breakdown {kind}")
+    if kind not in KEYS:
+        raise ValueError(f"unknown breakdown {kind}")
+    return KEYS[kind](as_text(df, name), {"df": df, "name": name, "by": by, "sep": sep, "n": n, "spec": spec, "segments": segments, "case_sensitive": case_sensitive})
 
 
 def breakdown(df: DataFrame, name: str, kind: str = "values", top: int = 12, **how) -> DataFrame:
@@ -181,26 +195,24 @@ def key_consistency(df: DataFrame, keys: Sequence[str], batch: int = 16) -> Data
     """For every other column, the number of keys within which it varies (null is a value), with an example key and up to 6 of its values.
 
     Two values that differ are enough to vary, so no distinct count is needed:
-    one mergeable pass per batch of columns.  The values of the example keys
-    come from a second pass over their rows alone.
+    the least and the largest of two hashes in one mergeable pass per batch of
+    columns, computed once.  The values of the example keys come from a second
+    pass over their rows alone.  Runs a job.
     """
     require(df, keys)
     others = [n for n in df.columns if n not in keys]
+    if not others:
+        raise ValueError("no column besides the key")
     key = F.struct(*map(column, keys))
-    out = None
+    parts = []
     for at in range(0, len(others), batch):
         part = others[at : at + batch]
-        aggs = []
-        for k, c in enumerate(part):
-            t = F.coalesce(as_text(df, c), F.lit("\0null"))
-            aggs += [F.min(t).alias(f"_lo{k}"), F.max(t).alias(f"_hi{k}")]
-        per = df.groupBy(*map(column, keys)).agg(*aggs)
-        varies = lambda k: F.col(f"_lo{k}") != F.col(f"_hi{k}")
+        ends = [x.alias(f"_{e}{i}_{k}") for k, c in enumerate(part) for i, h in enumerate(hashes(as_text(df, c))) for e, x in (("lo", F.min(h)), ("hi", F.max(h)))]
+        per = df.groupBy(*map(column, keys)).agg(*ends)
+        varies = lambda k: (F.col(f"_lo0_{k}") != F.col(f"_hi0_{k}")) | (F.col(f"_lo1_{k}") != F.col(f"_hi1_{k}"))
         one = per.agg(*[x for k in range(len(part)) for x in (F.count_if(varies(k)).alias(f"_v{k}"), F.min(F.when(varies(k), key)).alias(f"_e{k}"))])
-        rows = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_v{k}").alias("varying_groups"), F.to_json(F.col(f"_e{k}")).alias("example_key")) for k, c in enumerate(part)])))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError("no column besides the key")
+        parts.append(one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_v{k}").alias("varying_groups"), F.to_json(F.col(f"_e{k}")).alias("example_key")) for k, c in enumerate(part)]))))
+    out = written(reduce(DataFrame.unionByName, parts))
     # the rows of the example keys (one key per column), long by column; the distinct values among them
     wanted = out.select(F.col("column").alias("_column"), F.col("example_key").alias("_example")).where("_example is not null")
     pairs = F.array(*[F.struct(F.lit(c).alias("_column"), as_text(df, c).alias("_value")) for c in others])
@@ -254,7 +266,8 @@ def preview(
 
     Filters ``{column, op: equals | contains | is_null, value}`` are ANDed;
     ``q`` is searched in the text of every column.  Other operators mean
-    contains.
+    contains.  A page behind many rows of an order is looked for by its place
+    (``deep_page``).
     """
     keep = F.lit(True)
     for f in filters:
@@ -276,5 +289,45 @@ def preview(
         rest = [n for n in df.columns if n != sort]
         rows = rows.orderBy(*ordering([(sort, descending), *rest]))
     page = rows.offset(offset).limit(limit) if offset else rows.limit(limit)
+    if sort and offset > DEEP:
+        page = deep_page(df.where(keep), [(sort, descending), *rest], limit, offset)
     return page, df.agg(F.count_if(keep).alias("filtered"), F.count(F.lit(1)).alias("total"))
 
+
+#: Rows before a page from which its place is looked for; rows of a sample that narrows the search.
+DEEP, SAMPLE = 100_000, 2_000
+
+
+def deep_page(df: DataFrame, order: Sequence[str | tuple[str, bool]], limit: int, offset: int, deep: int = DEEP, sample_rows: int = SAMPLE) -> DataFrame:
+    """The page behind ``offset`` rows without ordering those before it in one task.
+
+    A sample of sort keys gives two ends that the page probably lies between;
+    exact counts of the rows before each end tell whether it does, and what lies
+    between is searched in the same way until few rows precede the page.  A
+    sample that misleads costs a step, never a row.  Runs jobs.
+    """
+    named = [i if isinstance(i, tuple) else (i, False) for i in order]
+    # the first key decides the direction; keys of another direction are left to the final sort
+    same = [n for n, down in named if down == named[0][1]] if len({d for _, d in named}) == 1 else [named[0][0]]
+    key, down = place_key(df, [(n, named[0][1]) for n in same], ties=None)
+    before = (lambda a, b: a > b) if down else (lambda a, b: a < b)
+    rows, skip, within = df, offset, df.count()
+    while skip > deep and within > sample_rows:
+        ordered = F.array_sort(F.collect_list("k"))
+        picked = rows.select(key.alias("k")).sample(fraction=min(1.0, sample_rows / within), seed=3).agg((F.reverse(ordered) if down else ordered).alias("ks"))
+        share, spread = F.lit(skip / within), 4 * F.sqrt(F.lit(skip / within * (1 - skip / within)) / F.size("ks"))
+        reach = F.lit(limit / within)
+        at = lambda x: F.get(F.col("ks"), F.floor(x * F.size("ks")).cast("int"))
+        ends = written(picked.select(F.when(share - spread > 0, at(share - spread)).alias("low"), F.when(share + reach + spread < 1, at(share + reach + spread)).alias("high")))
+        inside = rows.withColumn("_page_key", key).crossJoin(F.broadcast(ends))  # one row
+        low, high, own = F.col("low"), F.col("high"), F.col("_page_key")
+        early, late = F.coalesce(before(own, low), F.lit(False)), F.coalesce(before(high, own), F.lit(False))
+        n = inside.agg(F.count_if(early).alias("early"), F.count_if(late).alias("late")).first()
+        keep_low, keep_high = n["early"] <= skip, within - n["late"] >= min(within, skip + limit)
+        drop = (early if keep_low else F.lit(False)) | (late if keep_high else F.lit(False))
+        left = within - (n["early"] if keep_low else 0) - (n["late"] if keep_high else 0)
+        if left >= within:
+            break  # rows equal in the sort key, which no end can part
+        rows = inside.where(~drop).select(*map(column, df.columns))
+        skip, within = skip - (n["early"] if keep_low else 0), left
+    return rows.orderBy(*ordering(order)).offset(skip).limit(limit)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 from typing import Any
@@ -30,23 +31,18 @@ def select_items(df: DataFrame, items: Sequence[dict[str, Any]] | None = None, d
 
 
 def select_columns(df: DataFrame, items: Sequence[dict[str, Any]]) -> DataFrame:
-    """Order, drop and rename by ``{name, keep, rename}``; unlisted columns follow, unknown names are ignored."""
-    seen, out = set(), []
-    for item in items:
-        name = item["name"]
-        if name not in df.columns or name in seen:
-            continue
-        seen.add(name)
-        if item.get("keep", True):
-            out.append((name, item.get("rename") or name))
-    out += [(n, n) for n in df.columns if n not in seen]
-    names = [new for _, new in out]
-    if not names:
-        raise ValueError("no column is kept")
-    twice = sorted({n for n in names if names.count(n) > 1})
-    if twice:
-        raise ValueError(f"names used twice: {', '.join(twice)}")
-    return df.select(*[column(old).alias(new) for old, new in out])
+    """Order, drop and rename by ``{name, keep, rename}``; unlisted columns follow, unknown names are ignored.
+
+    The first item of a name counts.
+    """
+    told = {i["name"]: i for i in reversed(items)}
+    listed = dict.fromkeys(i["name"] for i in items if i["name"] in df.columns)
+    order = {n: told.get(n, {}) for n in [*listed, *df.columns]}
+    names = {n: how.get("rename") or n for n, how in order.items() if how.get("keep", True)}
+    repeated = [n for n, k in Counter(names.values()).items() if k > 1]
+    if not names or repeated:
+        raise ValueError(f"names used twice: {', '.join(sorted(repeated))}" if repeated else "no column is kept")
+    return df.select(*[column(n).alias(new) for n, new in names.items()])
 
 
 def sql_over(spark: SparkSession, query: str, **inputs: DataFrame) -> DataFrame:

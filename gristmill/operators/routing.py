@@ -111,34 +111,61 @@ def legacy_condition(config: dict[str, Any]) -> dict[str, Any]:
 # --- routing by an extracted key ----------------------------------------------
 
 
+def _whole_number(spec: dict[str, Any], name: str, default: int | None, least: int | None = None) -> int | None:
+    """A setting as a whole number; blank is the default, anything unusable is an error."""
+    given = spec.get(name)
+    if given in (None, ""):
+        return default
+    try:
+        n = int(given)
+    except (TypeError, ValueError) as e:
+        raise ValueError(f"{name} of an extractor is a whole number, not {given!r}") from e
+    if n == 0 or (least is not None and n < least):
+        raise ValueError(f"{name} of an extractor cannot be {n}")
+    return n
+
+
+def _after_last(s: Column, sep: str) -> Column:
+    return F.when(s.contains(sep), F.substring_index(s, sep, -1)).otherwise("") if sep else s
+
+
+def _segment(s: Column, spec: dict[str, Any]) -> Column:
+    parts = F.split(s, quoted(spec.get("sep") or "\\"), -1)
+    return F.coalesce(F.try_element_at(parts, F.lit(_whole_number(spec, "index", 1))), F.lit(""))
+
+
+def _substring(s: Column, spec: dict[str, Any]) -> Column:
+    rest = F.substr(s, F.lit(_whole_number(spec, "start", 1, least=1)))
+    size = _whole_number(spec, "length", None, least=1)
+    return rest if size is None else F.left(rest, F.lit(size))
+
+
+def _first_group(s: Column, spec: dict[str, Any]) -> Column:
+    try:
+        groups = re.compile(spec.get("pattern") or "").groups
+    except re.error:
+        return F.lit("")  # a pattern that cannot match
+    return F.regexp_extract(s, spec.get("pattern") or "", min(groups, 1))
+
+
+#: Extractors by name: the text and the settings in, the key out.
+EXTRACTORS = {
+    "whole": lambda s, spec: s,
+    "after_last": lambda s, spec: _after_last(s, spec.get("sep", ".")),
+    "before_first": lambda s, spec: F.substring_index(s, spec.get("sep", "_"), 1) if spec.get("sep", "_") else s,
+    "segment": _segment,
+    "substring": _substring,
+    "regex": _first_group,
+}
+
+
 def extract_key(df: DataFrame, name: str, extractor: dict[str, Any], case_sensitive: bool = False) -> Column:
     """The part of a value to route by; empty where there is none."""
     require(df, [name])
-    s, kind = text_or_empty(df, name), extractor.get("type", "after_last")
-    if kind == "after_last":
-        sep = extractor.get("sep", ".")
-        key = F.when(s.contains(sep), F.substring_index(s, sep, -1)).otherwise("") if sep else s
-    elif kind == "before_first":
-        sep = extractor.get("sep", "_")
-        key = F.substring_index(s, sep, 1) if sep else s
-    elif kind == "segment":
-        n = int(extractor.get("index") or 1)
-        key = F.coalesce(F.try_element_at(F.split(s, quoted(extractor.get("sep") or "\\"), -1), F.lit(n)), F.lit(""))
-    elif kind == "substring":
-        start, size = max(1, int(extractor.get("start") or 1)), extractor.get("length")
-        key = F.substring(s, start, int(size) if size not in (None, "", 0) else 2**31 - 1)
-    elif kind == "regex":
-        pattern = extractor.get("pattern") or ""
-        try:
-            groups = re.compile(pattern).groups
-        except re.error:
-            return F.lit("")
-        key = F.regexp_extract(s, pattern, 1 if groups else 0)
-    elif kind == "whole":
-        key = s
-    else:
+    kind = extractor.get("type", "after_last")
+    if kind not in EXTRACTORS:
         raise ValueError(f"unknown extractor {kind}")
-    return fold(key, case_sensitive)
+    return fold(EXTRACTORS[kind](text_or_empty(df, name), extractor), case_sensitive)
 
 
 def split_by(

@@ -11,6 +11,7 @@ import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gristmill.operators.routing import route
 from gristmill.plans.tables import Tables, register
@@ -51,6 +52,21 @@ def sheet_split(t: Tables) -> DataFrame:
     return read_delimited(t.spark, folder)[0]
 
 
+@query("""SELECT CAST((n - 1) // 4000 AS BIGINT) AS sheet, count(*) AS rows, min(o_orderkey) AS first, max(o_orderkey) AS last, bool_and(run) AS in_order FROM (
+SELECT row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS n, o_orderkey, true AS run FROM orders) GROUP BY 1""")
+def sheets_filled(t: Tables) -> DataFrame:
+    """Orders in files of 4,000 rows, newest first: what each file holds."""
+    folder = scratch(t, "filled")
+    rows = t.orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("day"))
+    write_sheet_sized(rows, folder, rows=4000, order_by=[("day", True), "o_orderkey"], sep=",", bom=False, eol="\n")
+    name, number = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.col("o_orderkey").cast("long")
+    back = t.spark.read.option("header", "true").csv(folder).select(name.alias("name"), number.alias("key"), "day", F.monotonically_increasing_id().alias("at"))
+    before = W.partitionBy("name").orderBy("at")
+    follows = (F.lag("day").over(before) > F.col("day")) | ((F.lag("day").over(before) == F.col("day")) & (F.lag("key").over(before) < F.col("key")))
+    per = back.withColumn("run", F.coalesce(follows, F.lit(True))).groupBy("name").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("first"), F.max("key").alias("last"), F.bool_and("run").alias("in_order"))
+    return per.select((F.row_number().over(W.orderBy("name")) - 1).cast("long").alias("sheet"), "rows", "first", "last", "in_order")
+
+
 @query("""SELECT c_name AS name, c_acctbal AS balance FROM customer UNION ALL SELECT s_name, s_acctbal FROM supplier""")
 def mixed_dialects(t: Tables) -> DataFrame:
     folder = scratch(t, "mixed")

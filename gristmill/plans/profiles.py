@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gristmill.operators.profiling import (
     breakdown,
     column_stats,
+    deep_page,
     histogram,
     key_analysis,
     key_consistency,
@@ -169,6 +170,16 @@ def preview_page(t: Tables) -> DataFrame:
     return preview(t.customer, filters, q="1", sort="c_acctbal", descending=True, limit=5, offset=1)[0]
 
 
+_DEEP = "l_orderkey, l_linenumber, l_partkey, l_extendedprice"
+
+
+@query(f"""WITH r AS (SELECT {_DEEP}, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey) AS n, count(*) OVER () AS rows FROM lineitem) SELECT {_DEEP} FROM r WHERE n > rows * 9 // 10 AND n <= rows * 9 // 10 + 50""")
+def deep_page_prices(t: Tables) -> DataFrame:
+    """Fifty line items behind nine tenths of all, by price."""
+    items = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return deep_page(items, ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey"], 50, items.count() * 9 // 10, deep=1000)
+
+
 @query("SELECT count(*) FILTER (WHERE c_nationkey = 7) AS filtered, count(*) AS total FROM customer")
 def preview_counts(t: Tables) -> DataFrame:
     return preview(t.customer, [{"column": "c_nationkey", "op": "equals", "value": "7"}])[1]

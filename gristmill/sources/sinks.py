@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.values import column
+from gristmill.operators.places import with_place
+from gristmill.values import column, total_order
 
 SHEET_ROWS, SHEET_COLUMNS = 1_048_576, 16_384
 
@@ -45,11 +48,25 @@ def write_delimited(
     return True
 
 
-def write_sheet_sized(df: DataFrame, path: str, rows: int = SHEET_ROWS - 1, **how) -> bool:
-    """As ``write_delimited``, in files that each fit a sheet; too many columns is an error."""
+def write_sheet_sized(df: DataFrame, path: str, rows: int = SHEET_ROWS - 1, order_by: Sequence[str | tuple[str, bool]] | None = None, **how) -> bool:
+    """As ``write_delimited``, in files that each fit a sheet; too many columns is an error.
+
+    With ``order_by`` n rows make exactly ceil(n / rows) files, all but the last
+    one full, in that order over the files' names and within each: every row gets its place
+    from range partitions and sums of their counts, and goes to the task that
+    writes its file.  Without it every task cuts its own rows.
+    """
     if len(df.columns) > SHEET_COLUMNS:
         raise ValueError(f"{len(df.columns)} columns do not fit a sheet of {SHEET_COLUMNS}")
-    return write_delimited(df, path, rows_per_file=rows, **how)
+    if order_by is None:
+        return write_delimited(df, path, rows_per_file=rows, **how)
+    if not how.get("enabled", True) and not how.get("force") or df.isEmpty():
+        return False
+    placed = with_place(df, [], total_order(df, order_by), "_sheet_row", total="_sheet_rows")
+    files = -(-placed.select("_sheet_rows").first()[0] // rows)
+    sheet = F.floor(F.col("_sheet_row") / rows).cast("int")
+    dealt = placed.repartitionById(files, sheet).sortWithinPartitions("_sheet_row").drop("_sheet_row", "_sheet_rows")
+    return write_delimited(dealt, path, **how)
 
 
 def write_routed(routed: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gristmill.operators.duplicates import duplicates
 from gristmill.operators.grouped import with_group_columns
 from gristmill.operators.places import BEFORE, PART, RUN_ROWS, in_order, medians, runs, with_place
+from gristmill.operators.profiling import deep_page
 from gristmill.operators.relational import aggregate
 
 FUNCTIONS = [
@@ -86,3 +87,33 @@ def test_having_on_a_median(spark):
     df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 10), ("b", None)], "k string, v int")
     assert [tuple(r) for r in aggregate(df, ["k"], [("COUNT", "v", "n")], having=[("AND", "MEDIAN", "v", ">", 5)]).collect()] == [("b", 1)]
     assert sorted(map(tuple, aggregate(df, ["k"], [("MEDIAN", "v", "m")]).collect())) == [("a", 2.0), ("b", 10.0)]
+
+
+@pytest.mark.parametrize("order", [["o", "i"], [("o", True), ("i", True)], [("o", True), "i"], ["t", "i"], [("t", True), "i"]])
+def test_deep_pages(spark, order):
+    """Pages near the start, the middle and the end, with ties and nulls, found by narrowing."""
+    r = random.Random(2)
+    rows = [(i, r.choice([None, *range(30)]), r.choice([None, "a", "b", "c"])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, o int, t string").repartition(3)
+    columns = [c if isinstance(c, tuple) else (c, False) for c in order]
+    want = list(rows)
+    for name, down in reversed(columns):
+        k = "iot".index(name)
+        want.sort(key=lambda x: ((x[k] is not None) if not down else (x[k] is None), 0), reverse=not down)
+        filled = sorted((x for x in want if x[k] is not None), key=lambda x: x[k], reverse=down)
+        want = filled + [x for x in want if x[k] is None]
+    for offset in (60, 1500, 2900, 2990, 5000):
+        got = [tuple(x) for x in deep_page(df, order, 20, offset, deep=50, sample_rows=200).collect()]
+        assert got == want[offset : offset + 20], (order, offset)
+
+
+def test_sheets_are_filled(spark, tmp_path):
+    from gristmill.sources.sinks import write_sheet_sized
+
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("n"), F.lit("x").alias("same")).repartition(5)
+    assert write_sheet_sized(df, str(tmp_path / "s"), rows=150, order_by=[("n", True)], sep=",", bom=False, eol="\n")
+    files = sorted((tmp_path / "s").glob("part-*"))
+    lines = [f.read_text().splitlines()[1:] for f in files]
+    assert [len(x) for x in lines] == [150] * 6 + [100]
+    assert [int(x.split(",")[0]) for part in lines for x in part] == list(range(999, -1, -1))
+    assert not write_sheet_sized(df.where("false"), str(tmp_path / "none"), order_by=["n"]) and not (tmp_path / "none").exists()

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from gristmill.operators.checks import group_verdicts
 from gristmill.operators.duplicates import duplicates
 from gristmill.operators.filtering import membership_filter
+from gristmill.operators.grouped import with_group_columns
+from gristmill.operators.profiling import key_consistency
 
 DIR = "/root/testdata/sf0.001"
 
@@ -38,15 +40,35 @@ def test_constant_needs_no_distinct_count(spark):
     assert "Expand" not in plan(out) and out.where("same <> one").count() == 0
 
 
-def test_many_distinct_counts_go_in_batches(spark):
+def test_many_distinct_counts_are_one_plan(spark):
+    """Twenty distinct checks: no copy of the rows for each, and one pair of exchanges beside that of the other aggregates."""
     df = spark.createDataFrame([(g, v, w) for g in (None, "a", "b") for v, w in ((1, 1), (1, 2), (2, 2))], "g string, v int, w int")
     checks = {f"c{n}": [{"check": "distinct_eq", "column": "v" if n % 2 else "w", "n": n % 3 + 1}] for n in range(20)}
-    rows = group_verdicts(df, ["g"], checks).collect()
+    out = group_verdicts(df, ["g"], checks)
+    text = plan(out)
+    assert "Expand" not in text and "SortAggregate" not in text and text.count("Exchange hashpartitioning(_g0") <= 4
+    rows = out.collect()
     assert len(rows) == 9 and all(r[f"c{n}"] == (n % 3 == 1) for r in rows for n in range(20))
     whole = group_verdicts(df, [], checks).collect()
     assert len(whole) == 9 and all(r[f"c{n}"] == (n % 3 == 1) for r in whole for n in range(20))
 
 
+def test_text_ends_are_hashed(spark):
+    """Whether text is constant or varies needs numbers only, so nothing is sorted."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("source", "lang", "text")
+    assert "SortAggregate" not in plan(group_verdicts(docs, ["source"], {"one": [{"check": "constant", "column": "lang"}]}))
+    got = {r["column"]: r for r in key_consistency(docs, ["source"]).collect()}
+    per = docs.groupBy("source").agg(F.count_distinct(F.coalesce("lang", F.lit("?"))).alias("n"))
+    assert got["lang"]["varying_groups"] == per.where("n > 1").count()
+
+
+def test_first_and_last_use_the_window_that_is_there(spark):
+    orders = spark.read.parquet(f"{DIR}/orders.parquet").select("o_custkey", "o_orderkey", "o_totalprice")
+    both = [{"fn": "occurrence", "name": "n"}, {"fn": "first", "column": "o_totalprice", "name": "a"}, {"fn": "prev", "column": "o_totalprice", "name": "p"}]
+    text = plan(with_group_columns(orders, ["o_custkey"], ["o_orderkey"], both))
+    assert text.count("Scan parquet") == 1 and "SortAggregate" not in text and "Join" not in text
+
+
 def test_kept_rows_beside_a_map_column(spark):
     df = spark.createDataFrame([(1, 2, {"a": 1}), (1, 3, {"b": 2}), (2, 1, {"c": 3})], "k int, n int, m map<string,int>")
     for keep, want in (("first", [(1, 2), (2, 1)]), ("last", [(1, 3), (2, 1)])):

@@ -224,6 +224,12 @@ def test_key_extractors(spark, extractor, exact, values, keys):
     assert [r[0] for r in df.orderBy("i").select(extract_key(df, "v", extractor, exact)).collect()] == keys
 
 
+@pytest.mark.parametrize("extractor", [{"type": "segment", "index": 0}, {"type": "segment", "index": "x"}, {"type": "substring", "start": -1}, {"type": "substring", "length": 0}, {"type": "nothing"}])
+def test_unusable_extractors_are_errors(spark, extractor):
+    with pytest.raises(ValueError):
+        extract_key(spark.createDataFrame([("a",)], "v string"), "v", extractor)
+
+
 def test_split_and_scan(ships):
     last = {"type": "after_last", "sep": "-"}
     assert tally(split_by(ships, "hull", last, ["K", "t"])) == {"K": 2, "t": 2, "else": 1}
