@@ -6,8 +6,9 @@ what is known about it: language, source, size.  Each view starts as a logistic
 model on the labelled rows.  In each round every document of the corpus is
 scored by both views; what one view is confident about becomes pseudo-labels
 for the other, whose sums of slopes and curvatures are added up on Spark, and
-each model takes Newton steps over its labelled rows and those sums.  Both are
-then calibrated on labelled rows that they were not fitted on, and the
+each model takes Newton steps over its labelled rows and those sums.  A view that
+orders the held labelled rows no better than chance has nothing to say and gives
+no pseudo-labels away.  Both are then calibrated on labelled rows that they were not fitted on, and the
 calibrated views are combined into the score of every document.
 
 The labelled rows are a bounded sample, chosen by a hash of the id: at most
@@ -164,11 +165,27 @@ def confident(x: np.ndarray, b: np.ndarray, sure: float) -> tuple[np.ndarray, np
     return rows, (p[rows] >= 0.5).astype(float)
 
 
+#: Standard errors by which a view has to beat chance on the held rows to give pseudo-labels away.
+BEYOND_CHANCE = 3.0
+
+
+def ranking(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Area under the curve of a score, and by how many standard errors it is better than chance."""
+    _, place, count = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - (count - 1) / 2)[place]
+    n1 = float(y.sum())
+    n0 = len(y) - n1
+    if not n1 or not n0:
+        return 0.5, 0.0
+    area = (rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
+    return float(area), float((area - 0.5) / np.sqrt((n1 + n0 + 1) / (12 * n1 * n0)))
+
+
 def finish(views: dict[str, View], held: dict[str, np.ndarray], y: np.ndarray) -> dict:
     """Calibrate each view on the held rows and combine the calibrated views."""
     calibrated = {v: logistic(logit(held[v], m.b)[:, None], y, ridge=0.01) for v, m in views.items()}
     both = np.column_stack([logit(logit(held[v], views[v].b)[:, None], calibrated[v]) for v in ("text", "meta")])
-    return {"model": {v: m.b for v, m in views.items()}, "calibrated": calibrated, "combine": logistic(both, y, ridge=0.1)}
+    return {"model": {v: m.b for v, m in views.items()}, "calibrated": calibrated, "combine": logistic(both, y, ridge=0.1), "area": {v: ranking(logit(held[v], m.b), y)[0] for v, m in views.items()}}
 
 
 def _scores(fit: dict, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,8 +209,8 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS])
 
 
-def exchange(docs: DataFrame, center: np.ndarray, scale: np.ndarray, models: dict[str, np.ndarray], sure: float) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
-    """One round over all documents: for each view the number, slope and curvature of the rows that the other is sure about.
+def exchange(docs: DataFrame, center: np.ndarray, scale: np.ndarray, models: dict[str, np.ndarray], speaks: set[str], sure: float) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
+    """One round over all documents: for each view the number, slope and curvature of the rows that the other one, if it ``speaks``, is sure about.
 
     Every task sums its rows first; the sums are added up by matrix row.
     """
@@ -206,6 +223,8 @@ def exchange(docs: DataFrame, center: np.ndarray, scale: np.ndarray, models: dic
                 text, meta = _views(batch.slice(at, 1000))
                 views = {"text": (text - center) / scale, "meta": meta}
                 for v, other in (("text", "meta"), ("meta", "text")):
+                    if v not in speaks:
+                        continue
                     rows, target = confident(views[v], models[v], sure)
                     slope, curve = pseudo_sums(views[other][rows], models[other], target)
                     total[other][:-1, :-1] += curve
@@ -231,7 +250,11 @@ def exchange(docs: DataFrame, center: np.ndarray, scale: np.ndarray, models: dic
 
 
 def fit_views(docs: DataFrame, labels: DataFrame, label_col: str = "quality", label_rows: int = 10_000, rounds: int = 2, sure: float = 0.98, ridge: float = 10.0) -> dict | None:
-    """Fit both views with exchanged pseudo-labels; None without labels of both kinds.  Every fourth labelled row is kept for calibration."""
+    """Fit both views with exchanged pseudo-labels; None without labels of both kinds.  Every fourth labelled row is kept for calibration.
+
+    The result tells the area under the curve of each view on the held rows, and
+    how many pseudo-labels each one got in each round.
+    """
     need(labels, "doc_id", label_col)
     y = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
     some = F.broadcast(cut(y.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(label_rows)))  # at most label_rows ids
@@ -255,10 +278,16 @@ def fit_views(docs: DataFrame, labels: DataFrame, label_col: str = "quality", la
     center, scale = x[:, :N_TEXT].mean(axis=0), np.maximum(x[:, :N_TEXT].std(axis=0), 1e-3)
     every = {"text": (x[:, :N_TEXT] - center) / scale, "meta": x[:, N_TEXT:]}
     views = {v: View(every[v][~hold], label[~hold], r) for v, r in (("text", ridge), ("meta", 1.0))}
+    told = []
     for _ in range(rounds):
-        for v, sums in exchange(docs, center, scale, {v: m.b for v, m in views.items()}, sure).items():
+        speaks = {v for v, m in views.items() if ranking(logit(every[v][on], m.b), label[on])[1] > BEYOND_CHANCE}
+        if not speaks:
+            break
+        got = exchange(docs, center, scale, {v: m.b for v, m in views.items()}, speaks, sure)
+        for v, sums in got.items():
             views[v].newton(*sums)
-    return {"center": center, "scale": scale} | finish(views, {v: z[on] for v, z in every.items()}, label[on])
+        told.append({v: n for v, (n, _, _) in got.items()})
+    return {"center": center, "scale": scale, "pseudo_labels": told} | finish(views, {v: z[on] for v, z in every.items()}, label[on])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label_col: str = "quality", **how) -> DataFrame:

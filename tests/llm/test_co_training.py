@@ -65,6 +65,28 @@ def plain_newton(x, y, ridge, b, steps, pseudo=None):
     return b
 
 
+def better_than_chance(z, y):
+    """By more than three standard errors, over all pairs of a good and a bad row."""
+    z = np.clip(z, -30, 30)
+    good, bad = z[y == 1], z[y == 0]
+    area = np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+    return (area - 0.5) / np.sqrt((len(y) + 1) / (12 * len(good) * len(bad))) > 3
+
+
+def test_a_view_without_signal_is_silent(spark):
+    """Metadata drawn at random gives no pseudo-labels to the text view."""
+    import random
+
+    from gristmill.llm.quality import fit_views
+
+    r = random.Random(5)
+    rows = [(i, ("clean words of a plain page " if i % 3 else "#### $$$ !!!! ") * 9, r.choice(["en", "de"]), r.choice("abcd"), r.randrange(200)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    fit = fit_views(docs, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int"))
+    assert fit["area"]["text"] > 0.99 and fit["area"]["meta"] < 0.75
+    assert [t["text"] for t in fit["pseudo_labels"]] == [0, 0] and all(t["meta"] > 300 for t in fit["pseudo_labels"])
+
+
 def test_rounds_of_co_training(spark):
     from gristmill.llm.quality import meta_view, quality_scores, text_view
 
@@ -84,6 +106,10 @@ def test_rounds_of_co_training(spark):
     for _ in range(2):
         was = dict(fitted)
         for v, other in (("text", "meta"), ("meta", "text")):
+            if not better_than_chance(one[v][place][held] @ was[v], y[held]):
+                if any(better_than_chance(one[x][place][held] @ was[x], y[held]) for x in one):
+                    fitted[other] = plain_newton(one[other][place][~held], y[~held], ridge[other], was[other], 6)
+                continue
             p = sigmoid(one[v] @ was[v])
             sure = (p >= 0.98) | (p <= 0.02)
             fitted[other] = plain_newton(one[other][place][~held], y[~held], ridge[other], was[other], 6, (one[other][sure], (p[sure] >= 0.5).astype(float)))
