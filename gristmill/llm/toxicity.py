@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -154,7 +154,6 @@ class Restorer:
     def __init__(self, model: np.ndarray, most: int = 300_000):
         self.model, self.most, self.seen = model.tolist(), most, {}
         self.gaps: dict[str, bool] = {}
-        self.known: dict[str, tuple[tuple[str, ...], bool]] = {}
 
     def _read(self, word: str) -> str:
         got = self.seen.get(word)
@@ -180,7 +179,7 @@ class Restorer:
         c, d = _code(right[0]), 0 if len(right) < 2 else _code(right[1])
         return m[a][b][c] + m[b][c][d] - BROKEN > m[a][b][0] + m[b][0][c] + m[0][c][d]
 
-    def _alone(self, word: str) -> tuple[tuple[str, ...], bool]:
+    def alone(self, word: str) -> tuple[tuple[str, ...], bool]:
         """The readings of one word by itself, and whether it may be the left part of a broken one."""
         if word.isalpha():
             doubled = _doubled(word)
@@ -195,36 +194,35 @@ class Restorer:
         out = {core, *(self._read(x) for x in {bare, core} if x and (not x.isalpha() or _doubled(x)))}
         return tuple(w for w in out if w), False
 
+    def runs(self, text: str) -> list[list[str]]:
+        """The words of each spelled-out run."""
+        return [self._read_run(m[0]) for m in SPELLED.finditer(text)] if TWO_SPELLED.search(text) else []
+
+    def joined(self, left: str, right: str) -> str | None:
+        """The word that two words are likelier to be, if they are."""
+        key = left[-2:] + " " + right[:2]
+        got = self.gaps.get(key)
+        if got is None:
+            if len(self.gaps) >= self.most:
+                self.gaps.clear()
+            got = self.gaps[key] = not key.replace(" ", "").isalpha() or self._one_word(left, right)
+        if got:
+            right = right if right.isalpha() else right.strip(TRIM)
+            if right.isalpha() and self._one_word(left, right):
+                return left + right
+        return None
+
     def words(self, text: str) -> set[str]:
         text = text.lower()
-        out, lefts = set(), set()
+        out = {w for run in self.runs(text) for w in run}
         row = text.split()
-        for m in SPELLED.finditer(text) if TWO_SPELLED.search(text) else ():
-            out.update(self._read_run(m[0]))
-        if len(self.known) >= self.most:
-            self.known = {}
-        known = self.known
+        lefts = set()
         for word in set(row):
-            got = known.get(word)
-            if got is None:
-                got = known[word] = self._alone(word)
-            out.update(got[0])
-            if got[1]:
+            found, left = self.alone(word)
+            out.update(found)
+            if left:
                 lefts.add(word)
-        if len(self.gaps) >= self.most:
-            self.gaps = {}
-        gaps = self.gaps
-        for left, right in zip(row, row[1:]):
-            if left not in lefts:
-                continue
-            key = left[-2:] + " " + right[:2]
-            joined = gaps.get(key)
-            if joined is None:
-                joined = gaps[key] = not key.replace(" ", "").isalpha() or self._one_word(left, right)
-            if joined:
-                right = right if right.isalpha() else right.strip(TRIM)
-                if right.isalpha() and self._one_word(left, right):
-                    out.add(left + right)
+        out.update(self.joined(left, right) or "" for left, right in zip(row, row[1:]) if left in lefts)
         out.discard("")
         return out
 
@@ -311,29 +309,65 @@ def _inputs(odds: np.ndarray) -> list[float]:
     return [float(odds.max()), 0.0] if len(odds) else [0.0, 1.0]
 
 
+NONE = float("-inf")
+
+
 class Scorer:
-    """Log odds of the chosen features and the final model over them; remembers the strongest feature of each word, within bounds."""
+    """Log odds of the chosen features, and the final model over them."""
 
-    def __init__(self, odds: dict[str, float], final: np.ndarray, most: int = 300_000):
-        self.odds, self.final, self.most = odds, final, most
-        self.best: dict[str, float | None] = {}
+    def __init__(self, odds: dict[str, float], final: np.ndarray):
+        self.odds, self.final = odds, final
 
-    def strongest(self, word: str) -> float | None:
-        """The largest log odds among the features of one word."""
-        return max((self.odds[f] for f in features_of({word}) if f in self.odds), default=None)
+    def strongest(self, words: Iterable[str]) -> float:
+        """The largest log odds among the features of words."""
+        return max((self.odds[f] for f in features_of(set(words)) if f in self.odds), default=NONE)
 
-    def score(self, words: set[str]) -> float:
-        if len(self.best) >= self.most:
-            self.best = {}
-        best, odds = self.best, []
-        for w in words:
-            if w not in best:
-                best[w] = self.strongest(w)
-            if best[w] is not None:
-                odds.append(best[w])
-        x = _inputs(np.array(odds))
+    def of_strongest(self, best: float) -> float:
+        x = _inputs(np.array([best] if best > NONE else []))
         return float(1 / (1 + np.exp(-np.clip(np.dot(x, self.final[:-1]) + self.final[-1], -30, 30))))
 
+    def score(self, words: set[str]) -> float:
+        return self.of_strongest(self.strongest(words))
+
+
+class TextScorer:
+    """Scores of whole texts: what ``Scorer`` says of the words of ``Restorer``, without gathering them.
+
+    Remembers of each word, within bounds, the strongest feature of its
+    readings, its letters before a gap if it may be the left part of a broken
+    word, and its letters after a gap.
+    """
+
+    def __init__(self, scorer: Scorer, restore: Restorer):
+        self.scorer, self.restore = scorer, restore
+        self.known: dict[str, tuple[float, str | None, str]] = {}
+
+    def _entry(self, word: str) -> tuple[float, str | None, str]:
+        readings, left = self.restore.alone(word)
+        return self.scorer.strongest(readings), word[-2:] + " " if left else None, word[:2]
+
+    def score(self, text: str) -> float:
+        text = text.lower()
+        row = text.split()
+        best, scorer, restore = NONE, self.scorer, self.restore
+        for run in restore.runs(text):
+            best = max(best, scorer.strongest(run))
+        if len(self.known) >= restore.most:
+            self.known = {}
+        known = self.known
+        for word in set(row).difference(known):
+            known[word] = self._entry(word)
+        info = [known[w] for w in row]
+        best = max(best, max((i[0] for i in info), default=NONE))
+        gaps = restore.gaps
+        for k, (a, b) in enumerate(zip(info, info[1:])):
+            tail = a[1]
+            if tail is not None and gaps.get(tail + b[2], True):
+                joined = restore.joined(row[k], row[k + 1])
+                if joined:
+                    best = max(best, scorer.strongest((joined,)))
+        return scorer.of_strongest(best)
+
 
 def _evidence(n1: float, n0: float) -> Column:
     """Root of the likelihood-ratio statistic of a feature against the label."""
@@ -381,9 +415,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     scorer = learn(docs, labels, model, **how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = Restorer(model)
+        whole = TextScorer(scorer, Restorer(model)) if scorer else None
         for batch in batches:
-            scores = [float(scorer.score(restore.words(t))) if scorer else 0.0 for t in texts(batch, "text")]
+            scores = [whole.score(t) if whole else 0.0 for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")

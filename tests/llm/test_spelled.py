@@ -161,3 +161,20 @@ def test_learning_and_scores_restated(spark):
     for i, text in rows[::7]:
         want = 1 / (1 + math.exp(-float(np.dot(inputs([scorer.odds[f] for f in features(text) & kept]), scorer.final))))
         assert abs(got[i] - want) < 1e-9
+
+
+def test_texts_are_scored_as_their_words_are(spark):
+    import random
+
+    import numpy as np
+
+    from gristmill.llm.toxicity import Restorer, Scorer, TextScorer
+
+    model = _model(spark)
+    rng = random.Random(4)
+    scorer = Scorer({"idio*": 2.0, "idiot": 3.0, "moron": 1.0, "all": -1.0, "clow*": 0.5, "overt*": -2.0}, np.array([1.5, 0.3, -2.0]))
+    alphabet = "idotmrnaalvecl1!$@.-  \n"
+    texts = ["".join(rng.choice(alphabet) for _ in range(60)) for _ in range(300)] + ["", "an 1d10t, a m0r0n and an id iot", "i d i o t a l l", "iidiiott aass a$$ al l", "mo ron", "ov er the clo wn", "all"]
+    whole, reader = TextScorer(scorer, Restorer(model, most=50)), Restorer(model)
+    got = [whole.score(t) for t in texts]
+    assert got == [scorer.score(reader.words(t)) for t in texts] and len(set(got)) > 4
