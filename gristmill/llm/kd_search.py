@@ -41,8 +41,8 @@ from pyspark.sql import Window as W
 from gristmill.llm.common import checked_broadcast, cut, item_bounds, need, partitions, whole_items
 from gristmill.llm.vectors import by_length, finite
 
-#: Vectors of the sample that the cells are fitted on; sample vectors for each cell at least; components of a shard; rows of a leaf; queries of a block.
-SAMPLE, CELL_SAMPLE, SHARD_VALUES, LEAF_ROWS, BLOCK = 16_384, 32, 1 << 19, 64, 512
+#: Vectors, and their components, of the sample that the cells are fitted on; sample vectors for each cell at least; components of a shard; rows of a leaf; queries of a block.
+SAMPLE, SAMPLE_VALUES, CELL_SAMPLE, SHARD_VALUES, LEAF_ROWS, BLOCK = 16_384, 1 << 20, 32, 1 << 19, 64, 512
 SHARD = ("dim", "cell", "slot")
 NONE = -(2**63)  # no k-th score yet
 
@@ -341,7 +341,8 @@ def nearest_rows(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     sizes = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_if("ask").alias("q")).collect()}  # a row for each length
     total = sum(n for n, _ in sizes.values())
-    sample = rows.select("v").sample(fraction=min(1.0, SAMPLE / max(1, total)), seed=5).collect()
+    wanted = min(SAMPLE, SAMPLE_VALUES // max(1, *sizes, 1))
+    sample = rows.select("v").sample(fraction=min(1.0, wanted / max(1, total)), seed=5).collect()
     cells = {}
     for dim, (n, _) in sizes.items():
         own = [r["v"] for r in sample if len(r["v"]) == dim]
