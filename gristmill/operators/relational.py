@@ -11,13 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.operators.places import medians
+from gristmill.operators.stacking import distinct_rows
 from gristmill.values import as_text, column, is_numeric, join_safe, ordering, place_key, require, total_order
 
 # --- projection --------------------------------------------------------------
 
 
 def select_items(df: DataFrame, items: Sequence[dict[str, Any]] | None = None, distinct: bool = False) -> DataFrame:
-    """Select columns ``{column, alias}`` or expressions ``{expression, alias}``; nothing listed selects all."""
+    """Select columns ``{column, alias}`` or expressions ``{expression, alias}``; nothing listed selects all.
+
+    ``distinct`` keeps one of equal rows (``stacking.distinct_rows``, which runs a job).
+    """
     out = []
     for item in items or ():
         if item.get("expression"):
@@ -27,7 +31,7 @@ def select_items(df: DataFrame, items: Sequence[dict[str, Any]] | None = None, d
             c, name = column(item["column"]), item.get("alias") or item["column"]
         out.append(c.alias(name))
     df = df.select(*out) if out else df
-    return df.distinct() if distinct else df
+    return distinct_rows(df) if distinct else df
 
 
 def select_columns(df: DataFrame, items: Sequence[dict[str, Any]]) -> DataFrame:

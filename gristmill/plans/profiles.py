@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,12 +18,15 @@ from gristmill.operators.profiling import (
     key_distribution,
     key_groups,
     key_rows,
+    merge_profiles,
     preview,
+    profile_sketches,
     report,
     summarize,
     top_values,
 )
 from gristmill.plans.tables import Tables, register
+from gristmill.session import shared_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -64,6 +68,28 @@ def profile_summary_exact(t: Tables) -> DataFrame:
     return summarize(t.lineitem).select("column", "min", "max", "count", "null_pct")
 
 
+_MERGED = ("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query(" UNION ALL ".join(f"""SELECT '{n}' AS "column", count(*) AS rows, CAST(count(*) - count({n}) AS BIGINT) AS nulls, CAST(min({n}) AS DOUBLE) AS low, CAST(max({n}) AS DOUBLE) AS high, round(CAST(avg({n}) AS DOUBLE), 4) AS avg,
+round(CAST(stddev_samp({n}) AS DOUBLE), 2) AS std, true AS distinct_within, true AS quartiles_within FROM orders""" for n in _MERGED))
+def profile_merged(t: Tables) -> DataFrame:
+    """Orders profiled year by year into a table of sketches, and merged from it: exact parts, and whether the others are within 5 % and 1 %."""
+    folder = f"{shared_folder(t.spark)}/profiles-{uuid.uuid4().hex}"
+    orders = t.orders.select(F.year("o_orderdate").alias("year"), *_MERGED)
+    profile_sketches(orders, ["year"]).write.partitionBy("year").parquet(folder)
+    merged = merge_profiles(t.spark.read.parquet(folder))
+    exact = orders.agg(*[F.count_distinct(n).alias(n) for n in _MERGED]).select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("exact")) for n in _MERGED])))
+    long = orders.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("x")) for n in _MERGED])))
+    ends = [(c, q) for c, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]
+    ranks = long.join(F.broadcast(merged.select(F.col("column").alias("name"), *[c for c, _ in ends])), "name").groupBy("name").agg(
+        *[((F.count_if(F.col("x") < F.col(c)) <= F.count(F.lit(1)) * (q + 0.01)) & (F.count_if(F.col("x") <= F.col(c)) >= F.count(F.lit(1)) * (q - 0.01))).alias(f"_{c}") for c, q in ends]
+    )  # one row a column
+    out = merged.join(exact, F.col("column") == F.col("name")).drop("name").join(ranks, F.col("column") == F.col("name"))
+    near = F.abs(F.col("approx_distinct") - F.col("exact")) <= F.col("exact") * 0.05
+    return out.select("column", "rows", "nulls", F.col("min_number").alias("low"), F.col("max_number").alias("high"), F.round("avg", 4).alias("avg"), F.round("std", 2).alias("std"), near.alias("distinct_within"), (F.col("_q25") & F.col("_q50") & F.col("_q75")).alias("quartiles_within"))
+
+
 def _breakdown_sql(key: str, source: str, column: str, top: int = 12) -> str:
     return f"""WITH r AS (SELECT {key} AS key, {column} IS NULL AS missing FROM {source}), k AS (SELECT key, count(*) AS count FROM r WHERE key IS NOT NULL GROUP BY key), s AS (SELECT * FROM k ORDER BY count DESC, key LIMIT {top}),
 t AS (SELECT count(*) AS total, count(*) FILTER (WHERE missing) AS nulls FROM r)

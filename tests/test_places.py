@@ -117,3 +117,63 @@ def test_sheets_are_filled(spark, tmp_path):
     assert [len(x) for x in lines] == [150] * 6 + [100]
     assert [int(x.split(",")[0]) for part in lines for x in part] == list(range(999, -1, -1))
     assert not write_sheet_sized(df.where("false"), str(tmp_path / "none"), order_by=["n"]) and not (tmp_path / "none").exists()
+
+
+def test_distinct_rows_with_clashing_hashes(spark):
+    """Equal to the plain distinct whatever the hashes say, and unique rows pass no exchange."""
+    from gristmill.operators.stacking import distinct_rows, row_hashes
+
+    r = random.Random(3)
+    rows = [(r.choice([None, 1, 2, 3]), r.choice([None, "a", "b", ""]), r.choice([0.0, -0.0, float("nan"), None])) for _ in range(300)] + [(i, "x" * 50, 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, t string, d double").repartition(3)
+    want = sorted(map(str, df.distinct().collect()))
+    assert sorted(map(str, distinct_rows(df).collect())) == want and df.columns == distinct_rows(df).columns
+    few = [F.pmod(h, F.lit(7)) for h in row_hashes(df)]
+    assert sorted(map(str, distinct_rows(df, few).collect())) == want
+    assert sorted(map(str, distinct_rows(df, most=0).collect())) == want
+    assert distinct_rows(df.where("false")).count() == 0
+    wide = spark.range(500).select("id", F.repeat(F.lit("long text "), 40).alias("text"))
+    text = distinct_rows(wide)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") <= 1 and text.count("LeftAnti") == 1  # at most that of the repeated rows
+
+
+def test_merged_profiles(spark):
+    """Parts profiled alone and merged, against one profile of all rows: empty parts, nulls and groups."""
+    from gristmill.operators.profiling import merge_profiles, profile_sketches
+
+    r = random.Random(8)
+    rows = [(i % 7, r.choice([None, r.gauss(5, 2)]) if i % 7 != 3 else None, r.choice(["u", "v", None]), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "part int, x double, t string, n long")
+    merged = {c["column"]: c for c in merge_profiles(profile_sketches(df, ["part"])).collect()}
+    whole = {c["column"]: c for c in merge_profiles(profile_sketches(df.drop("part"))).collect()}
+    assert set(merged) == {"x", "t", "n"}
+    for name, c in merged.items():
+        w = whole[name]
+        assert [c[k] for k in ("type", "rows", "nulls", "min_number", "max_number", "min_text", "max_text")] == [w[k] for k in ("type", "rows", "nulls", "min_number", "max_number", "min_text", "max_text")]
+        assert abs(c["approx_distinct"] - w["approx_distinct"]) <= 0.05 * w["approx_distinct"]
+    values = sorted(x for _, x, _, _ in rows if x is not None)
+    assert abs(merged["x"]["avg"] - statistics.mean(values)) < 1e-9 and abs(merged["x"]["std"] - statistics.stdev(values)) < 1e-9
+    for k, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+        assert abs(sum(v <= merged["x"][k] for v in values) / len(values) - q) < 0.01
+    assert merged["t"]["q50"] is None and merged["t"]["avg"] is None
+    per = {(c["part"], c["column"]): c for c in merge_profiles(profile_sketches(df, ["part"]), ["part"]).collect()}
+    assert per[3, "x"]["q50"] is None and per[3, "x"]["nulls"] == per[3, "x"]["rows"] and len(per) == 21
+    assert merge_profiles(profile_sketches(df.where("false"), ["part"])).count() == 0
+
+
+def test_heavy_keys_leave_rare_ones_alone(spark):
+    """Exact top keys, ties and null among them, while most rare keys are not counted; uniform keys are all counted."""
+    from gristmill.operators.profiling import heavy_keys, key_groups, top_values
+
+    r = random.Random(6)
+    rows = [(r.choice([None, "a", "b", "c", "d"]) if r.random() < 0.5 else f"rare {r.randrange(3000)}",) for _ in range(6000)] + [("tie",), ("eit",)] * 40
+    df = spark.createDataFrame(rows, "k string").repartition(3)
+    full = df.groupBy("k").count()
+    for n in (1, 3, 5, 6, 7):
+        want = [tuple(x) for x in full.orderBy(F.desc("count"), F.asc_nulls_last("k")).limit(n).collect()]
+        assert [tuple(x) for x in top_values(df, "k", n).collect()] == want
+    assert heavy_keys(df, ["k"], 5).count() < full.count() / 4
+    even = spark.range(500).select((F.col("id") % 50).alias("value"))
+    assert heavy_keys(even, ["value"], 5).count() == 50 and [x["value"] for x in top_values(even, "value", 3).collect()] == [0, 1, 2]
+    assert top_values(even, "value", 100).count() == 50 and top_values(even.where("false"), "value", 3).count() == 0
+    assert {x["k"] for x in key_groups(df, ["k"], top=2, sample_rows=3, order_by=["k"]).collect()} == {x[0] for x in [tuple(y) for y in full.orderBy(F.desc("count"), "k").limit(2).collect()]}
