@@ -85,31 +85,36 @@ def column_profile(df: DataFrame, name: str) -> dict[str, DataFrame]:
 
 
 def summarize(df: DataFrame) -> DataFrame:
-    """One row per column: type, min, max, approximate distinct count, avg, std, quartiles, count, null_pct.  One aggregate.
+    """One row per column: type, min, max, approximate distinct count, avg, std, quartiles, count, null_pct.
 
-    Quartiles come from a sketch whose ranks are off by about a third of a percent.
+    Counts, ends and moments are one aggregate that compiles to a loop, sketches
+    another one beside it.  Quartiles come from a sketch whose ranks are off by
+    about a third of a percent.
     """
     quarters = F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])
-    aggs, rows = [F.count(F.lit(1)).alias("_total")], []
+    exact, sketches, rows = [F.count(F.lit(1)).alias("_total")], [], []
+    null = F.lit(None).cast("string")
     for k, f in enumerate(df.schema.fields):
         c, number = column(f.name), isinstance(f.dataType, NUMERIC)
         plain = f.dataType.simpleString()
         sortable = not plain.startswith(("map", "array", "struct"))
-        null = F.lit(None).cast("string")
-        aggs += [F.count_if(c.isNull()).alias(f"_n{k}"), F.approx_count_distinct(c if sortable else F.to_json(c)).alias(f"_d{k}")]
+        exact.append(F.count(c).alias(f"_n{k}"))
+        sketches.append(F.approx_count_distinct(c if sortable else F.to_json(c)).alias(f"_d{k}"))
         if sortable:
-            aggs += [F.min(c).cast("string").alias(f"_min{k}"), F.max(c).cast("string").alias(f"_max{k}")]
+            exact += [F.min(c).alias(f"_min{k}"), F.max(c).alias(f"_max{k}")]
         if number:
-            aggs += [F.avg(c).alias(f"_a{k}"), F.stddev_samp(c).alias(f"_s{k}"), F.kll_sketch_agg_double(c.cast("double"), 1000).alias(f"_q{k}")]
+            exact += [F.avg(c).alias(f"_a{k}"), F.stddev_samp(c).alias(f"_s{k}")]
+            sketches.append(F.kll_sketch_agg_double(c.cast("double"), 1000).alias(f"_q{k}"))
+        known = (F.col(f"_n{k}") > 0) & (F.kll_sketch_get_n_double(F.col(f"_q{k}")) > 0) if number else None
+        at = lambda i: F.when(known, F.get(F.kll_sketch_get_quantile_double(F.col(f"_q{k}"), quarters), i)) if number else F.lit(None).cast("double")  # noqa: B023, E731
         rows.append(
             F.struct(
-                F.lit(f.name).alias("column"), F.lit(plain).alias("type"), (F.col(f"_min{k}") if sortable else null).alias("min"), (F.col(f"_max{k}") if sortable else null).alias("max"),
-                F.col(f"_d{k}").alias("approx_distinct"), *[(F.col(f"_{p}{k}") if number else F.lit(None).cast("double")).alias(a) for p, a in (("a", "avg"), ("s", "std"))],
-                *[(F.when((F.col(f"_n{k}") < F.col("_total")) & (F.kll_sketch_get_n_double(F.col(f"_q{k}")) > 0), F.get(F.kll_sketch_get_quantile_double(F.col(f"_q{k}"), quarters), i)) if number else F.lit(None).cast("double")).alias(a) for i, a in enumerate(("q25", "q50", "q75"))],
-                F.col("_total").alias("count"), _pct(F.col(f"_n{k}"), F.col("_total")).alias("null_pct"),
+                F.lit(f.name).alias("column"), F.lit(plain).alias("type"), *[(F.col(f"_{e}{k}").cast("string") if sortable else null).alias(e) for e in ("min", "max")], F.col(f"_d{k}").alias("approx_distinct"),
+                *[(F.col(f"_{p}{k}") if number else F.lit(None).cast("double")).alias(a) for p, a in (("a", "avg"), ("s", "std"))], *[at(i).alias(a) for i, a in enumerate(("q25", "q50", "q75"))],
+                F.col("_total").alias("count"), _pct(F.col("_total") - F.col(f"_n{k}"), F.col("_total")).alias("null_pct"),
             )
         )
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    return df.agg(*exact).crossJoin(F.broadcast(df.agg(*sketches))).select(F.inline(F.array(*rows)))  # one row each
 
 
 def profile_sketches(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
