@@ -24,7 +24,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import need, or_empty
+from gristmill.llm.common import cut, need, or_empty
 
 #: Fixed patterns of the base kinds; the hex and access forms hold their least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -97,13 +97,17 @@ def _clear(runs: Column, base: Column, good) -> Column:
 
 
 def pair_scores(docs: DataFrame, text_col: str) -> dict[str, float] | None:
-    """Log-likelihood ratio of each character pair, random over ordinary.
+    """Log-likelihood ratio of each character pair of a table, random over ordinary."""
+    return _scores_of(_spans_found(docs.select(or_empty(text_col).alias("text"))))
 
-    Counted over all documents; pairs are combined before the shuffle, and the
-    counts that come back are bounded by the square of the alphabet.
-    """
-    picked = docs.select(or_empty(text_col).alias("text"))
-    picked = with_spans(with_base_spans(picked, "base", "text"), "run", "text", RUN, 3)
+
+def _spans_found(rows: DataFrame) -> DataFrame:
+    """The base spans and the runs of ``text``, which itself is not needed any more; every pattern runs once on a text."""
+    return with_spans(with_base_spans(rows, "base", "text"), "run", "text", RUN, 3).drop("text")
+
+
+def _scores_of(picked: DataFrame) -> dict[str, float] | None:
+    """Scores from the spans of all documents; pairs are combined before the shuffle, and the counts that come back are bounded by the square of the alphabet."""
     sample = lambda c, r: F.transform(c, lambda x: F.struct(F.lit(r).alias("random"), x["text"].alias("s")))
     ordinary = _clear(F.col("run"), F.col("base"), lambda x: ~(x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]")))
     both = picked.select(F.explode(F.concat(sample(F.col("base"), 1), sample(ordinary, 0))).alias("x")).select("x.*")
@@ -160,11 +164,10 @@ def secret_scan(
     ``base`` and ``spans`` list ``kind:start:end`` by start, then kind.
     """
     need(docs, id_col, text_col)
-    scores = pair_scores(docs, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), or_empty(text_col).alias("text"))
-    rows = with_base_spans(rows, "b", "text")
+    rows = cut(_spans_found(docs.select(F.col(id_col).cast("long").alias("doc_id"), or_empty(text_col).alias("text")))).withColumnsRenamed({"base": "b", "run": "r"})
+    scores = _scores_of(rows.select(F.col("b").alias("base"), F.col("r").alias("run")))
     if scores:
-        rows = with_spans(rows, "r", "text", RUN, 3).withColumn("m", markov_spans(F.col("r"), F.col("b"), scores, least_total, least_mean))
+        rows = rows.withColumn("m", markov_spans(F.col("r"), F.col("b"), scores, least_total, least_mean))
     else:
         rows = rows.withColumn("m", F.array().cast(SPAN))
     n = lambda c, k: F.size(F.filter(F.col(c), lambda x: x["kind"] == k)).cast("long")
