@@ -183,6 +183,26 @@ def test_lattice_recall_on_close_pairs(spark):
     assert (found[sure] <= links[sure]).all() and found[sure].sum() >= 0.98 * links[sure].sum()
 
 
+def test_lattice_recall_of_planted_pairs_alone(spark):
+    """No crowd: every vector has its planted partner or none, so a lost pair shows."""
+    from gristmill.llm.lattice import embedding_links
+
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    n, low, high = 1500, unit(rng.standard_normal((1500, 64))), unit(rng.standard_normal((1500, 64)))
+    apart = [unit(b - (a * b).sum(1, keepdims=True) * a) for a, b in ((low, rng.standard_normal((n, 64))), (high, rng.standard_normal((n, 64))))]
+    c = rng.uniform(0.9001, 0.905, (n, 1))
+    x = np.concatenate([low, c * low + np.sqrt(1 - c * c) * apart[0], high, 0.94 * high + np.sqrt(1 - 0.94**2) * apart[1]])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_links(df).collect()}
+    close = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert (close == 1).all() and all(got[i][0] <= 1 for i in range(4 * n))
+    for first, least in ((0, 0.95), (2 * n, 0.98)):
+        pairs = [(got[first + k], got[first + n + k]) for k in range(n)]
+        assert all(a == b for a, b in pairs if a[0] or b[0])
+        assert np.mean([a[0] for a, _ in pairs]) >= least
+
+
 def test_toxicity_held_out(spark, queries):
     d = "/root/testdata/sf0.01"
     y = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
