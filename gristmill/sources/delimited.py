@@ -167,32 +167,30 @@ def _headers(spark: SparkSession, path: str | list[str], lines: int, sep: str, c
     return file_heads(spark, path, HEADER_BYTES).mapInPandas(run, "path string, header array<string>, taken long, odd long")
 
 
-def records(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``(file, value)``: the records that lines make up, a quoted line break not ending one.
-
-    ``lines`` is ``(file, start, at, value, odd)``: the block a line is read in,
-    its number there, and whether it has an odd number of quotes; ``blocks`` is
-    ``(file, start, inside, plain)``: whether a block begins inside quotes, and
-    whether all its lines are records.  Lines of plain blocks and single lines
-    elsewhere are records as they are; only the pieces of a record of several
-    lines are gathered, also over blocks.
+def quotes_before(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``seen``: how many lines with an odd number of quotes the task that reads them has read before.
+
+    Rows are numbered once as lines and once with such a line standing for two
+    rows; the difference of the numbers is the sum, found without moving a line.
     """
-    lines = lines.join(F.broadcast(blocks), ["file", "start"])  # as many rows as input splits
-    simple = lines.where("plain").select("file", "value")
-    part = W.partitionBy("file", "start").orderBy("at")
-    quotes = F.coalesce(F.sum("odd").over(part.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("inside").cast("int")
-    rest = lines.where("not plain").withColumn("open", quotes % 2 == 1)
-    rest = rest.withColumn("nth", F.count_if(~F.col("open")).over(part.rowsBetween(W.unboundedPreceding, 0)))
-    alone = rest.where("not open and odd = 0").select("file", "value")
-    pieces = rest.where("open or odd = 1")
-    # the record that a block begins inside of is the last one of the nearest block before with a beginning
-    last = rest.groupBy("file", "start").agg(F.max("nth").alias("nth"))
-    before = F.last(F.when(F.col("nth") > 0, F.struct("start", "nth")), ignorenulls=True).over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
-    owners = last.select("file", "start", before.alias("owner"))
-    begun = pieces.where("nth > 0").select("file", F.struct("start", "nth").alias("owner"), "start", "at", "value")
-    carried = pieces.where("nth = 0").join(owners, ["file", "start"]).select("file", "owner", "start", "at", "value")
-    whole = begun.unionByName(carried).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "at", "value"))).alias("of"))
-    return simple.unionByName(alone).unionByName(whole.select("file", F.array_join(F.col("of.value"), "\n").alias("value")))
+    twice = lines.withColumn("at", F.monotonically_increasing_id()).select("*", F.explode(F.sequence(F.lit(0), F.col("odd"))).alias("nth"))
+    return twice.withColumn("seen", F.monotonically_increasing_id() - F.col("at")).where("nth = 0").drop("nth")
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """``value``: the records that lines make up, a quoted line break not ending one.
+
+    ``lines`` is ``(file, start, at, value, odd, before)``: the file's number, the
+    block a line is read in, its number there, whether it has an odd number of quotes,
+    and how many lines of its file before it have.  A line that begins outside quotes and has an
+    even number is a record as it is.  The others are pieces of a record of
+    several lines; those of one record, and no other ones, have the same half
+    of ``before``, also over blocks, and only they are gathered.
+    """
+    piece = (F.col("before") % 2 == 1) | (F.col("odd") == 1)
+    pieces = lines.where(piece).select("file", F.shiftright("before", 1).alias("record"), F.struct("start", "at", "value").alias("piece"))
+    whole = pieces.groupBy("file", "record").agg(F.array_sort(F.collect_list("piece")).alias("of"))
+    return lines.where(~piece).select("value").unionByName(whole.select(F.array_join(F.col("of.value"), "\n").alias("value")))
 
 
 def _parsed_records(spark: SparkSession, path: str | list[str], header_row: int, sep: str, charset: str) -> DataFrame:
@@ -200,9 +198,9 @@ def _parsed_records(spark: SparkSession, path: str | list[str], header_row: int,
 
     Lines are read in splits by the text reader.  One job counts, for each
     split, its lines with an odd number of quotes and the number of its first line; sums over
-    the splits of a file tell which of them begin inside quotes.
+    the splits of a file tell how many such lines come before each split.
     """
-    heads = written(_headers(spark, path, header_row, sep, charset))
+    heads = written(_headers(spark, path, header_row, sep, charset).withColumn("number", F.monotonically_increasing_id()))
     found = heads.groupBy("header").agg(F.min("path").alias("path")).limit(3).collect()
     if not found:
         raise ValueError("no file to read")
@@ -215,18 +213,18 @@ def _parsed_records(spark: SparkSession, path: str | list[str], header_row: int,
 
     text = spark.read.options(encoding=charset, lineSep="\n").text(path)
     odd = F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2))
-    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value", odd.alias("odd"))
-    stats = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.sum("odd").alias("odds"))
-    stats = stats.join(F.broadcast(heads.select(F.col("path").alias("head_of"), "taken", F.col("odd").alias("head_odds"))), F.col("file") == F.col("head_of"), "left")  # as many rows as files
-    if not stats.where("head_of is null").isEmpty():
-        raise ValueError("a file of the input has no head")
+    lines = quotes_before(text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value", odd.alias("odd")))
+    stats = lines.groupBy("path", "start").agg(F.min("at").alias("first"), F.min("seen").alias("seen_first"), F.sum("odd").alias("odds"))
+    stats = stats.join(F.broadcast(heads.select(F.col("path").alias("head_of"), F.col("number").alias("file"), "taken", F.col("odd").alias("head_odds"))), F.col("path") == F.col("head_of"), "left")  # as many rows as files
     begins = F.col("start") == 0
-    stats = stats.withColumn("odds", F.col("odds") - F.when(begins, F.col("head_odds")).otherwise(0)).withColumn("skip", F.when(begins, F.col("taken")).otherwise(0))
-    inside = F.coalesce(F.sum("odds").over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
-    blocks = written(stats.select("file", "start", "first", "skip", "odds", inside.alias("inside")))
-    blocks = blocks.select("file", "start", "first", "skip", "inside", ((F.col("odds") == 0) & ~F.col("inside")).alias("plain"))
-    body = lines.join(F.broadcast(blocks.select("file", "start", "first", "skip")), ["file", "start"]).where(F.col("at") - F.col("first") >= F.col("skip"))
-    rows = records(body.select("file", "start", "at", "value", "odd"), blocks.select("file", "start", "inside", "plain"))
+    upto = F.coalesce(F.sum("odds").over(W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # quotes of the leading lines and the header open nothing
+    of_head = F.coalesce(F.max(F.when(begins, F.col("head_odds"))).over(W.partitionBy("path")), F.lit(0))
+    blocks = written(stats.select("path", "start", "file", "first", F.when(begins, F.col("taken")).otherwise(0).alias("skip"), (upto - of_head - F.col("seen_first")).alias("base")))
+    if not blocks.where("file is null").isEmpty():
+        raise ValueError("a file of the input has no head")
+    body = lines.join(F.broadcast(blocks), ["path", "start"]).where(F.col("at") - F.col("first") >= F.col("skip"))  # as many rows as input splits
+    rows = records(body.select("file", "start", "at", "value", "odd", (F.col("seen") + F.col("base")).alias("before")))
     value = F.regexp_replace("value", "\r$", "")
     parsed = F.from_csv(value, schema, {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
     return rows.where(F.trim(F.translate("value", "\r", "")) != "").select(parsed.alias("r")).select("r.*")

@@ -180,6 +180,47 @@ def test_quoted_line_breaks_over_splits(spark, tmp_path):
     assert got == sorted(map(tuple, want)) and "MapInPandas" not in plan and "Python" not in plan
 
 
+def test_only_pieces_of_long_records_are_exchanged(spark, tmp_path):
+    """Lines that are records as they are stay in the task that reads them; only pieces of records of several lines are gathered."""
+    (tmp_path / "a.csv").write_text("id,v\n" + "".join(f'{i},"a\n""b\n"\n' if i % 100 == 7 else f'{i},"plain, {i}"\n' for i in range(5000)))
+    df, _ = read_delimited(spark, str(tmp_path / "a.csv"), multi_line=True)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {int(r["id"]): r["v"] for r in df.collect()}
+    assert got == {i: 'a\n"b\n' if i % 100 == 7 else f"plain, {i}" for i in range(5000)}
+
+    def moved(plan) -> int:
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return moved(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return moved(plan.plan())
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(moved(plan.children().apply(k)) for k in range(plan.children().size()))
+
+    assert 50 <= moved(df._jdf.queryExecution().executedPlan()) <= 150
+
+
+def test_files_of_one_task_keep_their_quotes_apart(spark, tmp_path):
+    """Small files read by one task, some with an odd quote above the header or one that is never closed."""
+    for k in range(6):
+        (tmp_path / f"{k}.csv").write_text(f'a "title\nid,v\n{k}1,"x\ny"\n{k}2,"p\n\nq",\n{k}3,z\n' + (f'{k}4,"open\nto the\nend\n' if k % 2 else f"{k}4,last\n"))
+    df, _ = read_delimited(spark, str(tmp_path), header_row=1)
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() < 6
+    got = {r["id"]: r["v"] for r in df.collect()}
+    want = {f"{k}{i}": v for k in range(6) for i, v in ((1, "x\ny"), (2, "p\n\nq"), (3, "z"), (4, "last"))}
+    assert {k: v for k, v in got.items() if k not in ("14", "34", "54")} == {k: v for k, v in want.items() if k not in ("14", "34", "54")}
+    assert all(got[k].startswith('"open\nto the\nend') or got[k].startswith("open\nto the\nend") for k in ("14", "34", "54"))
+
+
+def test_odd_lines_before(spark):
+    from gristmill.sources.delimited import quotes_before
+
+    lines = spark.range(1000, numPartitions=3).selectExpr("id", "cast(id % 7 in (1, 2, 5) as int) as odd", "spark_partition_id() as part")
+    rows = sorted(quotes_before(lines).collect())
+    assert len(rows) == 1000 and all(r["seen"] == sum(x["odd"] for x in rows[: r["id"]] if x["part"] == r["part"]) for r in rows)
+
+
 def test_plain_files_with_blank_lines(spark, tmp_path):
     (tmp_path / "a.csv").write_text("t\nid,v\n" + "".join(f"{i},x\n" for i in range(100)) + "\n")
     df, _ = read_delimited(spark, str(tmp_path / "a.csv"), header_row=1)
